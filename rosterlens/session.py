@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Call-site capture costs several milliseconds per Column built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 # A side of a join is broadcast only when its counted size is at or below this many rows.

@@ -6,11 +6,42 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rosterlens.sources import seeds
 
 AS_OF = "2001-12-31"
 
+# How each employee attribute is derived from an order and its customer.
+EMPLOYEE_COLUMNS = {
+    "employee_id": "CAST(o_orderkey AS BIGINT)",
+    "employee_name": "concat('Emp ', CAST(o_orderkey AS STRING))",
+    "age": "CAST(18 + (o_orderkey * 7) % 50 AS INT)",
+    "gender": "CASE WHEN o_orderkey % 20 < 10 THEN 'Male' WHEN o_orderkey % 20 < 19 THEN 'Female' ELSE 'Non-binary' END",
+    "department": "c_mktsegment",
+    "job_level": "concat('L', CAST(7 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS STRING))",
+    "manager_id": "CASE WHEN o_orderkey <> 0 THEN CAST(floor(o_orderkey / 8.0D) AS BIGINT) END",
+    "location": "n_name",
+    "region": "r_name",
+    "work_mode": "CASE o_orderkey % 3 WHEN 0 THEN 'On-site' WHEN 1 THEN 'Hybrid' ELSE 'Remote' END",
+    "hire_date": "CAST(o_orderdate AS DATE)",
+    "years_at_company": f"CAST(datediff(DATE'{AS_OF}', CAST(o_orderdate AS DATE)) / 365.25D AS DECIMAL(5,2))",
+    "salary": "CAST(30000 + floor(o_totalprice) AS INT)",
+    "bonus": "CAST(floor(o_totalprice * ((o_orderkey % 4) / 20.0D)) AS INT)",
+    "recruitment_source_id": "CAST(o_custkey % 8 AS INT)",
+    "performance_rating": "CASE WHEN (o_orderkey * 37) % 100 < 3 THEN 1 WHEN (o_orderkey * 37) % 100 < 15 THEN 2 "
+    "WHEN (o_orderkey * 37) % 100 < 68 THEN 3 WHEN (o_orderkey * 37) % 100 < 94 THEN 4 ELSE 5 END",
+    "attendance_pct": "CAST((7000 + (o_orderkey * 13) % 3001) / 100.0D AS DECIMAL(5,2))",
+    "training_hours": "CAST((o_orderkey * 17) % 1201 / 10.0D AS DECIMAL(6,2))",
+    "engagement_score": "CAST((2000 + (o_orderkey * 101) % 8001) / 100.0D AS DECIMAL(6,2))",
+    "satisfaction_score": "CAST((1000 + (o_orderkey * 211) % 9001) / 100.0D AS DECIMAL(6,2))",
+    "promotions": "CAST((o_orderkey * 3) % 5 AS INT)",
+    "leave_count": "CAST((o_orderkey * 5) % 31 AS INT)",
+    "attrition": "CASE WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'No' END",
+    "exit_reason": "CASE WHEN o_orderstatus = 'F' AND o_orderkey % 11 <> 0 "
+    "THEN concat('Reason ', CAST(o_orderkey % 6 AS STRING)) END",
+}
+
 
 def employee_from_orders(orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """One employee per order.
@@ -22,36 +53,10 @@ def employee_from_orders(orders: DataFrame, customer: DataFrame, nation: DataFra
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
         F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    key = F.col("o_orderkey")
-    slot = (key * 37) % 100
-    exited = F.col("o_orderstatus") == "F"
-    days = F.datediff(F.lit(AS_OF).cast("date"), F.col("o_orderdate").cast("date"))
-    return joined.select(
-        key.cast("bigint").alias("employee_id"),
-        F.concat(F.lit("Emp "), key.cast("string")).alias("employee_name"),
-        (F.lit(18) + (key * 7) % 50).cast("int").alias("age"),
-        F.when(key % 20 < 10, "Male").when(key % 20 < 19, "Female").otherwise("Non-binary").alias("gender"),
-        F.col("c_mktsegment").alias("department"),
-        F.concat(F.lit("L"), (F.lit(7) - F.substring("o_orderpriority", 1, 1).cast("int")).cast("string")).alias("job_level"),
-        F.when(key != 0, F.floor(key / F.lit(8.0)).cast("bigint")).alias("manager_id"),
-        F.col("n_name").alias("location"),
-        F.col("r_name").alias("region"),
-        F.when(key % 3 == 0, "On-site").when(key % 3 == 1, "Hybrid").otherwise("Remote").alias("work_mode"),
-        F.col("o_orderdate").cast("date").alias("hire_date"),
-        (days / F.lit(365.25)).cast("decimal(5,2)").alias("years_at_company"),
-        (F.lit(30000) + F.floor("o_totalprice")).cast("int").alias("salary"),
-        F.floor(F.col("o_totalprice") * ((key % 4) / F.lit(20.0))).cast("int").alias("bonus"),
-        (F.col("o_custkey") % 8).cast("int").alias("recruitment_source_id"),
-        F.when(slot < 3, 1).when(slot < 15, 2).when(slot < 68, 3).when(slot < 94, 4).otherwise(5).alias("performance_rating"),
-        ((F.lit(7000) + (key * 13) % 3001) / F.lit(100.0)).cast("decimal(5,2)").alias("attendance_pct"),
-        ((key * 17) % 1201 / F.lit(10.0)).cast("decimal(6,2)").alias("training_hours"),
-        ((F.lit(2000) + (key * 101) % 8001) / F.lit(100.0)).cast("decimal(6,2)").alias("engagement_score"),
-        ((F.lit(1000) + (key * 211) % 9001) / F.lit(100.0)).cast("decimal(6,2)").alias("satisfaction_score"),
-        ((key * 3) % 5).cast("int").alias("promotions"),
-        ((key * 5) % 31).cast("int").alias("leave_count"),
-        F.when(exited, "Yes").otherwise("No").alias("attrition"),
-        F.when(exited & (key % 11 != 0), F.concat(F.lit("Reason "), (key % 6).cast("string"))).alias("exit_reason"),
-    )
+    return joined.selectExpr(*[f"{expression} AS {name}" for name, expression in EMPLOYEE_COLUMNS.items()])
+
+
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 class Tables:
@@ -62,7 +67,14 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """Open a table; its footer schema is looked up once per session, not once per query."""
+        path = f"{self.folder}/{name}.parquet"
+        known = _SCHEMAS.get((self.spark.sparkContext.applicationId, path))
+        if known is not None:
+            return self.spark.read.schema(known).parquet(path)
+        df = self.spark.read.parquet(path)
+        _SCHEMAS[(self.spark.sparkContext.applicationId, path)] = df.schema
+        return df
 
     @cached_property
     def region(self) -> DataFrame:
