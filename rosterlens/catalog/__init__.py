@@ -6,7 +6,7 @@ from importlib import import_module
 
 from rosterlens.catalog.registry import REGISTRY, Query
 
-MODULES = ("dashboards", "windows")
+MODULES = ("measures", "reshape", "hierarchy")
 _ALL = (
     "columns", "filters", "joins", "reports", "dashboards", "windows", "measures", "reshape", "hierarchy",
     "loads", "checks", "security", "risk", "sources", "streams",
