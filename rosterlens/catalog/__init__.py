@@ -6,8 +6,7 @@ from importlib import import_module
 
 from rosterlens.catalog.registry import REGISTRY, Query
 
-MODULES = ("loads",)
-_ALL = (
+MODULES = (
     "columns", "filters", "joins", "reports", "dashboards", "windows", "measures", "reshape", "hierarchy",
     "loads", "checks", "security", "risk", "sources", "streams",
 )

@@ -342,8 +342,8 @@ def attrition_events(t):
 
 @query("l11_headcount_monthly", emp(f"""
 SELECT date_key, department, job_level, count(*) AS total_headcount, {cnt('is_active_flag')} AS active_headcount, round(sum(fte_value), 2) AS fte_total,
- {avg('tenure_months')} AS avg_tenure_months, round(avg(compa_ratio), 4) AS avg_compa_ratio, round(avg(flight_risk_score), 2) AS avg_flight_risk_score,
- round(avg(engagement_score), 2) AS avg_engagement_score FROM fact GROUP BY 1, 2, 3""", *FACT))
+ {avg('tenure_months')} AS avg_tenure_months, {avg('CAST(compa_ratio AS DECIMAL(14,4))', digits=4)} AS avg_compa_ratio, {avg('CAST(flight_risk_score AS DECIMAL(14,4))')} AS avg_flight_risk_score,
+ {avg('CAST(engagement_score AS DECIMAL(14,4))')} AS avg_engagement_score FROM fact GROUP BY 1, 2, 3""", *FACT))
 def headcount_monthly(t):
     return summaries.headcount_monthly(snapshot_fact(t), ["department", "job_level"])
 

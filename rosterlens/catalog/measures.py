@@ -235,13 +235,19 @@ rated AS (SELECT *, CAST(exits AS DOUBLE) / headcount AS rate, CAST(sum(exits) O
  WINDOW y AS (PARTITION BY year(month_end) ORDER BY month_end))"""
 
 
-def monthly_fact(t):
+def monthly_cohorts(t):
+    """Employees summed by hire month and end month, then repeated per month between the two.
+
+    Cohorts number at most months x months, so the rows are reduced before they multiply.
+    """
     left = F.col("attrition") == "Yes"
-    exit_day = F.date_add("hire_date", 400)
-    end = F.when(left, exit_day).otherwise(F.lit("2001-12-31").cast("date"))
-    rows = month_spine_rows(t.employee, F.col("hire_date"), end, "1995-01-01", "2001-12-31")
-    is_exit = F.when(left & (F.col("month_end") == F.last_day(exit_day)), 1).otherwise(0)
-    return rows.withColumn("is_exit", is_exit)
+    end = F.when(left, F.date_add("hire_date", 400)).otherwise(F.lit("2001-12-31").cast("date"))
+    cohorts = t.employee.groupBy(
+        F.trunc("hire_date", "MM").alias("from_month"), F.trunc(end, "MM").alias("to_month"), left.alias("leaves")
+    ).agg(F.count(F.lit(1)).alias("headcount"), F.sum("salary").alias("pay"))
+    rows = month_spine_rows(cohorts, F.col("from_month"), F.col("to_month"), "1995-01-01", "2001-12-31")
+    exits = F.when(F.col("leaves") & (F.trunc("month_end", "MM") == F.col("to_month")), F.col("headcount")).otherwise(F.lit(0))
+    return rows.withColumn("exits", exits)
 
 
 @query("x02_monthly_attrition_trend", emp("""
@@ -251,5 +257,5 @@ SELECT strftime(r.month_end, '%Y-%m-%d') AS month_end, r.headcount, r.exits, rou
  round(r.avg_salary - p.avg_salary, 2) AS avg_salary_change_vs_py
 FROM rated r LEFT JOIN rated p ON r.month_end = last_day(p.month_end + INTERVAL 12 MONTH)""", MONTHLY))
 def monthly_trend(t):
-    trend = catalogue.monthly_trend(monthly_fact(t))
+    trend = catalogue.monthly_trend(monthly_cohorts(t))
     return trend.withColumn("month_end", F.date_format("month_end", "yyyy-MM-dd"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.functions import bands, display, scores
@@ -294,16 +294,17 @@ def subtitle(df: DataFrame, filtered: bool) -> DataFrame:
     )
 
 
-def monthly_trend(fact: DataFrame, month: str = "month_end", left: str = "is_exit", pay: str = "salary") -> DataFrame:
+def monthly_trend(fact: DataFrame, month: str = "month_end", headcount: str = "headcount", exits: str = "exits",
+                  pay: str = "pay") -> DataFrame:
     """Monthly attrition rate with year-to-date, same month last year, change, arrow and pay change.
 
-    The fact is reduced to one row per month before any ordering; last year's row is found
-    by its date, so a missing month yields no comparison instead of a shifted one.
+    The fact (rows or cohorts carrying head count, exits and total pay) is reduced to one row
+    per month before any ordering; last year's row is found by its date, so a missing month
+    yields no comparison instead of a shifted one.
     """
-    from pyspark.sql import Window
-
     months = fact.groupBy(month).agg(
-        n_rows().alias("headcount"), F.sum(left).alias("exits"), mean(pay).alias("avg_salary")
+        F.sum(headcount).alias("headcount"), F.sum(exits).alias("exits"),
+        safe_divide(F.sum(pay), F.sum(headcount)).alias("avg_salary"),
     )
     year = Window.partitionBy(F.year(month)).orderBy(month).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rated = months.withColumn("rate", safe_divide(F.col("exits"), F.col("headcount"), 0.0)).withColumn(

@@ -17,18 +17,45 @@ def value_counts_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias(_FREQ))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
+                    distributed: bool | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, one column per name in `probs`.
 
-    Counting distinct values first keeps the final quantile step bounded by the number of
-    distinct values of the measure instead of the number of rows.
+    Whole numbers and decimals of the model have a limited range (pay in dollars, scores with
+    two decimals), so counting distinct values first keeps the final quantile step small.
+    Floating-point measures can have as many values as rows; for those (or with
+    distributed=True) the quantiles are read off the positions of a bucketed running total.
     """
+    if distributed is None:
+        distributed = df.schema[value].dataType.typeName() in ("double", "float")
+    if distributed:
+        return _quantiles_by_position(df, by, value, probs)
     counts = value_counts_by(df, by, value)
     return counts.groupBy(*by).agg(
         *[F.percentile(value, F.lit(float(p)), F.col(_FREQ)).alias(name) for name, p in probs.items()]
     )
 
 
+def _quantiles_by_position(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    from rosterlens.operators.ranking import value_positions
+
+    placed = value_positions(df.where(F.col(value).isNotNull()), by, value)
+    number = F.col(value).cast("double")
+
+    def at(index: Column) -> Column:
+        """Value at a 0-based position: exactly one row of the group covers it."""
+        return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("ties")), number))
+
+    aggregates, result = [], {}
+    for i, (name, p) in enumerate(probs.items()):
+        spot = (F.col("total") - 1) * F.lit(float(p))
+        aggregates += [at(F.floor(spot)).alias(f"__lo{i}"), at(F.ceil(spot)).alias(f"__hi{i}"),
+                       F.max(spot - F.floor(spot)).alias(f"__part{i}")]
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        result[name] = low + (high - low) * F.col(f"__part{i}")
+    return placed.groupBy(*by).agg(*aggregates).select(*by, *[c.alias(name) for name, c in result.items()])
+
+
 def grouped_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, Column], quantile_of: str | None = None,
                  probs: Mapping[str, float] | None = None) -> DataFrame:
     """Sums per group plus, in the same pass over the rows, exact quantiles of one measure.

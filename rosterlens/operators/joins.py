@@ -47,12 +47,11 @@ def self_join_manager(teams: DataFrame, employee: DataFrame, columns: Mapping[st
 def left_self_join_manager(df: DataFrame, employee: DataFrame) -> DataFrame:
     """Attach the manager's name where there is one.
 
-    Only ids that occur as a manager are kept on the lookup side; rows of one huge team are
-    split by adaptive skew handling.
+    The lookup side is two columns wide with unique keys; a huge team is split by adaptive
+    skew handling on the row side.
     """
-    ids = df.where(F.col("manager_id").isNotNull()).select("manager_id").distinct()
     names = employee.select(F.col("employee_id").alias("manager_id"), F.col("employee_name").alias("manager_name"))
-    return df.join(names.join(ids, "manager_id", "left_semi"), "manager_id", "left")
+    return df.join(names, "manager_id", "left")
 
 
 def anti_join_orphans(df: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame:

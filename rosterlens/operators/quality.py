@@ -125,10 +125,12 @@ def unique_key(df: DataFrame, keys: Sequence[str], name: str | None = None) -> D
 
 
 def columns_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per expected column; compares schemas only."""
+    """One row per expected column: present or not, with its number of filled rows."""
     have = set(df.columns)
-    rows = [(c, 1.0 if c in have else 0.0, "1", c in have) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "check_name string, value double, expected string, passed boolean")
+    wide = df.agg(*[(F.count(c) if c in have else F.lit(0)).cast("bigint").alias(c) for c in columns])
+    return stack_rows(wide, [
+        {**_row(c, F.lit(1.0 if c in have else 0.0), "1", F.lit(c in have)), "filled_rows": F.col(c)} for c in columns
+    ])
 
 
 def sanity_bands(df: DataFrame, bands: Mapping[str, tuple[Column, float, float]], digits: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ values gives each value its position, and the rows look their position up.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,22 +100,24 @@ def _tile(position: Column, total: Column, n: int) -> Column:
     return F.when(position <= cutoff, early).otherwise(late).cast("bigint")
 
 
-def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str) -> DataFrame:
-    """Exact n-tiles over all rows ordered by (value, key).
+def assign_by_position(df: DataFrame, value: str, key: str, outputs: Mapping[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """Step functions of the exact position among all rows ordered by (value, key).
 
-    A value that falls wholly inside one tile needs no tiebreak. Only the few values that
-    straddle a tile border are ordered by key, again in buckets of the key.
+    Each output maps (1-based position, row count) to a label that only changes at a few
+    positions. A value whose rows all get the same labels needs no tiebreak; only the few
+    values that straddle a change are ordered by key, again in buckets of the key.
     """
     lookup = value_positions(df, [], value)
+    total = F.col("total")
     first, last = F.col("before") + 1, F.col("before") + F.col("ties")
     straddles = F.lit(False)
-    for n in tiles.values():
-        straddles = straddles | (_tile(first, F.col("total"), n) != _tile(last, F.col("total"), n))
+    for label in outputs.values():
+        straddles = straddles | (label(first, total) != label(last, total))
     placed = df.join(checked_broadcast(lookup.withColumn("__straddles", straddles)), value)
     helper = ["ties", "before", "total", "__straddles"]
 
     whole = placed.where(~F.col("__straddles"))
-    whole = whole.withColumns({name: _tile(first, F.col("total"), n) for name, n in tiles.items()})
+    whole = whole.withColumns({name: label(first, total) for name, label in outputs.items()})
 
     split = placed.where("__straddles")
     ordered = bucketed_running_total(
@@ -123,10 +125,24 @@ def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str)
     ).select(value, key, "__tied_before")
     split = split.join(ordered, [value, key])
     place = F.col("before") + F.col("__tied_before") + 1
-    split = split.withColumns({name: _tile(place, F.col("total"), n) for name, n in tiles.items()})
+    split = split.withColumns({name: label(place, total) for name, label in outputs.items()})
     return whole.drop(*helper).unionByName(split.drop(*helper, "__tied_before"))
 
 
+def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str) -> DataFrame:
+    """Exact n-tiles over all rows ordered by (value, key)."""
+    return assign_by_position(
+        df, value, key, {name: (lambda position, total, n=n: _tile(position, total, n)) for name, n in tiles.items()}
+    )
+
+
+def top_fraction(df: DataFrame, value: str, fraction: float, key: str, name: str = "in_top") -> DataFrame:
+    """Flag the highest floor(fraction * rows) rows by (value, key)."""
+    return assign_by_position(
+        df, value, key, {name: lambda position, total: position > total - F.floor(total * F.lit(fraction))}
+    )
+
+
 def deviation_from_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """value minus its group mean; the means are one row per group."""
     means = df.groupBy(*keys).agg(F.try_divide(F.sum(value).cast("double"), F.count(value)).alias("__mean"))

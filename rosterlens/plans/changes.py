@@ -144,8 +144,7 @@ def with_version_key(dim: DataFrame, key: str) -> DataFrame:
 def scd2_from_history(history: DataFrame, key: str, order: Sequence[str], check_cols: Sequence[str], bucket: Column) -> DataFrame:
     """Versions from an ordered change history: consecutive equal states are merged.
 
-    order[0] is the effective timestamp. A version ends where the next one starts. Version
-    numbers count per key through the running total of changes per bucket.
+    order[0] is the effective timestamp. A version ends where the next one starts.
     """
     seen = previous_row(history, [key], order, check_cols, bucket, "__prev")
     same = F.col("__prev").isNotNull() & reduce(

@@ -18,15 +18,16 @@ OVERALL = "Overall"
 
 
 def headcount_monthly(fact: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Head count, FTE and averages per month and segment."""
+    """Head count, FTE and averages per month and segment (means of exact decimal sums)."""
+    exact = lambda name: mean(F.col(name).cast("decimal(14,4)"))
     return fact.groupBy("date_key", *by).agg(
         n_rows().alias("total_headcount"),
         count_if(F.col("is_active_flag")).alias("active_headcount"),
         round_half_up(F.sum("fte_value").cast("double")).alias("fte_total"),
         round_half_up(mean("tenure_months")).alias("avg_tenure_months"),
-        round_half_up(F.avg("compa_ratio"), 4).alias("avg_compa_ratio"),
-        round_half_up(F.avg("flight_risk_score")).alias("avg_flight_risk_score"),
-        round_half_up(F.avg("engagement_score")).alias("avg_engagement_score"),
+        round_half_up(exact("compa_ratio"), 4).alias("avg_compa_ratio"),
+        round_half_up(exact("flight_risk_score")).alias("avg_flight_risk_score"),
+        round_half_up(exact("engagement_score")).alias("avg_engagement_score"),
     )
 
 

@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("ROSTERLENS_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
@@ -40,12 +41,17 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's checkpoint folder, or a temporary one when unset (tests)."""
+    """Folder every executor can reach: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="rosterlens-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        if app not in _fallback:
+            _fallback[app] = tempfile.mkdtemp(prefix="rosterlens-")
+        configured = _fallback[app]
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
