@@ -10,6 +10,7 @@ from rosterlens.functions import bands
 from rosterlens.functions.numeric import round_half_up
 from rosterlens.operators import attrition, compensation, ranking, talent
 from rosterlens.operators.grouping import share_of_total
+from rosterlens.session import written_table
 
 SORTABLE = [f"{i:02d}. {label}" for i, label in enumerate(bands.TENURE_LABELS_SHORT, 1)]
 
@@ -55,7 +56,7 @@ SELECT {', '.join(NTILE_COLUMNS)}, ntile(4) OVER (ORDER BY engagement_score, emp
  ntile(4) OVER (ORDER BY salary, employee_id) AS salary_quartile,
  ntile(10) OVER (ORDER BY engagement_score, employee_id) AS engagement_decile FROM employee"""))
 def ntile_buckets(t):
-    df = t.employee.select(*NTILE_COLUMNS, "engagement_score")
+    df = written_table(t.employee.select(*NTILE_COLUMNS, "engagement_score"), "ntile-rows")
     engaged = ranking.global_ntile(
         df, "engagement_score", {"engagement_quartile": 4, "engagement_decile": 10}, "employee_id"
     )
@@ -86,7 +87,7 @@ def global_percent_rank(t):
 @query("w08_global_ntile", emp("""
 SELECT employee_id, ntile(7) OVER (ORDER BY performance_rating, employee_id) AS rating_septile FROM employee"""))
 def global_ntile(t):
-    df = t.employee.select("employee_id", "performance_rating")
+    df = written_table(t.employee.select("employee_id", "performance_rating"), "ntile-rows")
     return ranking.global_ntile(df, "performance_rating", {"rating_septile": 7}, "employee_id").drop("performance_rating")
 
 

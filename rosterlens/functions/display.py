@@ -53,7 +53,7 @@ def display_format(value: Column | str, pattern: str) -> Column:
 def selected_value(values: Column | str, filtered: bool, several: str, unfiltered: str) -> Column:
     """Aggregate label of the current selection: the only value, 'several', or the unfiltered text."""
     if not filtered:
-        return F.first(F.lit(unfiltered))
+        return F.max(F.lit(unfiltered))
     values = col(values)
     only = F.min(values)
     return F.when(only == F.max(values), only).otherwise(F.lit(several))

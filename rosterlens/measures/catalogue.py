@@ -240,8 +240,6 @@ def evaluate(df: DataFrame, measures: Sequence[str], by: Sequence[str] = (), whe
     if where is not None:
         df = df.where(where)
     keys = list(by)
-    if not keys:
-        df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
     needed = [MEASURES[n] for n in _with_dependencies(measures)]
 
     plain = [m for m in needed if m.agg is not None]
@@ -253,8 +251,12 @@ def evaluate(df: DataFrame, measures: Sequence[str], by: Sequence[str] = (), whe
             by_column.setdefault(m.quantile[0], {})[m.name] = m.quantile[1]
     for column, probs in by_column.items():
         quantiles = exact_quantiles(df, keys, column, probs)
-        result = result.join(quantiles, keys, "left")
-        result = result.withColumns({name: _rounded(MEASURES[name], F.col(name)) for name in probs})
+        if keys:
+            result = result.join(quantiles, keys, "left")
+            values = {name: F.col(name) for name in probs}
+        else:
+            values = {name: quantiles.select(name).scalar() for name in probs}
+        result = result.withColumns({name: _rounded(MEASURES[name], value) for name, value in values.items()})
 
     for m in needed:
         if m.derive is not None:

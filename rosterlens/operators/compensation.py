@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions import bands, scores
 from rosterlens.functions.numeric import count_if, mean, n_rows, pct, round_half_up, safe_divide
-from rosterlens.operators.grouping import _FREQ, grouped_sums, share_of_total, value_counts_by
-from rosterlens.operators.ranking import percent_rank, rank_desc, value_positions
+from rosterlens.operators.grouping import _FREQ, exact_quantiles, share_of_total, value_counts_by
+from rosterlens.operators.ranking import percent_rank, position_lookup, rank_desc
 from rosterlens.operators.workforce import pay_gap_pct
-from rosterlens.session import checked_broadcast, cut_lineage
+from rosterlens.session import checked_broadcast, cut_lineage, written_table
 
 
 
@@ -150,19 +150,18 @@ def correlation_and_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def salary_position(employee: DataFrame, levels: DataFrame) -> DataFrame:
     """Percent rank and median distance in the level, rank in department x level, band compa-ratio."""
-    level = value_positions(employee, ["job_level"], "salary")
-    medians = value_counts_by(employee, ["job_level"], "salary").groupBy("job_level").agg(
-        F.percentile("salary", F.lit(0.5), F.col(_FREQ)).alias("level_median")
-    )
-    in_level = checked_broadcast(
-        level.join(medians, "job_level").select("job_level", "salary", percent_rank().alias("__pr"), "level_median")
-    )
-    in_team = checked_broadcast(
-        value_positions(employee, ["department", "job_level"], "salary")
-        .select("department", "job_level", "salary", rank_desc().alias("salary_rank_in_dept_level"))
-    )
-    rows = with_band_compa(employee, levels, "__compa")
-    return rows.join(in_level, ["job_level", "salary"]).join(in_team, ["department", "job_level", "salary"]).select(
+    rows = written_table(
+        with_band_compa(employee, levels, "__compa").select(
+            "employee_id", "employee_name", "department", "job_level", "level_name", "gender", "salary", "band_min", "band_max",
+            "__compa",
+        ),
+        "salary-position",
+    )
+    in_level = position_lookup(rows, ["job_level"], "salary", {"__pr": percent_rank()})
+    medians = checked_broadcast(exact_quantiles(rows, ["job_level"], "salary", {"level_median": 0.5}))
+    in_team = position_lookup(rows, ["department", "job_level"], "salary", {"salary_rank_in_dept_level": rank_desc()})
+    placed = rows.join(in_level, ["job_level", "salary"]).join(in_team, ["department", "job_level", "salary"])
+    return placed.join(medians, "job_level").select(
         "employee_id", "employee_name", "department", "job_level", "level_name", "gender", "salary", "band_min", "band_max",
         round_half_up(F.lit(100.0) * F.col("__pr"), 1).alias("salary_percentile_in_level"),
         round_half_up("__compa", 4).alias("compa_ratio"),

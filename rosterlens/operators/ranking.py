@@ -1,8 +1,8 @@
 """Ranks, n-tiles and running totals that never sort one whole group in a single task.
 
 Rank-type windows over a few large groups would put each group into one task. Here the
-rows are first counted per distinct value; a running total over ordered buckets of those
-values gives each value its position, and the rows look their position up.
+rows are first counted per distinct value; a running total over those values (in ordered
+buckets when there are many) gives each value its position, and the rows look it up.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.functions.numeric import col
-from rosterlens.session import checked_broadcast, cut_lineage
+from rosterlens.session import BROADCAST_ROW_LIMIT, WINDOW_ROW_LIMIT, checked_broadcast, cut_lineage
 
 BUCKETS = 4096
 
@@ -31,15 +31,29 @@ def row_number_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return df.withColumn("__rn", F.row_number().over(window)).where("__rn = 1").drop("__rn")
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, before: str = "before",
+                  total: str = "total", row_limit: int = WINDOW_ROW_LIMIT) -> tuple[DataFrame, int]:
+    """For rows unique per (keys, order): weight strictly before each row, and the group total.
+
+    The input is materialised and counted. Up to row_limit rows one window does it; beyond
+    that the total is built from ordered buckets. Returns the result and its row count.
+    """
+    stored = cut_lineage(df)
+    rows = stored.count()
+    if rows > row_limit:
+        return bucketed_running_total(stored, keys, order, weight, before, total), rows
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored.withColumn(before, F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
+    return placed.withColumn(total, F.sum(weight).over(Window.partitionBy(*keys))), rows
+
+
 def bucketed_running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, before: str = "before",
                            total: str = "total", buckets: int = BUCKETS) -> DataFrame:
-    """For rows unique per (keys, order): weight strictly before each row, and the group total.
+    """running_total for any size; df is read several times and should be materialised.
 
     Rows are put into equal-width ordered buckets of `order`; totals run over the bucket
-    sums (at most `buckets` rows per group) and inside each bucket separately. The input is
-    read several times, so it is materialised first.
+    sums (at most `buckets` rows per group) and inside each bucket separately.
     """
-    df = cut_lineage(df)
     value = F.col(order).cast("double")
     low = df.select(F.min(value)).scalar()
     span = df.select(F.max(value) - F.min(value)).scalar()
@@ -60,12 +74,24 @@ def bucketed_running_total(df: DataFrame, keys: Sequence[str], order: str, weigh
     )
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per (keys, value): rows with that value (`ties`), rows below it (`before`) and group size (`total`)."""
+def _positions(df: DataFrame, keys: Sequence[str], value: str, row_limit: int) -> tuple[DataFrame, int]:
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
     keyed = counts if keys else counts.withColumn("__all", F.lit(1))
-    placed = bucketed_running_total(keyed, list(keys) or ["__all"], value, "ties")
-    return placed.select(*keys, value, "ties", "before", "total")
+    placed, rows = running_total(keyed, list(keys) or ["__all"], value, "ties", row_limit=row_limit)
+    return placed.select(*keys, value, "ties", "before", "total"), rows
+
+
+def value_positions(df: DataFrame, keys: Sequence[str], value: str, row_limit: int = WINDOW_ROW_LIMIT) -> DataFrame:
+    """Per (keys, value): rows with that value (`ties`), rows below it (`before`) and group size (`total`)."""
+    return _positions(df, keys, value, row_limit)[0]
+
+
+def position_lookup(df: DataFrame, keys: Sequence[str], value: str, outputs: Mapping[str, Column],
+                    row_limit: int = WINDOW_ROW_LIMIT) -> DataFrame:
+    """Expressions over ties/before/total per (keys, value), hinted for broadcast when counted small."""
+    placed, rows = _positions(df, keys, value, row_limit)
+    lookup = placed.select(*keys, value, *[c.alias(n) for n, c in outputs.items()])
+    return F.broadcast(lookup) if rows <= BROADCAST_ROW_LIMIT else lookup
 
 
 def rank_asc() -> Column:
@@ -83,8 +109,7 @@ def percent_rank() -> Column:
 
 def with_ranks(df: DataFrame, keys: Sequence[str], value: str, outputs: Mapping[str, Column]) -> DataFrame:
     """Join rank expressions (over ties/before/total) back to the rows."""
-    lookup = value_positions(df, keys, value).select(*keys, value, *[c.alias(n) for n, c in outputs.items()])
-    return df.join(checked_broadcast(lookup), [*keys, value], "left")
+    return df.join(position_lookup(df, keys, value, outputs), [*keys, value], "left")
 
 
 def global_percent_rank(df: DataFrame, value: str, name: str = "pct_rank") -> DataFrame:
@@ -100,39 +125,42 @@ def _tile(position: Column, total: Column, n: int) -> Column:
     return F.when(position <= cutoff, early).otherwise(late).cast("bigint")
 
 
-def assign_by_position(df: DataFrame, value: str, key: str, outputs: Mapping[str, Callable[[Column, Column], Column]]) -> DataFrame:
+def assign_by_position(df: DataFrame, value: str, key: str, outputs: Mapping[str, Callable[[Column, Column], Column]],
+                       row_limit: int = WINDOW_ROW_LIMIT) -> DataFrame:
     """Step functions of the exact position among all rows ordered by (value, key).
 
     Each output maps (1-based position, row count) to a label that only changes at a few
     positions. A value whose rows all get the same labels needs no tiebreak; only the few
     values that straddle a change are ordered by key, again in buckets of the key.
     """
-    lookup = value_positions(df, [], value)
     total = F.col("total")
     first, last = F.col("before") + 1, F.col("before") + F.col("ties")
     straddles = F.lit(False)
     for label in outputs.values():
         straddles = straddles | (label(first, total) != label(last, total))
-    placed = df.join(checked_broadcast(lookup.withColumn("__straddles", straddles)), value)
     helper = ["ties", "before", "total", "__straddles"]
+    columns = {"ties": F.col("ties"), "before": F.col("before"), "total": total, "__straddles": straddles}
+    placed = df.join(position_lookup(df, [], value, columns, row_limit), value)
 
     whole = placed.where(~F.col("__straddles"))
     whole = whole.withColumns({name: label(first, total) for name, label in outputs.items()})
 
     split = placed.where("__straddles")
-    ordered = bucketed_running_total(
-        split.select(value, key, F.lit(1).alias("__one")), [value], key, "__one", "__tied_before", "__tied_total"
-    ).select(value, key, "__tied_before")
+    ordered, _ = running_total(
+        split.select(value, key, F.lit(1).alias("__one")), [value], key, "__one", "__tied_before", "__tied_total", row_limit
+    )
+    ordered = ordered.select(value, key, "__tied_before")
     split = split.join(ordered, [value, key])
     place = F.col("before") + F.col("__tied_before") + 1
     split = split.withColumns({name: label(place, total) for name, label in outputs.items()})
     return whole.drop(*helper).unionByName(split.drop(*helper, "__tied_before"))
 
 
-def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str) -> DataFrame:
+def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str, row_limit: int = WINDOW_ROW_LIMIT) -> DataFrame:
     """Exact n-tiles over all rows ordered by (value, key)."""
     return assign_by_position(
-        df, value, key, {name: (lambda position, total, n=n: _tile(position, total, n)) for name, n in tiles.items()}
+        df, value, key, {name: (lambda position, total, n=n: _tile(position, total, n)) for name, n in tiles.items()},
+        row_limit,
     )
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from rosterlens.functions import bands, scores
 from rosterlens.functions.numeric import count_if, mean, n_rows, pct, round_half_up, safe_divide
 from rosterlens.operators.grouping import share_of_total, value_counts
-from rosterlens.operators.ranking import percent_rank, rank_desc, value_positions
+from rosterlens.operators.ranking import percent_rank, position_lookup, rank_desc
 from rosterlens.operators.reshape import domain_index, stack_rows, top_k
-from rosterlens.session import checked_broadcast
+from rosterlens.session import checked_broadcast, written_table
 
 INTERNAL = "Internal Transfer"
 GENDERS = ("Male", "Female", "Non-binary")
@@ -187,30 +187,29 @@ def new_vs_existing_mix(employee: DataFrame) -> DataFrame:
 
 def engagement_position(employee: DataFrame) -> DataFrame:
     """Active employees: deviation from the department mean, ranks in the department, company percent rank."""
-    active = employee.where(scores.is_active())
-    engagement = value_positions(active, ["department"], "engagement_score").select(
-        "department", "engagement_score",
-        rank_desc().alias("engagement_rank_in_dept"),
-        F.when(percent_rank() <= 0.10, HRBP_FLAG).alias("hrbp_flag"),
-    )
-    company = value_positions(active, [], "engagement_score").select(
-        "engagement_score", round_half_up(F.lit(100.0) * percent_rank(), 1).alias("engagement_pct_rank_company")
-    )
-    pay = value_positions(active, ["department"], "salary").select(
-        "department", "salary", rank_desc().alias("salary_rank_in_dept")
-    )
     # Rating first, engagement second: one number in the same order (engagement is at most 100).
     order = (F.col("performance_rating") * 1000 + F.col("engagement_score")).cast("decimal(10,2)")
-    ranked = active.withColumn("__order", order)
-    perf = value_positions(ranked, ["department"], "__order").select(
-        "department", "__order", rank_desc().alias("perf_rank_in_dept")
+    active = written_table(
+        employee.where(scores.is_active()).select(
+            "employee_id", "employee_name", "department", "job_level", "engagement_score", "performance_rating", "salary",
+            order.alias("__order"),
+        ),
+        "engagement-position",
     )
+    engagement = position_lookup(active, ["department"], "engagement_score", {
+        "engagement_rank_in_dept": rank_desc(), "hrbp_flag": F.when(percent_rank() <= 0.10, HRBP_FLAG),
+    })
+    company = position_lookup(active, [], "engagement_score", {
+        "engagement_pct_rank_company": round_half_up(F.lit(100.0) * percent_rank(), 1),
+    })
+    pay = position_lookup(active, ["department"], "salary", {"salary_rank_in_dept": rank_desc()})
+    perf = position_lookup(active, ["department"], "__order", {"perf_rank_in_dept": rank_desc()})
     means = active.groupBy("department").agg(mean("engagement_score").alias("__mean"))
     rows = (
-        ranked.join(checked_broadcast(engagement), ["department", "engagement_score"])
-        .join(checked_broadcast(company), "engagement_score")
-        .join(checked_broadcast(pay), ["department", "salary"])
-        .join(checked_broadcast(perf), ["department", "__order"])
+        active.join(engagement, ["department", "engagement_score"])
+        .join(company, "engagement_score")
+        .join(pay, ["department", "salary"])
+        .join(perf, ["department", "__order"])
         .join(checked_broadcast(means), "department")
     )
     return rows.select(

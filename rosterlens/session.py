@@ -22,6 +22,9 @@ DEFAULTS = {
 # A side of a join is broadcast only when its counted size is at or below this many rows.
 BROADCAST_ROW_LIMIT = 200_000
 
+# A whole group is ordered in one window task only when all groups together have at most this many rows.
+WINDOW_ROW_LIMIT = 1_000_000
+
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """Session for tests and the local benchmark; clusters bring their own."""
@@ -68,6 +71,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder as parquet and read back.
+
+    For rows that several later passes read: each pass then scans only its own columns
+    instead of repeating the joins below.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checked_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Materialise a lookup once, count it, and hint a broadcast only if it is small.
 
