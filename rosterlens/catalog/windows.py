@@ -60,7 +60,7 @@ def ntile_buckets(t):
     engaged = ranking.global_ntile(
         df, "engagement_score", {"engagement_quartile": 4, "engagement_decile": 10}, "employee_id"
     )
-    return ranking.global_ntile(engaged, "salary", {"salary_quartile": 4}, "employee_id").drop("engagement_score")
+    return ranking.global_ntile(engaged, "salary", {"salary_quartile": 4}, "employee_id", source=df).drop("engagement_score")
 
 
 @query("w05_source_rank", emp(f"""

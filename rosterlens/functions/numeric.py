@@ -13,8 +13,8 @@ def col(c: Column | str) -> Column:
 def round_half_up(value: Column | str, digits: int = 2) -> Column:
     """Half-away-from-zero rounding on the scaled double.
 
-    F.round goes through the decimal text of the double, so 0.145 and 14.5/100 round
-    differently there; scaling first gives the same answer as other SQL engines.
+    F.round goes through the decimal text of the double, so it rounds 0.145 up although the
+    stored number lies below; scaling first rounds the number itself, as other SQL engines do.
     """
     value, scale = col(value).cast("double"), F.lit(10.0**digits)
     return F.signum(value) * F.floor(F.abs(value) * scale + F.lit(0.5)) / scale

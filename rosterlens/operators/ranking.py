@@ -126,12 +126,13 @@ def _tile(position: Column, total: Column, n: int) -> Column:
 
 
 def assign_by_position(df: DataFrame, value: str, key: str, outputs: Mapping[str, Callable[[Column, Column], Column]],
-                       row_limit: int = WINDOW_ROW_LIMIT) -> DataFrame:
+                       row_limit: int = WINDOW_ROW_LIMIT, source: DataFrame | None = None) -> DataFrame:
     """Step functions of the exact position among all rows ordered by (value, key).
 
     Each output maps (1-based position, row count) to a label that only changes at a few
     positions. A value whose rows all get the same labels needs no tiebreak; only the few
-    values that straddle a change are ordered by key, again in buckets of the key.
+    values that straddle a change are ordered by key, again in buckets of the key. `source`
+    may name a cheaper table with the same rows to count the values from.
     """
     total = F.col("total")
     first, last = F.col("before") + 1, F.col("before") + F.col("ties")
@@ -140,7 +141,7 @@ def assign_by_position(df: DataFrame, value: str, key: str, outputs: Mapping[str
         straddles = straddles | (label(first, total) != label(last, total))
     helper = ["ties", "before", "total", "__straddles"]
     columns = {"ties": F.col("ties"), "before": F.col("before"), "total": total, "__straddles": straddles}
-    placed = df.join(position_lookup(df, [], value, columns, row_limit), value)
+    placed = df.join(position_lookup(df if source is None else source, [], value, columns, row_limit), value)
 
     whole = placed.where(~F.col("__straddles"))
     whole = whole.withColumns({name: label(first, total) for name, label in outputs.items()})
@@ -156,11 +157,12 @@ def assign_by_position(df: DataFrame, value: str, key: str, outputs: Mapping[str
     return whole.drop(*helper).unionByName(split.drop(*helper, "__tied_before"))
 
 
-def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str, row_limit: int = WINDOW_ROW_LIMIT) -> DataFrame:
+def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str, row_limit: int = WINDOW_ROW_LIMIT,
+                 source: DataFrame | None = None) -> DataFrame:
     """Exact n-tiles over all rows ordered by (value, key)."""
     return assign_by_position(
         df, value, key, {name: (lambda position, total, n=n: _tile(position, total, n)) for name, n in tiles.items()},
-        row_limit,
+        row_limit, source,
     )
 
 
