@@ -19,10 +19,12 @@ def test_drivers_scan_the_rows_once(tables):
 
 def test_filters_and_columns_reach_the_scan(spark, tables):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    plan = plan_of(tables.employee.where("attrition = 'Yes'").select("employee_id", "salary"))
-    scan = next(line for line in plan.splitlines() if "orders.parquet" in line)
-    assert "EqualTo(o_orderstatus,F)" in scan
-    assert "o_orderpriority" not in scan and "o_orderdate" not in scan
+    rows = tables.employee.where("department = 'BUILDING' and hire_date >= date'2000-01-01'").select("employee_id", "salary")
+    lines = plan_of(rows).splitlines()
+    orders = next(line for line in lines if "orders.parquet" in line)
+    customer = next(line for line in lines if "customer.parquet" in line)
+    assert "GreaterThanOrEqual(o_orderdate,2000-01-01" in orders and "EqualTo(c_mktsegment,BUILDING)" in customer
+    assert "o_orderpriority" not in orders and "o_orderstatus" not in orders and "c_name" not in customer
 
 
 def test_customer_is_not_forced_to_broadcast(spark, tables):
