@@ -32,6 +32,11 @@ UNION ALL
 SELECT c.employee_id, e.manager_id, c.distance + 1 FROM closure c JOIN employee e ON c.ancestor = e.employee_id WHERE e.manager_id IS NOT NULL)"""
 
 
+@query("j09_recursive_join", emp("SELECT employee_id, ancestor, CAST(distance + 1 AS BIGINT) AS distance FROM closure", CLOSURE))
+def recursive_join(t):
+    return hierarchy.ancestor_closure(t.employee.select("employee_id", "manager_id"))
+
+
 @query("h03_rollup_counts", emp("""
 SELECT ancestor AS employee_id, count(*) FILTER (WHERE distance = 0) AS direct_report_count, count(*) AS total_org_size,
  round(CAST(count(*) FILTER (WHERE distance = 0) AS DOUBLE) / count(*), 4) AS span_of_control_ratio FROM closure GROUP BY 1""", CLOSURE))

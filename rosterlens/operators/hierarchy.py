@@ -63,19 +63,24 @@ def org_reachability(df: DataFrame, node: str = "employee_id", parent: str = "ma
     ).withColumn("employees_unreached", total - F.col("employees_reached"))
 
 
+def ancestor_closure(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", max_depth: int = 15) -> DataFrame:
+    """One row per node and ancestor with their distance (1 = direct manager)."""
+    paths = ancestor_paths(df, node, parent, node, max_depth)
+    above = F.slice(F.reverse("ids"), 2, max_depth + 1)
+    steps = paths.select(F.col("id").alias(node), F.posexplode(above).alias("distance", "ancestor"))
+    return steps.select(node, "ancestor", (F.col("distance") + 1).cast("bigint").alias("distance"))
+
+
 def rollup_counts(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", max_depth: int = 15) -> DataFrame:
     """Direct reports, total organisation size and their ratio per manager.
 
     Every node adds one to each of its ancestors; the counts are combined before the shuffle.
     """
-    paths = ancestor_paths(df, node, parent, node, max_depth)
-    steps = paths.select(
-        F.posexplode(F.slice(F.reverse("ids"), 2, max_depth + 1)).alias("distance", "manager")
-    )
-    return steps.groupBy(F.col("manager").alias(node)).agg(
-        F.count(F.when(F.col("distance") == 0, 1)).alias("direct_report_count"),
+    direct = F.count(F.when(F.col("distance") == 1, 1))
+    return ancestor_closure(df, node, parent, max_depth).groupBy(F.col("ancestor").alias(node)).agg(
+        direct.alias("direct_report_count"),
         F.count(F.lit(1)).alias("total_org_size"),
-        round_half_up(F.count(F.when(F.col("distance") == 0, 1)) / F.count(F.lit(1)), 4).alias("span_of_control_ratio"),
+        round_half_up(direct / F.count(F.lit(1)), 4).alias("span_of_control_ratio"),
     )
 
 
