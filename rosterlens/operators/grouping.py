@@ -119,7 +119,7 @@ def value_counts(df: DataFrame, column: str, categories: Sequence | None = None,
         return counts
     schema = f"{column} {df.schema[column].dataType.simpleString()}, sort_index int"
     wanted = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(categories, 1)], schema)
-    return F.broadcast(wanted).join(counts, column, "left").select(
+    return wanted.join(counts, column, "left").select(
         column, "sort_index", F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
     )
 

@@ -25,13 +25,20 @@ def write_clustered(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     writer.parquet(path)
 
 
-def publish(df: DataFrame, root: str) -> int:
-    """Write a new version folder, then record it; readers see the old version until the record exists."""
+VERSION_SCHEMA = "version int, folder string, tag string"
+
+
+def publish(df: DataFrame, root: str, tag: str | None = None) -> int:
+    """Write a new version folder, then record it; readers see the old version until the record exists.
+
+    The tag names what the version contains (a batch id, say), so a repeated load can tell
+    that it was already published. One writer per root.
+    """
     spark = df.sparkSession
     version = current_version(spark, root) + 1
     folder = f"{root}/data/v{version}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(folder)
-    record = spark.createDataFrame([(version, folder)], "version int, folder string")
+    record = spark.createDataFrame([(version, folder, tag)], VERSION_SCHEMA)
     record.coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return version
 
@@ -40,7 +47,7 @@ def _versions(spark: SparkSession, root: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema("version int, folder string").parquet(f"{root}/versions")
+    return spark.read.schema(VERSION_SCHEMA).parquet(f"{root}/versions")
 
 
 def current_version(spark: SparkSession, root: str) -> int:
@@ -48,6 +55,11 @@ def current_version(spark: SparkSession, root: str) -> int:
     return 0 if versions is None else versions.agg(F.max("version")).first()[0] or 0
 
 
+def current_tag(spark: SparkSession, root: str) -> str | None:
+    versions = _versions(spark, root)
+    return None if versions is None else versions.orderBy(F.desc("version")).select("tag").first()[0]
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     newest = _versions(spark, root).orderBy(F.desc("version")).select("folder").first()
     return spark.read.parquet(newest[0])

@@ -38,21 +38,24 @@ def windowed_counts(events: DataFrame, ts: str, by: Sequence[str], width: str =
 def apply_changes(root: str, key: str, order: Sequence[str], audited: Sequence[str], log_path: str) -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: newest row per key, change log against the stored state, new state version.
 
-    A batch replayed after a failure overwrites its own log folder and compares against the
-    state again, so it adds nothing twice.
+    The log is written before the state. A batch replayed after a failure in between rewrites
+    its own log folder against the same old state; one replayed after its state was published
+    is recognised by the version's tag and skipped. The root belongs to one stream.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if storing.current_tag(spark, root) == str(batch_id):
+            return
         newest = latest_per_key(batch, [key], order)
         if storing.current_version(spark, root) == 0:
-            storing.publish(newest, root)
+            storing.publish(newest, root, str(batch_id))
             return
         state = storing.read_current(spark, root).select(*newest.columns)
         log = changes.change_log(state, newest, key, audited)
         log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
         merged = changes.upsert(state, newest, key, newest.columns, newest.columns).drop("action")
-        storing.publish(merged, root)
+        storing.publish(merged, root, str(batch_id))
 
     return handle
 

@@ -135,6 +135,7 @@ def test_stream_applies_each_delivery_once(spark):
         state(spark, *rows).write.mode("append").parquet(folder)
         incremental.stream_changes(incremental.file_stream(spark, folder, schema), handler, checkpoint)
     incremental.stream_changes(incremental.file_stream(spark, folder, schema), handler, checkpoint)
+    handler(state(spark, (1, 3, "c", "A"), (3, 1, "n", "C")), 1)  # a replay of the second batch
     assert as_set(storing.read_current(spark, root), "id", "note") == {(1, "c"), (2, "x"), (3, "n")}
     assert as_set(spark.read.parquet(log), "id", "old_value", "new_value") == {(1, "b", "c")}
 
