@@ -1,0 +1,172 @@
+"""Secret scan: a random forest removes false positives among the candidates that a scan of the whole texts finds.
+
+A candidate is a maximal run of ASCII letters, digits and ``+ / _ = -`` that has at least 16 characters and a digit, or
+at least 24 characters. Its features are its length, the changes between character classes, the shares of digits and
+capitals, entropy, coverage by the dictionary (letter trigrams that are frequent over all documents), what its path says and
+which words stand next to it. The forest is trained on labelled findings, at most ``TRAIN_ROWS`` of either label (the
+smallest hashes); where the labels know one class only, the class of the closest rule stands in for the score.
+
+No given table has labelled findings, so ``rule_labels`` makes them: key formats of well-known issuers and runs that a
+credential word assigns are secrets; runs of letters, numbers, identifiers and paths are not; the rest has no label.
+
+Edge cases. Null and empty texts have no candidates; a null path counts as an empty one. Rows with a null id are scanned
+like others. Repeated rows give repeated findings. An empty table gives an empty result. Other columns are ignored,
+whatever their names.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rosterlens.session import written_table
+
+TRAIN_ROWS = 10_000
+TREES = 20
+DEPTH = 6
+NEAR_BUCKETS = 8
+COMMON = 2e-5  # share of all trigrams from which one belongs to the dictionary
+RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+
+# Words that announce a credential, words of paths that hold samples, key formats of issuers.
+CREDENTIAL = ("access", "api", "auth", "bearer", "credential", "key", "passwd", "password", "pwd", "secret", "token")
+SAMPLE_PATH = ("demo", "doc", "example", "fixture", "mock", "sample", "test")
+FORMATS = re.compile(r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35})$")
+
+FEATURES = ["length", "changes", "digits", "capitals", "entropy", "coverage", "sample_path", "announced", "assigned", "quoted"]
+FEATURES += [f"before_{k}" for k in range(NEAR_BUCKETS)] + [f"after_{k}" for k in range(NEAR_BUCKETS)]
+_ANNOUNCE = re.compile("|".join(CREDENTIAL))
+_LETTER = np.full(256, 26, np.int64)
+_LETTER[97:123] = np.arange(26)
+_LETTER[65:91] = np.arange(26)
+
+
+def _trigrams(data: np.ndarray) -> np.ndarray:
+    letters = _LETTER[data]
+    if len(letters) < 3:
+        return np.zeros(0, np.int64)
+    a, b, c = letters[:-2], letters[1:-1], letters[2:]
+    return (a * 676 + b * 26 + c)[(a < 26) & (b < 26) & (c < 26)]
+
+
+def _trigram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(26**3, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            for at in range(0, len(data), 1 << 20):
+                counts += np.bincount(_trigrams(data[at : at + (1 << 20) + 2]), minlength=26**3)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["trigram", "n"])
+
+
+def trigram_dictionary(docs: DataFrame, text: str = "text", common: float = COMMON) -> np.ndarray:
+    """Which of the 26 ** 3 letter trigrams are frequent over all texts."""
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(_trigram_batches, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
+    table = counted.toArrow()  # at most 17,576 rows
+    known = np.zeros(26**3, bool)
+    n = table["n"].to_numpy()
+    known[table["trigram"].to_numpy()[n >= common * n.sum()]] = True
+    return known
+
+
+def _bucket(word: str) -> int:
+    return sum(word.lower().encode()) % NEAR_BUCKETS if word else -1
+
+
+def candidate_rows(text: str, path: str, dictionary: np.ndarray) -> Iterator[tuple]:
+    """(start, candidate, announced word, features) of each candidate of one text."""
+    sample = float(any(w in path.lower() for w in SAMPLE_PATH))
+    for match in RUN.finditer(text):
+        run = match[0]
+        if len(run) < 24 and not any("0" <= c <= "9" for c in run):
+            continue
+        before = text[max(0, match.start() - 64) : match.start()]
+        after = text[match.end() : match.end() + 32]
+        body, head = run, ""
+        if "=" in run.rstrip("="):  # name=value in one run
+            head, _, body = run.partition("=")
+            before = f"{before}{head}="
+        close = re.findall(r"[^\W\d]+", before[-40:])
+        announced = _ANNOUNCE.search(before[-40:].lower()) is not None
+        assigned = re.search(r"[=:]\s*[\"']?$", before) is not None
+        data = np.frombuffer(body.encode(), np.uint8)
+        kind = np.select([(data >= 97) & (data <= 122), (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)], [0, 1, 2], 3)
+        size = max(1, len(body))
+        shares = np.array(list(Counter(body).values())) / size
+        grams = _trigrams(data)
+        coverage = dictionary[grams].sum() / max(1, len(body) - 2)
+        follow = re.findall(r"[^\W\d]+", after)
+        near = np.zeros(2 * NEAR_BUCKETS)
+        for side, word in ((0, close[-1] if close else ""), (1, follow[0] if follow else "")):
+            if word:
+                near[side * NEAR_BUCKETS + _bucket(word)] = 1.0
+        yield match.start(), run, body, announced, assigned, [
+            float(size), float((kind[1:] != kind[:-1]).sum() / size), float((kind == 2).mean()) if len(body) else 0.0, float((kind == 1).mean()) if len(body) else 0.0,
+            float(-(shares * np.log2(shares)).sum()), float(coverage), sample, float(announced), float(assigned), float(before.endswith(("\"", "'"))), *near,
+        ]
+
+
+def rule_label(body: str, announced: bool, assigned: bool) -> int | None:
+    """1 secret, 0 none, None unknown."""
+    if FORMATS.match(body) or (announced and assigned and len(set(body)) > 6):
+        return 1
+    if not announced and (body.isalpha() or body.isdigit() or not any(c.isdigit() for c in body)):
+        return 0
+    return None
+
+
+_SCHEMA = "doc_id {}, start long, length int, candidate string, features array<double>, rule int"
+
+
+def find_candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", dictionary: np.ndarray | None = None) -> DataFrame:
+    """doc_id, start (characters), length, candidate, features and rule (label by rule) of every candidate."""
+    known = docs.sparkSession.sparkContext.broadcast(trigram_dictionary(docs, text) if dictionary is None else dictionary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i in range(batch.num_rows):
+                string = batch.column(1)[i].as_py()
+                for start, whole, body, announced, assigned, features in candidate_rows(string, batch.column(2)[i].as_py() or "", known.value) if string else ():
+                    rows.append(i)
+                    found.append((start, len(whole), whole, features, rule_label(body, announced, assigned)))
+            columns = list(zip(*found)) if found else [()] * 5
+            types = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.int32())
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "start", "length", "candidate", "features", "rule"])
+
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path"))
+    return chosen.mapInArrow(run, _SCHEMA.format(docs.schema[doc_id].dataType.simpleString()))
+
+
+def score_candidates(candidates: DataFrame, label: Column | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Candidates with score (probability of a secret); ``label`` (1, 0 or null) marks the labelled findings."""
+    wide = candidates.withColumn("_label", (F.col("rule") if label is None else label).cast("int"))
+    order = F.xxhash64("candidate", "features")
+    samples = [wide.where(F.col("_label") == k).orderBy(order, "doc_id", "start").limit(train_rows) for k in (0, 1)]
+    spread = lambda df: df.withColumns({name: F.element_at("features", i + 1) for i, name in enumerate(FEATURES)})
+    train = written_table(samples[0].unionByName(samples[1]), "findings")
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="_vector")
+    if train.select("_label").distinct().count() < 2:
+        return wide.withColumn("score", F.coalesce(F.col("_label"), F.lit(0)).cast("double")).drop("_label")
+    forest = RandomForestClassifier(featuresCol="_vector", labelCol="_label", numTrees=TREES, maxDepth=DEPTH, seed=1)
+    model = forest.fit(assembler.transform(spread(train)).select("_label", "_vector"))
+    scored = model.transform(assembler.transform(spread(wide)))
+    return scored.withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("_label", "_vector", "rawPrediction", "probability", "prediction", *FEATURES)
+
+
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", least_score: float = 0.5) -> DataFrame:
+    """doc_id, start, length, digest (MD5 of the candidate, which itself is not repeated), score and is_secret."""
+    candidates = written_table(find_candidates(docs, doc_id, text, path), "candidates")
+    scored = score_candidates(candidates)
+    return scored.select("doc_id", "start", "length", F.md5("candidate").alias("digest"), F.round("score", 6).alias("score"), (F.col("score") >= least_score).alias("is_secret"))
