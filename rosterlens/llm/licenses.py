@@ -52,14 +52,14 @@ def _words(text: Column) -> Column:
 def _runs(words: Column, size: int) -> Column:
     """Hashes of all runs of ``size`` words (given as an array of word hashes), in order."""
     last = F.size(words) - F.lit(size - 1)
-    pieces = [lambda i, k=k: F.element_at(words, i + F.lit(k)) for k in range(size)]
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*[p(i) for p in pieces]))).otherwise(F.array().cast("array<bigint>"))
+    run = lambda i: F.xxhash64(*[F.element_at(words, i + F.lit(k)) for k in range(size)])
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _bands(shingles: Column) -> Column:
     """Band keys of a set of shingles: minima of seeded hashes, ``ROWS`` to a band."""
-    least = [F.array_min(F.transform(shingles, lambda h, s=s: F.xxhash64(h, F.lit(s)))) for s in range(BANDS * ROWS)]
-    return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+    least = F.transform(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda s: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, s))))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(least, b * ROWS + 1, ROWS)))
 
 
 def _split(text: str) -> list[str]:
@@ -75,31 +75,36 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return table.select("license", "length", F.array_distinct(shingles).alias("wanted"))
 
 
+def _windows_of(length: int, wanted: list[int]) -> Column:
+    """The windows of ``length`` words that hold one of the wanted shingles, as structs (length, at, shingles)."""
+    k = min(SHINGLE, length)
+    runs = F.col(f"runs{k}")
+    inside = length - k + 1  # shingles of a window
+    own = F.array(*map(F.lit, sorted(set(wanted))))
+    last = F.greatest(F.size(runs) - F.lit(inside), F.lit(0))
+    hits = F.filter(F.transform(runs, lambda h, i: F.when(F.array_contains(own, h), i)), lambda i: i.isNotNull())
+    around = F.transform(hits, lambda i: F.sequence(F.least(F.greatest(i - F.lit(inside - 1), F.lit(0)), last), F.least(i, last)))
+    starts = F.array_distinct(F.flatten(around))
+    return F.transform(starts, lambda at: F.struct(F.lit(length).alias("length"), at.alias("at"), F.slice(runs, at + 1, inside).alias("shingles")))
+
+
 def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, license, windows (verified windows), first_word (position of the first, from 0) and containment (largest)."""
     known = template_table(docs.sparkSession, templates)
     by_length: dict[int, list[int]] = {}
     for row in known.collect():  # the fixed list of templates
         by_length.setdefault(row.length, []).extend(row.wanted)
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
     sizes = sorted({min(SHINGLE, n) for n in by_length})
-    runs = hashed.select("doc_id", *[_runs(F.col("words"), k).alias(f"runs{k}") for k in sizes])
-    any_hit = reduce(lambda a, b: a | b, [F.arrays_overlap(f"runs{k}", F.array(*[F.lit(h) for n, w in by_length.items() if min(SHINGLE, n) == k for h in w])) for k in sizes])
+    # Exploding an array of one keeps the optimizer from repeating the tokenizing in every expression that reads it.
+    once = lambda c: F.explode(F.array(c))
+    hashed = docs.select(F.col(doc_id).alias("doc_id"), once(F.transform(_words(F.col(text)), lambda w: F.xxhash64(w))).alias("words"))
+    runs = hashed.select("doc_id", once(F.struct(*[_runs(F.col("words"), k).alias(f"runs{k}") for k in sizes])).alias("r")).select("doc_id", "r.*")
+    wanted_of = lambda k: sorted({h for n, w in by_length.items() if min(SHINGLE, n) == k for h in w})
+    any_hit = reduce(lambda a, b: a | b, [F.arrays_overlap(f"runs{k}", F.array(*map(F.lit, wanted_of(k)))) for k in sizes])
     touched = runs.where(any_hit)
 
-    classes = []
-    for length, wanted in sorted(by_length.items()):
-        k = min(SHINGLE, length)
-        inside = length - k + 1  # shingles of a window
-        own = F.array(*[F.lit(h) for h in sorted(set(wanted))])
-        hits = F.filter(F.transform(f"runs{k}", lambda h, i: F.when(F.array_contains(own, h), i)), lambda i: i.isNotNull())
-        last = F.greatest(F.size(f"runs{k}") - F.lit(inside), F.lit(0))
-        starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.least(F.greatest(i - F.lit(inside - 1), F.lit(0)), last), F.least(i, last)))))
-        classes.append(
-            touched.select("doc_id", F.lit(length).alias("length"), F.explode(starts).alias("at"), F.col(f"runs{k}").alias("runs"))
-            .select("doc_id", "length", "at", F.slice("runs", F.col("at") + 1, inside).alias("shingles"))
-        )
-    windows = reduce(DataFrame.unionByName, classes)
+    classes = [_windows_of(length, wanted) for length, wanted in sorted(by_length.items())]
+    windows = touched.select("doc_id", F.explode(F.concat(*classes)).alias("w")).select("doc_id", "w.*")
     banded = windows.withColumn("band", F.explode(_bands(F.col("shingles"))))
     templates_by_band = known.withColumn("band", F.explode(_bands(F.col("wanted"))))
     pairs = banded.join(F.broadcast(templates_by_band), ["length", "band"])
