@@ -23,8 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,15 +153,13 @@ def score_candidates(candidates: DataFrame, label: Column | None = None, train_r
     wide = candidates.withColumn("_label", (F.col("rule") if label is None else label).cast("int"))
     order = F.xxhash64("candidate", "features")
     samples = [wide.where(F.col("_label") == k).orderBy(order, "doc_id", "start").limit(train_rows) for k in (0, 1)]
-    spread = lambda df: df.withColumns({name: F.element_at("features", i + 1) for i, name in enumerate(FEATURES)})
     train = written_table(samples[0].unionByName(samples[1]), "findings")
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="_vector")
     if train.select("_label").distinct().count() < 2:
         return wide.withColumn("score", F.coalesce(F.col("_label"), F.lit(0)).cast("double")).drop("_label")
     forest = RandomForestClassifier(featuresCol="_vector", labelCol="_label", numTrees=TREES, maxDepth=DEPTH, seed=1)
-    model = forest.fit(assembler.transform(spread(train)).select("_label", "_vector"))
-    scored = model.transform(assembler.transform(spread(wide)))
-    return scored.withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("_label", "_vector", "rawPrediction", "probability", "prediction", *FEATURES)
+    model = forest.fit(train.select("_label", array_to_vector("features").alias("_vector")))
+    scored = model.transform(wide.withColumn("_vector", array_to_vector("features")))
+    return scored.withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("_label", "_vector", "rawPrediction", "probability", "prediction")
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", least_score: float = 0.5) -> DataFrame:
