@@ -28,7 +28,7 @@ from rosterlens.llm.wordhash import mix, word_groups
 
 TRAIN_ROWS = 12_000
 BITS = 18
-PREFIX = 5
+PREFIXES = (4, 5)  # bytes
 BINS = 16
 
 
@@ -50,7 +50,7 @@ def _share_feature(kind: int, share: np.ndarray) -> np.ndarray:
 
 def text_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Groups of (first_row, number of features per row, hashed feature indices)."""
-    for row, counts, words, prefixes, starts, ends in word_groups(texts, PREFIX, spans=True):
+    for row, counts, words, *heads in word_groups(texts, PREFIXES):
         raw = texts.slice(row, len(counts)).fill_null("") if texts.null_count else texts.slice(row, len(counts))
         ends_of = np.cumsum(counts)
         out, sizes = [], []
@@ -71,7 +71,7 @@ def text_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
                     upper.sum() / max(1, letters.sum()), 1 - letters.sum() / solid, (w[1:] == w[:-1]).mean() if n > 1 else 0.0,
                     len(distinct) / n, min(1.0, solid / n / 32), (data == 10).sum() / n, ((data >= 48) & (data <= 57)).sum() / solid,
                 )
-                found = np.concatenate([distinct, np.unique(prefixes[own]), *(_share_feature(k, np.array([s])) for k, s in enumerate(shares))])
+                found = np.concatenate([distinct, *(np.unique(h[own]) for h in heads), *(_share_feature(k, np.array([s])) for k, s in enumerate(shares))])
             index = (found >> np.uint64(64 - BITS)).astype(np.int32)
             out.append(index)
             sizes.append(len(index))
@@ -85,15 +85,32 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sizes)), lists], names=["grade", "features"])
 
 
-def fit_ordinal(index: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int, steps: int = 120, ridge: float = 2e-5, rate: float = 0.05) -> OrdinalModel:
-    """Maximum likelihood with a ridge penalty, by full-batch Adam; gaps of the thresholds are kept positive by exp."""
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+def fit_ordinal(
+    index: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int,
+    least_rows: int = 5, least_ratio: float = 0.7, steps: int = 250, ridge: float = 1e-3, rate: float = 0.2,
+) -> OrdinalModel:
+    """Maximum likelihood with a ridge penalty, by full-batch Adam with falling steps; gaps of the thresholds are kept positive by exp.
+
+    A feature enters with the size of its smoothed log ratio between lower grades and the top grade, shrunk for rare
+    features; those in fewer than ``least_rows`` rows or with a ratio below ``least_ratio`` are left out.
+    """
     n, dim = len(grades), 1 << BITS
-    weights, first, gaps = np.zeros(dim), np.array([-1.0]), np.zeros(max(0, levels - 2))
+    low = np.repeat(grades < levels - 1, sizes)
+    df_low, df_top = np.bincount(index[low], minlength=dim), np.bincount(index[~low], minlength=dim)
+    n_low = int((grades < levels - 1).sum())
+    ratio = np.log((df_low + 1) / (n_low + 2)) - np.log((df_top + 1) / (n - n_low + 2))
+    df = df_low + df_top
+    scale = np.abs(ratio) * df / (df + 5.0)
+    scale[(df < least_rows) | (scale < least_ratio)] = 0.0
+    used = scale[index] > 0
+    rows = np.repeat(np.arange(n), sizes)[used]
+    features, column = np.unique(index[used], return_inverse=True)
+    value = scale[features][column]
+    weights, first, gaps = np.zeros(len(features)), np.array([-1.0]), np.zeros(max(0, levels - 2))
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (weights, first, gaps)]
     for step in range(1, steps + 1):
         cut = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        scores = np.add.reduceat(weights[index], starts)
+        scores = np.bincount(rows, weights[column] * value, n)
         # P(grade = k) = F(cut[k] - score) - F(cut[k - 1] - score), F logistic
         upper = np.concatenate([cut, [np.inf]])[grades]
         lower = np.concatenate([[-np.inf], cut])[grades]
@@ -103,13 +120,15 @@ def fit_ordinal(index: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels
         da, db = a * (1 - a) / p, b * (1 - b) / p
         by_score = (da - db) / n
         by_cut = np.array([(db[grades == k + 1].sum() - da[grades == k].sum()) / n for k in range(levels - 1)])
-        by_weight = np.bincount(index, np.repeat(by_score, sizes), dim) + ridge * weights
+        by_weight = np.bincount(column, by_score[rows] * value, len(features)) + ridge * weights
         by_gap = np.array([np.exp(gaps[k]) * by_cut[k + 1 :].sum() for k in range(levels - 2)])
         for x, g, (m, v) in zip((weights, first, gaps), (by_weight, np.array([by_cut.sum()]), by_gap), state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return OrdinalModel(weights.astype(np.float32), np.concatenate([first, first + np.cumsum(np.exp(gaps))]))
+            x -= rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    hashed = np.zeros(dim, np.float32)
+    hashed[features] = weights * scale[features]
+    return OrdinalModel(hashed, np.concatenate([first, first + np.cumsum(np.exp(gaps))]))
 
 
 def train_quality(docs: DataFrame, ratings: DataFrame, grade: Column, doc_id: str = "doc_id", text: str = "text", levels: int = 3, train_rows: int = TRAIN_ROWS) -> OrdinalModel | None:

@@ -43,7 +43,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _piece_words(data: np.ndarray, breaks: np.ndarray, prefix: int) -> tuple[np.ndarray, ...]:
+def _piece_words(data: np.ndarray, breaks: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     """Starts, ends and hashes of the words in ``data``; a word also ends before each position in ``breaks``."""
     lower = _LOWER[data]
     solid = ~_SPACE[lower]
@@ -58,10 +58,11 @@ def _piece_words(data: np.ndarray, breaks: np.ndarray, prefix: int) -> tuple[np.
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    if not prefix:
-        return starts, ends, hashes
-    cut = np.minimum(ends, starts + prefix)
-    return starts, ends, hashes, mix((sums[cut] - sums[starts]) * inverse[starts] + np.uint64(1))
+    heads = []
+    for size in prefixes:
+        cut = np.minimum(ends, starts + size)
+        heads.append(mix((sums[cut] - sums[starts]) * inverse[starts] + np.uint64(size)))
+    return starts, ends, hashes, *heads
 
 
 def _as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +79,11 @@ def _as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_groups(column: pa.Array, prefix: int = 0, spans: bool = False) -> Iterator[tuple]:
+def word_groups(column: pa.Array, prefixes: tuple[int, ...] = (), spans: bool = False) -> Iterator[tuple]:
     """Hashes of the words of consecutive rows, in groups of bounded size.
 
     Yields ``(first_row, counts, hashes)`` with the number of words of each row of the group and the hashes of all
-    their words in order; with ``prefix`` also the hashes of the words' first bytes, with ``spans`` also starts and
+    their words in order; with ``prefixes`` also the hashes of the words' first so many bytes, with ``spans`` also starts and
     ends in bytes from the start of the group's first row.
     """
     raw, offsets = _as_bytes(column)
@@ -91,14 +92,14 @@ def word_groups(column: pa.Array, prefix: int = 0, spans: bool = False) -> Itera
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
         data = raw[offsets[row] : offsets[stop]]
         if len(data) <= 2 * PIECE:
-            found = _piece_words(data, offsets[row + 1 : stop] - offsets[row], prefix)
+            found = _piece_words(data, offsets[row + 1 : stop] - offsets[row], prefixes)
         else:  # one very long text, cut at white space
             parts, at = [], 0
             while at < len(data):
                 end = min(len(data), at + PIECE)
                 while end < len(data) and not _SPACE[data[end]]:
                     end += 1
-                part = _piece_words(data[at:end], np.zeros(0, np.int64), prefix)
+                part = _piece_words(data[at:end], np.zeros(0, np.int64), prefixes)
                 parts.append((part[0] + at, part[1] + at, *part[2:]))
                 at = end
             found = tuple(np.concatenate(x) for x in zip(*parts))
