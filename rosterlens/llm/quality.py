@@ -87,12 +87,12 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def fit_ordinal(
     index: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int,
-    least_rows: int = 5, least_ratio: float = 0.7, steps: int = 250, ridge: float = 1e-3, rate: float = 0.2,
+    least_rows: int = 5, least_errors: float = 3.0, steps: int = 250, ridge: float = 1e-3, rate: float = 0.2,
 ) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty, by full-batch Adam with falling steps; gaps of the thresholds are kept positive by exp.
 
-    A feature enters with the size of its smoothed log ratio between lower grades and the top grade, shrunk for rare
-    features; those in fewer than ``least_rows`` rows or with a ratio below ``least_ratio`` are left out.
+    A feature enters with the size of its smoothed log ratio between lower grades and the top grade; those in fewer than
+    ``least_rows`` rows, or with a ratio within ``least_errors`` standard errors of 0, are left out.
     """
     n, dim = len(grades), 1 << BITS
     low = np.repeat(grades < levels - 1, sizes)
@@ -100,8 +100,8 @@ def fit_ordinal(
     n_low = int((grades < levels - 1).sum())
     ratio = np.log((df_low + 1) / (n_low + 2)) - np.log((df_top + 1) / (n - n_low + 2))
     df = df_low + df_top
-    scale = np.abs(ratio) * df / (df + 5.0)
-    scale[(df < least_rows) | (scale < least_ratio)] = 0.0
+    scale = np.abs(ratio)
+    scale[(df < least_rows) | (scale < least_errors * np.sqrt(1 / (df_low + 1) + 1 / (df_top + 1)))] = 0.0
     used = scale[index] > 0
     rows = np.repeat(np.arange(n), sizes)[used]
     features, column = np.unique(index[used], return_inverse=True)
