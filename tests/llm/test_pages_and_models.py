@@ -169,7 +169,7 @@ def test_pipeline_stages(spark, tmp_path):
 def test_stages_on_an_empty_table_with_more_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumns({"size": F.lit("a"), "shard": F.lit("b"), "kept": F.lit(1)})
     empty = spark.createDataFrame([], docs.schema)
-    odd = spark.createDataFrame([(None,) * len(docs.columns), (1, None, "en", "s", 0, "a", "b", 1), (1, None, "en", "s", 0, "a", "b", 1)], T.StructType(docs.schema.fields))
+    odd = spark.createDataFrame([(None,) * len(docs.columns), (1, None, "en", "s", 0, "a", "b", 1), (1, None, "en", "s", 0, "a", "b", 1)], T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
         assert set(docs.columns) <= set(stage(spark, odd, FOLDER).columns)
