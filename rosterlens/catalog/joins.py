@@ -28,11 +28,11 @@ def star_join(t):
 SELECT e.employee_id, e.department, d.department_key, l.level_name, m.employee_name AS manager_name
 FROM employee e
 JOIN (SELECT c_mktsegment AS department, CAST(min(c_custkey) AS BIGINT) AS department_key FROM customer GROUP BY 1) d USING (department)
-JOIN levels l USING (job_level) LEFT JOIN employee m ON e.manager_id = m.employee_id AND m.attrition = 'No'""", LEVELS))
+JOIN levels l USING (job_level) LEFT JOIN employee m ON e.manager_id = m.employee_id""", LEVELS))
 def gold_star_join(t):
     departments = t.customer.groupBy(F.col("c_mktsegment").alias("department")).agg(F.min("c_custkey").alias("department_key"))
     levels = t.job_levels.withColumn("is_current_flag", F.lit(True))
-    managers = t.employee.where("attrition = 'No'").select(
+    managers = t.employee.select(
         F.col("employee_id").alias("manager_id"), F.col("employee_name").alias("manager_name")
     )
     joined = joins.gold_star_join(t.employee, {"department": departments, "job_level": levels}, managers)
@@ -67,32 +67,37 @@ def left_self_join(t):
 
 
 @query("j06_anti_join_orphans", """
-SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""")
+SELECT l_orderkey, count(*) AS n FROM (SELECT l_orderkey FROM lineitem UNION ALL SELECT -1 - l_orderkey FROM lineitem WHERE l_linenumber = 2)
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1""")
 def orphans(t):
-    return joins.anti_join_orphans(t.lineitem, t.orders.where("o_orderstatus <> 'P'"), "l_orderkey", "o_orderkey")
+    # Lines of orders that do not exist are added to the given ones.
+    strays = t.lineitem.where("l_linenumber = 2").select((F.lit(-1) - F.col("l_orderkey")).alias("l_orderkey"))
+    return joins.anti_join_orphans(t.lineitem.select("l_orderkey").unionByName(strays), t.orders, "l_orderkey", "o_orderkey")
 
 
 SPINE = """SELECT employee_id, strftime(month_end, '%Y-%m-%d') AS month_end FROM employee
-JOIN (SELECT last_day(CAST(m AS DATE)) AS month_end FROM range(DATE '2001-01-01', DATE '2002-01-01', INTERVAL 1 MONTH) r(m)) s
+JOIN (SELECT last_day(CAST(m AS DATE)) AS month_end FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 MONTH) r(m)) s
  ON month_end >= last_day(hire_date) AND (attrition = 'No' OR month_end <= last_day(hire_date + 400))"""
 
 
 @query("j07_month_spine", emp(SPINE))
 def month_spine(t):
     end = F.when(F.col("attrition") == "Yes", F.date_add("hire_date", 400)).otherwise(F.lit("2001-12-31").cast("date"))
-    rows = joins.month_spine_rows(t.employee, F.col("hire_date"), end, "2001-01-01", "2001-12-31")
+    rows = joins.month_spine_rows(t.employee, F.col("hire_date"), end, "1995-01-01", "2001-12-31")
     return rows.select("employee_id", F.date_format("month_end", "yyyy-MM-dd").alias("month_end"))
 
 
 @query("j08_left_using_joins", emp("""
 SELECT employee_id, coalesce(level_name, 'Unknown') AS level_name, coalesce(last_event, -1) AS last_event
-FROM employee LEFT JOIN (SELECT * FROM levels WHERE job_level <> 'L4') USING (job_level)
+FROM (SELECT employee_id, job_level FROM employee UNION ALL SELECT -1 - employee_id, 'L0' FROM employee WHERE gender = 'Non-binary') LEFT JOIN levels USING (job_level)
 LEFT JOIN (SELECT user_id AS employee_id, max(event_id) AS last_event FROM events GROUP BY 1) USING (employee_id)""", LEVELS))
 def left_using(t):
     last = t.events.groupBy(F.col("user_id").alias("employee_id")).agg(F.max("event_id").alias("last_event"))
-    levels = F.broadcast(t.job_levels.where("job_level <> 'L4'").select("job_level", "level_name"))
+    levels = t.job_levels.select("job_level", "level_name")
+    # Employees of a level that does not exist are added to the given ones.
+    strays = t.employee.where("gender = 'Non-binary'").select((F.lit(-1) - F.col("employee_id")).alias("employee_id"), F.lit("L0").alias("job_level"))
     joined = joins.left_using_joins(
-        t.employee.select("employee_id", "job_level"), {"job_level": levels, "employee_id": last},
+        t.employee.select("employee_id", "job_level").unionByName(strays), {"job_level": levels, "employee_id": last},
         {"level_name": "Unknown", "last_event": -1},
     )
     return joined.select("employee_id", "level_name", "last_event")

@@ -259,10 +259,10 @@ def _fact_sql(first: str) -> str:
  FROM staff s JOIN (SELECT last_day(CAST(m AS DATE)) AS month_end FROM range(DATE '{first}', DATE '2002-01-01', INTERVAL 1 MONTH) x(m)) c
   ON c.month_end >= last_day(s.hire_date) AND (s.termination_date IS NULL OR s.termination_date >= date_trunc('month', c.month_end))
  LEFT JOIN pay p USING (employee_id) LEFT JOIN survey v USING (employee_id) LEFT JOIN risk r USING (employee_id)
- LEFT JOIN (SELECT c_mktsegment AS department, CAST(min(c_custkey) AS BIGINT) AS department_key FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1) d USING (department))"""
+ LEFT JOIN (SELECT c_mktsegment AS department, CAST(min(c_custkey) AS BIGINT) AS department_key FROM customer GROUP BY 1) d USING (department))"""
 
 
-FACT = (STAFF, PAY, SURVEY, _fact_sql("2000-01-01"))
+FACT = (STAFF, PAY, SURVEY, _fact_sql("1995-01-01"))
 
 
 def staff(t):
@@ -291,11 +291,11 @@ def snapshot_fact(t, since=None):
 
     risk = exact_lag_filter(t.events.withColumn("day", F.col("ts").cast("date")), "day", "2024-01-31")
     risk = risk.groupBy(F.col("user_id").alias("employee_id")).agg(F.max("value").alias("risk_score"))
-    departments = t.customer.where("c_mktsegment <> 'BUILDING'").groupBy(F.col("c_mktsegment").alias("department")).agg(
+    departments = t.customer.groupBy(F.col("c_mktsegment").alias("department")).agg(
         F.min("c_custkey").alias("department_key")
     )
     return facts.employee_snapshot_fact(
-        staff(t).select(*FACT_STAFF), "2000-01-01", AS_OF, {"department": departments}, pay, survey, risk, since
+        staff(t).select(*FACT_STAFF), "1995-01-01", AS_OF, {"department": departments}, pay, survey, risk, since
     )
 
 
@@ -333,8 +333,8 @@ FROM (SELECT *, CAST(year(month_end) AS INT) AS year_num, 'FY' || lpad(CAST((yea
  || '-Q' || quarter(CAST(month_end - INTERVAL 3 MONTH AS DATE)) AS fiscal_quarter_label FROM fact) JOIN levels USING (job_level)
 WHERE is_exit AND voluntary_exit_flag IS NOT NULL""", *FACT, LEVELS))
 def attrition_events(t):
-    dates = calendar.date_dimension(t.spark, "2000-01-01", AS_OF).select("date_key", "year_num", "fiscal_quarter_label")
-    dims = {"job_level": F.broadcast(t.job_levels.select("job_level", "level_name")), "date_key": F.broadcast(dates)}
+    dates = calendar.date_dimension(t.spark, "1995-01-01", AS_OF).select("date_key", "year_num", "fiscal_quarter_label")
+    dims = {"job_level": F.broadcast(t.job_levels.select("job_level", "level_name")), "date_key": dates}
     return facts.attrition_events_view(snapshot_fact(t), dims).select(
         "employee_id", "date_key", "voluntary_exit_flag", "tenure_at_exit", "level_name", "year_num", "fiscal_quarter_label", "engagement_score"
     )

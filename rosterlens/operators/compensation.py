@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from rosterlens.functions import bands, scores
 from rosterlens.functions.numeric import count_if, mean, n_rows, pct, round_half_up, safe_divide
 from rosterlens.operators.grouping import _FREQ, exact_quantiles, share_of_total, value_counts_by
-from rosterlens.operators.ranking import percent_rank, position_lookup, rank_desc
+from rosterlens.operators.ranking import percent_rank, position_lookup, rank_desc, same_keys
 from rosterlens.operators.workforce import pay_gap_pct
-from rosterlens.session import checked_broadcast, cut_lineage, written_table
+from rosterlens.session import cut_lineage, written_table
 
 
 
@@ -158,10 +158,10 @@ def salary_position(employee: DataFrame, levels: DataFrame) -> DataFrame:
         "salary-position",
     )
     in_level = position_lookup(rows, ["job_level"], "salary", {"__pr": percent_rank()})
-    medians = checked_broadcast(exact_quantiles(rows, ["job_level"], "salary", {"level_median": 0.5}))
+    medians = exact_quantiles(rows, ["job_level"], "salary", {"level_median": 0.5})
     in_team = position_lookup(rows, ["department", "job_level"], "salary", {"salary_rank_in_dept_level": rank_desc()})
-    placed = rows.join(in_level, ["job_level", "salary"]).join(in_team, ["department", "job_level", "salary"])
-    return placed.join(medians, "job_level").select(
+    placed = same_keys(same_keys(rows, in_level, ["job_level", "salary"]), in_team, ["department", "job_level", "salary"])
+    return same_keys(placed, medians, ["job_level"]).select(
         "employee_id", "employee_name", "department", "job_level", "level_name", "gender", "salary", "band_min", "band_max",
         round_half_up(F.lit(100.0) * F.col("__pr"), 1).alias("salary_percentile_in_level"),
         round_half_up("__compa", 4).alias("compa_ratio"),

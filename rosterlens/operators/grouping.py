@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions.numeric import count_if, round_half_up, safe_divide
+from rosterlens.operators.ranking import same_keys, value_positions
 
 _FREQ = "__n"
 
@@ -37,8 +38,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
 
 
 def _quantiles_by_position(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    from rosterlens.operators.ranking import value_positions
-
     placed = value_positions(df.where(F.col(value).isNotNull()), by, value)
     number = F.col(value).cast("double")
 
@@ -93,7 +92,7 @@ def share_of_total(df: DataFrame, count_col: str, by: Sequence[str] = (), name:
     """Share of each aggregated row in the grand total or in its group's total."""
     if by:
         totals = df.groupBy(*by).agg(F.sum(count_col).alias("__total"))
-        joined = df.join(totals, list(by))
+        joined = same_keys(df, totals, list(by))
         return joined.withColumn(
             name, round_half_up(safe_divide(F.lit(100.0) * F.col(count_col), F.col("__total")), digits)
         ).drop("__total")

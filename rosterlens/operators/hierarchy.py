@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +12,13 @@ from rosterlens.session import cut_lineage
 ARROW = " → "
 
 
-def ancestor_paths(df: DataFrame, node: str, parent: str, label: str, max_depth: int = 10) -> DataFrame:
-    """Root-to-node id and label paths for every node that reaches a root within max_depth steps.
+def ancestor_paths(df: DataFrame, node: str, parent: str, label: str, max_depth: int | None = None) -> DataFrame:
+    """Root-to-node id and label paths for every node that reaches a root (within max_depth steps, if given).
 
     A root has no parent or is its own parent. Each round doubles the distance covered by
     the pointer of an unfinished node, so a tree of depth d needs about log2(d) joins. Only
-    unfinished nodes are joined again; nodes on a cycle or below an orphan never finish and
-    are left out. Each round checkpoints only the nodes it moved.
+    unfinished nodes are joined again; nodes on or below a cycle and below an orphan have no root
+    and are left out. Each round checkpoints only the nodes it moved.
     """
     parent_id = F.when(F.col(parent) == F.col(node), F.lit(None)).otherwise(F.col(parent))
     start = df.select(
@@ -29,7 +27,9 @@ def ancestor_paths(df: DataFrame, node: str, parent: str, label: str, max_depth:
     )
     latest = cut_lineage(start)
     done, open_nodes = [latest.where(F.col("up").isNull())], latest.where(F.col("up").isNotNull())
-    for _ in range(math.ceil(math.log2(max_depth + 1))):
+    rounds = 0
+    while (max_depth is None or 2**rounds <= max_depth) and not open_nodes.isEmpty():
+        rounds += 1
         above = union_all([*done, open_nodes]).select(
             F.col("id").alias("up"), F.col("up").alias("__up"), F.col("ids").alias("__ids"), F.col("labels").alias("__labels")
         )
@@ -37,10 +37,12 @@ def ancestor_paths(df: DataFrame, node: str, parent: str, label: str, max_depth:
             "id", F.col("__up").alias("up"),
             F.concat("__ids", "ids").alias("ids"), F.concat("__labels", "labels").alias("labels"),
         )
-        latest = cut_lineage(moved)
+        # A path that meets a node twice runs into a cycle: its node has no root.
+        latest = cut_lineage(moved.where(F.size(F.array_distinct("ids")) == F.size("ids")))
         done.append(latest.where(F.col("up").isNull()))
         open_nodes = latest.where(F.col("up").isNotNull())
-    return union_all(done).where(F.size("ids") <= max_depth + 1).select("id", "ids", "labels")
+    reached = union_all(done)
+    return (reached if max_depth is None else reached.where(F.size("ids") <= max_depth + 1)).select("id", "ids", "labels")
 
 
 def org_hierarchy(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", label: str = "employee_name",
@@ -63,15 +65,15 @@ def org_reachability(df: DataFrame, node: str = "employee_id", parent: str = "ma
     ).withColumn("employees_unreached", total - F.col("employees_reached"))
 
 
-def ancestor_closure(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", max_depth: int = 15) -> DataFrame:
+def ancestor_closure(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", max_depth: int | None = None) -> DataFrame:
     """One row per node and ancestor with their distance (1 = direct manager)."""
     paths = ancestor_paths(df, node, parent, node, max_depth)
-    above = F.slice(F.reverse("ids"), 2, max_depth + 1)
+    above = F.slice(F.reverse("ids"), F.lit(2), F.size("ids"))
     steps = paths.select(F.col("id").alias(node), F.posexplode(above).alias("distance", "ancestor"))
     return steps.select(node, "ancestor", (F.col("distance") + 1).cast("bigint").alias("distance"))
 
 
-def rollup_counts(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", max_depth: int = 15) -> DataFrame:
+def rollup_counts(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", max_depth: int | None = None) -> DataFrame:
     """Direct reports, total organisation size and their ratio per manager.
 
     Every node adds one to each of its ancestors; the counts are combined before the shuffle.
@@ -84,9 +86,9 @@ def rollup_counts(df: DataFrame, node: str = "employee_id", parent: str = "manag
     )
 
 
-def department_path(df: DataFrame, node: str, parent: str, label: str, separator: str = "/", levels: int = 5) -> DataFrame:
+def department_path(df: DataFrame, node: str, parent: str, label: str, separator: str = "/") -> DataFrame:
     """Materialised path of each unit and its level (1 = top)."""
-    paths = ancestor_paths(df, node, parent, label, levels - 1)
+    paths = ancestor_paths(df, node, parent, label)
     return paths.select(
         F.col("id").alias(node),
         F.size("ids").cast("bigint").alias("hierarchy_level"),

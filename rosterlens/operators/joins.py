@@ -14,10 +14,10 @@ from rosterlens.operators.ranking import latest_per_key
 def star_join(fact: DataFrame, dims: Mapping[str, DataFrame], how: str = "inner") -> DataFrame:
     """Fact joined to its literal reference tables, keyed by the shared column name.
 
-    The dims are fixed lists of at most a few dozen rows, hence the broadcast.
+    The optimizer chooses how each side travels, by its size.
     """
     for key, dim in dims.items():
-        fact = fact.join(F.broadcast(dim), key, how)
+        fact = fact.join(dim, key, how)
     return fact
 
 
@@ -113,8 +113,5 @@ def map_lookup(column: Column | str, mapping: Mapping) -> Column:
 
 
 def role_playing_date_join(fact: DataFrame, dates: DataFrame, day_col: str, columns: Sequence[str]) -> DataFrame:
-    """Join the calendar through any date column of the fact.
-
-    The calendar is generated for a fixed range of days, so its size is bounded.
-    """
-    return fact.withColumn("date_key", date_key(day_col)).join(F.broadcast(dates.select("date_key", *columns)), "date_key")
+    """Join the calendar through any date column of the fact; facts outside the calendar or without a date are kept."""
+    return fact.withColumn("date_key", date_key(day_col)).join(dates.select("date_key", *columns), "date_key", "left")

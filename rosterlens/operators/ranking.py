@@ -1,8 +1,9 @@
 """Ranks, n-tiles and running totals that never sort one whole group in a single task.
 
 Rank-type windows over a few large groups would put each group into one task. Here the
-rows are first counted per distinct value; a running total over those values (in ordered
-buckets when there are many) gives each value its position, and the rows look it up.
+rows are first counted per distinct value; a running total over those values, in ranges that
+are taken from the data, gives each value its position, and the rows look it up. Any orderable
+type will do. Null keys are groups and null values come last, as in SQL; no row is lost.
 """
 
 from __future__ import annotations
@@ -13,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.functions.numeric import col
-from rosterlens.session import BROADCAST_ROW_LIMIT, WINDOW_ROW_LIMIT, checked_broadcast, cut_lineage
-
-BUCKETS = 4096
+from rosterlens.session import written_table
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -31,67 +30,45 @@ def row_number_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return df.withColumn("__rn", F.row_number().over(window)).where("__rn = 1").drop("__rn")
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, before: str = "before",
-                  total: str = "total", row_limit: int = WINDOW_ROW_LIMIT) -> tuple[DataFrame, int]:
-    """For rows unique per (keys, order): weight strictly before each row, and the group total.
-
-    The input is materialised and counted. Up to row_limit rows one window does it; beyond
-    that the total is built from ordered buckets. Returns the result and its row count.
-    """
-    stored = cut_lineage(df)
-    rows = stored.count()
-    if rows > row_limit:
-        return bucketed_running_total(stored, keys, order, weight, before, total), rows
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = stored.withColumn(before, F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
-    return placed.withColumn(total, F.sum(weight).over(Window.partitionBy(*keys))), rows
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls being equal; the result has left's columns and right's others."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"__r_{k}"])
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def bucketed_running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, before: str = "before",
-                           total: str = "total", buckets: int = BUCKETS) -> DataFrame:
-    """running_total for any size; df is read several times and should be materialised.
+def running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, before: str = "before", total: str = "total") -> DataFrame:
+    """For rows unique per (keys, order): weight strictly before each row, and the group total.
 
-    Rows are put into equal-width ordered buckets of `order`; totals run over the bucket
-    sums (at most `buckets` rows per group) and inside each bucket separately.
+    The rows are dealt by range of (keys, order) and written once, so that the ranges stay as they
+    are; totals run over the range sums (one row per range and group) and inside each range.
     """
-    value = F.col(order).cast("double")
-    low = df.select(F.min(value)).scalar()
-    span = df.select(F.max(value) - F.min(value)).scalar()
-    position = F.floor(F.coalesce(F.try_divide(value - low, span), F.lit(0.0)) * F.lit(float(buckets)))
-    placed = df.withColumn("__bucket", F.least(position, F.lit(buckets - 1)).cast("int"))
-    sums = placed.groupBy(*keys, "__bucket").agg(F.sum(weight).alias("__sum"))
-    across = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    ordered = [F.col(k).asc_nulls_last() for k in (*keys, order)]
+    placed = written_table(df.repartitionByRange(*ordered).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(*keys, "__range").agg(F.sum(weight).alias("__sum"))
+    across = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *keys, "__bucket",
+        *keys, "__range",
         F.coalesce(F.sum("__sum").over(across), F.lit(0)).alias("__offset"),
-        F.sum("__sum").over(whole).alias(total),
+        F.sum("__sum").over(Window.partitionBy(*keys)).alias(total),
     )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__range").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumn("__inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return running.join(offsets, [*keys, "__bucket"]).select(
-        *df.columns, (F.col("__offset") + F.col("__inside")).alias(before), total
-    )
+    return same_keys(running, offsets, [*keys, "__range"]).select(*df.columns, (F.col("__offset") + F.col("__inside")).alias(before), total)
 
 
-def _positions(df: DataFrame, keys: Sequence[str], value: str, row_limit: int) -> tuple[DataFrame, int]:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per (keys, value): rows with that value (`ties`), rows below it (`before`) and group size (`total`)."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
     keyed = counts if keys else counts.withColumn("__all", F.lit(1))
-    placed, rows = running_total(keyed, list(keys) or ["__all"], value, "ties", row_limit=row_limit)
-    return placed.select(*keys, value, "ties", "before", "total"), rows
-
+    return running_total(keyed, list(keys) or ["__all"], value, "ties").select(*keys, value, "ties", "before", "total")
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str, row_limit: int = WINDOW_ROW_LIMIT) -> DataFrame:
-    """Per (keys, value): rows with that value (`ties`), rows below it (`before`) and group size (`total`)."""
-    return _positions(df, keys, value, row_limit)[0]
 
-
-def position_lookup(df: DataFrame, keys: Sequence[str], value: str, outputs: Mapping[str, Column],
-                    row_limit: int = WINDOW_ROW_LIMIT) -> DataFrame:
-    """Expressions over ties/before/total per (keys, value), hinted for broadcast when counted small."""
-    placed, rows = _positions(df, keys, value, row_limit)
-    lookup = placed.select(*keys, value, *[c.alias(n) for n, c in outputs.items()])
-    return F.broadcast(lookup) if rows <= BROADCAST_ROW_LIMIT else lookup
+def position_lookup(df: DataFrame, keys: Sequence[str], value: str, outputs: Mapping[str, Column]) -> DataFrame:
+    """Expressions over ties/before/total per (keys, value)."""
+    return value_positions(df, keys, value).select(*keys, value, *[c.alias(n) for n, c in outputs.items()])
 
 
 def rank_asc() -> Column:
@@ -109,7 +86,7 @@ def percent_rank() -> Column:
 
 def with_ranks(df: DataFrame, keys: Sequence[str], value: str, outputs: Mapping[str, Column]) -> DataFrame:
     """Join rank expressions (over ties/before/total) back to the rows."""
-    return df.join(position_lookup(df, keys, value, outputs), [*keys, value], "left")
+    return same_keys(df, position_lookup(df, keys, value, outputs), [*keys, value])
 
 
 def global_percent_rank(df: DataFrame, value: str, name: str = "pct_rank") -> DataFrame:
@@ -126,12 +103,13 @@ def _tile(position: Column, total: Column, n: int) -> Column:
 
 
 def assign_by_position(df: DataFrame, value: str, key: str, outputs: Mapping[str, Callable[[Column, Column], Column]],
-                       row_limit: int = WINDOW_ROW_LIMIT, source: DataFrame | None = None) -> DataFrame:
+                       source: DataFrame | None = None) -> DataFrame:
     """Step functions of the exact position among all rows ordered by (value, key).
 
     Each output maps (1-based position, row count) to a label that only changes at a few
     positions. A value whose rows all get the same labels needs no tiebreak; only the few
-    values that straddle a change are ordered by key, again in buckets of the key. `source`
+    values that straddle a change are ordered by key, again by range. Rows that repeat a value and
+    key share the labels of the first of them. `source`
     may name a cheaper table with the same rows to count the values from.
     """
     total = F.col("total")
@@ -141,28 +119,25 @@ def assign_by_position(df: DataFrame, value: str, key: str, outputs: Mapping[str
         straddles = straddles | (label(first, total) != label(last, total))
     helper = ["ties", "before", "total", "__straddles"]
     columns = {"ties": F.col("ties"), "before": F.col("before"), "total": total, "__straddles": straddles}
-    placed = df.join(position_lookup(df if source is None else source, [], value, columns, row_limit), value)
+    placed = same_keys(df, position_lookup(df if source is None else source, [], value, columns), [value])
 
     whole = placed.where(~F.col("__straddles"))
     whole = whole.withColumns({name: label(first, total) for name, label in outputs.items()})
 
     split = placed.where("__straddles")
-    ordered, _ = running_total(
-        split.select(value, key, F.lit(1).alias("__one")), [value], key, "__one", "__tied_before", "__tied_total", row_limit
-    )
-    ordered = ordered.select(value, key, "__tied_before")
-    split = split.join(ordered, [value, key])
+    tied = split.groupBy(value, key).agg(F.count(F.lit(1)).alias("__n"))
+    ordered = running_total(tied, [value], key, "__n", "__tied_before", "__tied_total").select(value, key, "__tied_before")
+    split = same_keys(split, ordered, [value, key])
     place = F.col("before") + F.col("__tied_before") + 1
     split = split.withColumns({name: label(place, total) for name, label in outputs.items()})
     return whole.drop(*helper).unionByName(split.drop(*helper, "__tied_before"))
 
 
-def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str, row_limit: int = WINDOW_ROW_LIMIT,
-                 source: DataFrame | None = None) -> DataFrame:
+def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str, source: DataFrame | None = None) -> DataFrame:
     """Exact n-tiles over all rows ordered by (value, key)."""
     return assign_by_position(
         df, value, key, {name: (lambda position, total, n=n: _tile(position, total, n)) for name, n in tiles.items()},
-        row_limit, source,
+        source,
     )
 
 
@@ -176,7 +151,7 @@ def top_fraction(df: DataFrame, value: str, fraction: float, key: str, name: str
 def deviation_from_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """value minus its group mean; the means are one row per group."""
     means = df.groupBy(*keys).agg(F.try_divide(F.sum(value).cast("double"), F.count(value)).alias("__mean"))
-    joined = df.join(checked_broadcast(means), list(keys))
+    joined = same_keys(df, means, list(keys))
     return joined.withColumn(name, F.col(value).cast("double") - F.col("__mean")).drop("__mean")
 
 
@@ -185,7 +160,7 @@ def median_over_partition(df: DataFrame, keys: Sequence[str], value: str, name:
     from rosterlens.operators.grouping import exact_quantiles
 
     medians = exact_quantiles(df, keys, value, {name: 0.5})
-    return df.join(checked_broadcast(medians), list(keys), "left")
+    return same_keys(df, medians, list(keys), "left")
 
 
 def compa_ratio_level_median(df: DataFrame, salary: str = "salary", level: str = "job_level",

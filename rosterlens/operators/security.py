@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions import masking
-from rosterlens.session import checked_broadcast
 
 
 def scope_by_department(df: DataFrame, department: str | None = None) -> DataFrame:
@@ -44,4 +43,4 @@ def scope_by_path(df: DataFrame, assignments: DataFrame, user: str, role: str, p
     if role != masking.HRBP:
         return df.where(F.lit(False))
     allowed = assigned_paths(df.select(path).distinct(), assignments, user, path)
-    return df.join(checked_broadcast(allowed), path, "left_semi")
+    return df.join(allowed, path, "left_semi")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlens.operators.ranking import same_keys
+
 
 def neighbour_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], bucket: Column,
                   name: str, direction: str = "previous") -> DataFrame:
@@ -14,7 +16,8 @@ def neighbour_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
 
     `bucket` must grow with the order (a month of the date, say). lag/lead run inside each
     (key, bucket); the border row of every bucket is taken by an aggregate and carried over
-    to the adjacent bucket.
+    to the adjacent bucket. Rows with a null key or order are kept: null keys form a history, null
+    orders come first.
     """
     back = direction == "previous"
     step = F.lag if back else F.lead
@@ -26,7 +29,7 @@ def neighbour_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
     borders = bucketed.groupBy(*keys, "__bucket").agg(border(row, position).alias("__border"))
     across = Window.partitionBy(*keys).orderBy("__bucket")
     carried = borders.select(*keys, "__bucket", step("__border").over(across).alias("__carried"))
-    return local.join(carried, [*keys, "__bucket"]).select(
+    return same_keys(local, carried, [*keys, "__bucket"]).select(
         *df.columns, F.coalesce("__local", "__carried").alias(name)
     )
 

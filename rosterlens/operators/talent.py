@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from rosterlens.functions import bands, scores
 from rosterlens.functions.numeric import count_if, mean, n_rows, pct, round_half_up, safe_divide
 from rosterlens.operators.grouping import share_of_total, value_counts
-from rosterlens.operators.ranking import percent_rank, position_lookup, rank_desc
+from rosterlens.operators.ranking import percent_rank, position_lookup, rank_desc, same_keys
 from rosterlens.operators.reshape import domain_index, stack_rows, top_k
-from rosterlens.session import checked_broadcast, written_table
+from rosterlens.session import written_table
 
 INTERNAL = "Internal Transfer"
 GENDERS = ("Male", "Female", "Non-binary")
@@ -206,11 +206,11 @@ def engagement_position(employee: DataFrame) -> DataFrame:
     perf = position_lookup(active, ["department"], "__order", {"perf_rank_in_dept": rank_desc()})
     means = active.groupBy("department").agg(mean("engagement_score").alias("__mean"))
     rows = (
-        active.join(engagement, ["department", "engagement_score"])
-        .join(company, "engagement_score")
-        .join(pay, ["department", "salary"])
-        .join(perf, ["department", "__order"])
-        .join(checked_broadcast(means), "department")
+        active.transform(same_keys, engagement, ["department", "engagement_score"])
+        .transform(same_keys, company, ["engagement_score"])
+        .transform(same_keys, pay, ["department", "salary"])
+        .transform(same_keys, perf, ["department", "__order"])
+        .transform(same_keys, means, ["department"])
     )
     return rows.select(
         "employee_id", "employee_name", "department", "job_level",
@@ -236,7 +236,7 @@ def profile_vs_peers(employee: DataFrame, metrics: Sequence[tuple[str, str]] = P
     means = employee.groupBy("department").agg(
         *[F.try_divide(F.sum(col).cast("double"), F.count(col)).alias(f"__{col}") for _, col in metrics]
     )
-    joined = employee.join(checked_broadcast(means), "department")
+    joined = same_keys(employee, means, ["department"])
     return stack_rows(
         joined,
         [

@@ -72,12 +72,14 @@ def attrition_events_view(fact: DataFrame, dims: Mapping[str, DataFrame]) -> Dat
 
 
 def as_of_version_join(fact: DataFrame, versions: DataFrame, key: str, day: str, columns: Sequence[str]) -> DataFrame:
-    """Attach the dimension version valid on the fact's day (open end = still valid)."""
+    """Attach the dimension version valid on the fact's day (open end = still valid);
+    facts without one keep nulls."""
     valid = versions.select(
         key, F.col("effective_start_date").alias("__from"), F.col("effective_end_date").alias("__to"), *columns
     )
     on_day = (F.col(day) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(day) < F.col("__to")))
-    return fact.join(valid, key, "left").where(F.col("__from").isNull() | on_day).drop("__from", "__to")
+    renamed = valid.withColumnRenamed(key, "__key")
+    return fact.join(renamed, (F.col(key) == F.col("__key")) & on_day, "left").drop("__key", "__from", "__to")
 
 
 def latest_risk_view(employee: DataFrame, history: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -25,13 +25,13 @@ def bronze_employees(raw: DataFrame, loaded_at: Column | None = None) -> DataFra
     src = bronze_source(raw)
     return src.select(
         F.col("worker_id").cast("string").alias("employee_id"),
-        cleaning.clean_string("first_name", 100).alias("first_name"),
-        cleaning.clean_string("last_name", 100).alias("last_name"),
-        cleaning.clean_string("email_primary", 200).alias("email_work"),
+        cleaning.clean_string("first_name").alias("first_name"),
+        cleaning.clean_string("last_name").alias("last_name"),
+        cleaning.clean_string("email_primary").alias("email_work"),
         dates.safe_date("hire_date").alias("hire_date"),
         dates.safe_date("termination_date").alias("termination_date"),
-        F.substring(F.upper(F.trim("worker_status")), 1, 20).alias("employment_status_raw"),
-        F.substring(F.upper(F.trim("employee_type")), 1, 20).alias("employee_type_raw"),
+        F.upper(F.trim("worker_status")).alias("employment_status_raw"),
+        F.upper(F.trim("employee_type")).alias("employee_type_raw"),
         F.col("fte_percentage").try_cast("decimal(5,2)").alias("fte_value"),
         dates.safe_date("birth_date").alias("birth_date"),
         cleaning.clean_string("gender").alias("gender_raw"),

@@ -11,8 +11,8 @@ from rosterlens.functions import scores
 from rosterlens.functions.numeric import count_if, mean, n_rows, pct, round_half_up, safe_divide
 from rosterlens.operators.grouping import _FREQ, grouped_sums, one
 from rosterlens.operators.hierarchy import rollup_counts
+from rosterlens.operators.ranking import same_keys
 from rosterlens.operators.sequence import next_row, previous_row
-from rosterlens.session import checked_broadcast
 
 OVERALL = "Overall"
 
@@ -268,7 +268,7 @@ def performance_metrics(reviews: DataFrame, cycle: str, rating: str, group: str)
     )
     span = cells.groupBy(cycle).agg(F.min("__lo").alias("__min"), F.max("__hi").alias("__max"))
     lookup = cells.join(span, cycle).select(cycle, group, "__mean", "__min", "__max")
-    joined = reviews.join(checked_broadcast(lookup), [cycle, group])
+    joined = same_keys(reviews, lookup, [cycle, group])
     return joined.select(
         *reviews.columns,
         round_half_up(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,12 +20,6 @@ DEFAULTS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-# A side of a join is broadcast only when its counted size is at or below this many rows.
-BROADCAST_ROW_LIMIT = 200_000
-
-# A whole group is ordered in one window task only when all groups together have at most this many rows.
-WINDOW_ROW_LIMIT = 1_000_000
-
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """Session for tests and the local benchmark; clusters bring their own."""
@@ -48,15 +43,25 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder every executor can reach: the context's checkpoint folder, else spark.checkpoint.dir.
+
+    In local mode (tests) a temporary folder stands in; elsewhere a missing setting is an error.
+    """
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and current.isDefined():
+        return current.get()
     if not configured:
-        app = spark.sparkContext.applicationId
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = context.applicationId
         if app not in _fallback:
             _fallback[app] = tempfile.mkdtemp(prefix="rosterlens-")
+            atexit.register(shutil.rmtree, _fallback[app], ignore_errors=True)
         configured = _fallback[app]
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
+    if current.isEmpty():
+        context.setCheckpointDir(configured)
     return configured
 
 
@@ -80,13 +85,3 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checked_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Materialise a lookup once, count it, and hint a broadcast only if it is small.
-
-    Above the limit the same rows come back without a hint and the join shuffles
-    (adaptive execution then splits skewed keys).
-    """
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= row_limit else stored

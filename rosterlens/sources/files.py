@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens.functions.cleaning import null_if
-from rosterlens.session import checked_broadcast
 
 CORRUPT = "_corrupt_record"
 FLAT_SCHEMA = (
@@ -61,13 +60,12 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def resolve_keys(staging: DataFrame, departments: DataFrame, locations: DataFrame, sources: DataFrame) -> DataFrame:
     """Names to keys. Rows with an unknown name are left out; see rejected_rows.
 
-    Each reference table is counted before it is broadcast; blank managers and 'N/A' reasons
-    become null.
+    Blank managers and 'N/A' reasons become null.
     """
     keyed = (
-        staging.join(checked_broadcast(departments), "department")
-        .join(checked_broadcast(locations), "location")
-        .join(checked_broadcast(sources), "recruitment_source")
+        staging.join(departments, "department")
+        .join(locations, "location")
+        .join(sources, "recruitment_source")
     )
     return keyed.withColumns({"manager_id": null_if("manager_id", ""), "exit_reason": null_if("exit_reason", "N/A")})
 
@@ -75,9 +73,9 @@ def resolve_keys(staging: DataFrame, departments: DataFrame, locations: DataFram
 def rejected_rows(staging: DataFrame, departments: DataFrame, locations: DataFrame, sources: DataFrame) -> DataFrame:
     """Staging rows that resolve_keys drops, with the first name that failed."""
     marked = (
-        staging.join(checked_broadcast(departments.select("department", F.lit(1).alias("__d"))), "department", "left")
-        .join(checked_broadcast(locations.select("location", F.lit(1).alias("__l"))), "location", "left")
-        .join(checked_broadcast(sources.select("recruitment_source", F.lit(1).alias("__s"))), "recruitment_source", "left")
+        staging.join(departments.select("department", F.lit(1).alias("__d")), "department", "left")
+        .join(locations.select("location", F.lit(1).alias("__l")), "location", "left")
+        .join(sources.select("recruitment_source", F.lit(1).alias("__s")), "recruitment_source", "left")
     )
     reason = (
         F.when(F.col("__d").isNull(), "department").when(F.col("__l").isNull(), "location")
@@ -86,9 +84,14 @@ def rejected_rows(staging: DataFrame, departments: DataFrame, locations: DataFra
     return marked.withColumn("rejected_for", reason).where(F.col("rejected_for").isNotNull()).drop("__d", "__l", "__s")
 
 
-def export_table(df: DataFrame, path: str, fmt: str = "csv", rows: int | None = None, single_file: bool = False) -> None:
-    """Write a result table as csv, json or parquet; rows keeps only the first ones (document variant)."""
-    out = df if rows is None else df.limit(rows)
-    out = out.coalesce(1) if single_file else out
+def export_table(df: DataFrame, path: str, fmt: str = "csv", rows: int | None = None, order: Sequence[str] = ()) -> None:
+    """Write a result table as csv, json or parquet.
+
+    The document variant keeps the first `rows` rows in the given order, in one file; without it
+    all rows are written, by as many tasks as there are partitions.
+    """
+    if rows is not None and not order:
+        raise ValueError("the first rows need an order")
+    out = df if rows is None else df.orderBy(*order).limit(rows)
     writer = out.write.mode("overwrite")
     {"csv": writer.option("header", True).csv, "json": writer.json, "parquet": writer.parquet}[fmt](path)

@@ -52,6 +52,8 @@ def apply_changes(root: str, key: str, order: Sequence[str], audited: Sequence[s
             storing.publish(newest, root, str(batch_id))
             return
         state = storing.read_current(spark, root).select(*newest.columns)
+        # An older row that arrives late changes nothing: the larger order per key wins.
+        newest = latest_per_key(newest.unionByName(state.join(newest.select(key), key, "left_semi")), [key], order)
         log = changes.change_log(state, newest, key, audited)
         log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
         merged = changes.upsert(state, newest, key, newest.columns, newest.columns).drop("action")

@@ -147,3 +147,10 @@ def test_welch_flag_and_overall_rows(spark):
     assert got[("Female", "x")].gap_is_significant_flag and got[("Female", "x")].pay_gap_amt == 20.0
     assert got[("Overall", "Overall")].employee_count == 121 and not got[("Male", "x")].gap_is_significant_flag
     assert got[("Female", "y")].pay_gap_amt is None and not got[("Female", "y")].gap_is_significant_flag
+
+
+def test_facts_without_a_version_on_their_day_are_kept(spark):
+    fact = spark.createDataFrame([(1, "2020-01-05"), (1, "2019-01-01"), (2, "2020-01-05")], "k int, day string")
+    versions = spark.createDataFrame([(1, "2020-01-01", None, "x")], "k int, effective_start_date string, effective_end_date string, v string")
+    got = {(r.k, r.day): r.v for r in facts.as_of_version_join(fact, versions, "k", "day", ["v"]).collect()}
+    assert got == {(1, "2020-01-05"): "x", (1, "2019-01-01"): None, (2, "2020-01-05"): None}

@@ -123,3 +123,9 @@ def test_what_if_masks_only_high_tiers(spark):
     assert masked == {"Low": (0, 0), "Medium": (1, 2), "High": (1, 1), "Critical": (1, 0)}
     everyone = {r.risk_tier: r.after for r in risk.what_if_retier(df, 20, masked=False).collect()}
     assert everyone == {"Low": 1, "Medium": 1, "High": 1, "Critical": 0}
+
+
+def test_counts_reach_any_depth_and_leave_cycles_out(spark):
+    rows = [(0, None), *((i, i - 1) for i in range(1, 31)), (50, 51), (51, 50), (52, 51), (60, 99)]
+    roll = {r.id: (r.direct_report_count, r.total_org_size) for r in hierarchy.rollup_counts(tree(spark, *rows), "id", "boss").collect()}
+    assert roll[0] == (1, 30) and roll[29] == (1, 1) and set(roll) == set(range(30))

@@ -27,20 +27,18 @@ def both(df, got, want, column):
     assert len(a) == df.count() and a == b
 
 
-@pytest.mark.parametrize("row_limit", [10**6, 0])
-def test_ranks_match_windows(skewed, row_limit):
+def test_ranks_match_windows(skewed):
     window = Window.partitionBy("g").orderBy("v")
-    placed = ranking.position_lookup(skewed, ["g"], "v", {"up": ranking.rank_asc(), "down": ranking.rank_desc(), "pr": ranking.percent_rank()}, row_limit)
+    placed = ranking.position_lookup(skewed, ["g"], "v", {"up": ranking.rank_asc(), "down": ranking.rank_desc(), "pr": ranking.percent_rank()})
     got = skewed.join(placed, ["g", "v"])
     both(skewed, got, skewed.withColumn("up", F.rank().over(window)), "up")
     both(skewed, got, skewed.withColumn("down", F.rank().over(Window.partitionBy("g").orderBy(F.desc("v")))), "down")
     both(skewed, got, skewed.withColumn("pr", F.percent_rank().over(window)), "pr")
 
 
-@pytest.mark.parametrize("row_limit", [10**6, 0])
 @pytest.mark.parametrize("n", [1, 4, 7, 10, 1000])
-def test_ntile_matches_window_with_key_tiebreak(skewed, n, row_limit):
-    got = ranking.global_ntile(skewed, "v", {"t": n}, "id", row_limit)
+def test_ntile_matches_window_with_key_tiebreak(skewed, n):
+    got = ranking.global_ntile(skewed, "v", {"t": n}, "id")
     want = skewed.withColumn("t", F.ntile(n).over(Window.orderBy("v", "id")))
     both(skewed, got, want, "t")
 
@@ -52,6 +50,23 @@ def test_top_fraction_is_exact_inside_a_tied_value(skewed):
     both(skewed, top, want, "in_top")
 
 
+@pytest.mark.parametrize("kind", ["double", "string", "date"])
+def test_nulls_texts_dates_and_an_outlier_keep_their_rows(spark, kind):
+    rows = [(f"E{i:03}", [None, "a", "b"][i % 3], None if i % 5 == 0 else i % 17) for i in range(120)] + [("E900", "a", 10**9 % 20_000)]
+    df = spark.createDataFrame(rows, "id string, g string, x int")
+    value = {"double": F.col("x").cast("double"), "string": F.concat(F.lit("v"), F.col("x")), "date": F.date_add(F.lit("2020-01-01"), F.col("x"))}[kind]
+    df = df.select("id", "g", value.alias("v")).cache()
+    window = Window.partitionBy("g").orderBy(F.asc_nulls_last("v"))
+    both(df, ranking.with_ranks(df, ["g"], "v", {"r": ranking.rank_asc()}), df.withColumn("r", F.rank().over(window)), "r")
+    order = Window.orderBy(F.asc_nulls_last("v"), "id")
+    both(df, ranking.global_ntile(df, "v", {"t": 7}, "id"), df.withColumn("t", F.ntile(7).over(order)), "t")
+
+
+def test_neighbours_keep_rows_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", None), ("b", 5)], "k string, t int")
+    assert sequence.previous_row(df, ["k"], ["t"], ["t"], F.floor(F.col("t") / 2)).count() == 5
+
+
 def test_single_row_group_has_percent_rank_zero(spark):
     df = spark.createDataFrame([(1, "x", 3.0)], "id bigint, g string, v double")
     got = ranking.with_ranks(df, ["g"], "v", {"pr": ranking.percent_rank()}).first()
