@@ -382,16 +382,16 @@ def source_quality_quarterly(t):
     return summaries.source_quality_quarterly(hires, ["recruitment_source", "department"])
 
 
-EQUITY = """cells AS (SELECT department, coalesce(gender, 'Overall') AS gender_group, coalesce(region, 'Overall') AS ethnicity_group, count(*) AS n,
+EQUITY = """cells AS MATERIALIZED (SELECT department, coalesce(gender, 'Overall') AS gender_group, coalesce(region, 'Overall') AS ethnicity_group, count(*) AS n,
  CAST(sum(salary) AS DOUBLE) / count(*) AS m, var_samp(CAST(salary AS DOUBLE)) / count(*) AS se2, quantile_cont(salary, 0.5) AS med, avg(compa_ratio_raw) AS c
  FROM compa GROUP BY GROUPING SETS ((department, gender, region), (department, gender), (department, region), (department)))"""
 Z = 1.959963984540054
-CRIT = f"({Z}::DOUBLE + {(Z**3 + Z) / 4!r}::DOUBLE / nu + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96!r}::DOUBLE / (nu * nu))"
+CRIT = f"CASE WHEN nu < 31 THEN ({list(summaries.T_POINTS)})[greatest(CAST(floor(nu) AS INT), 1)] ELSE ({Z}::DOUBLE + {(Z**3 + Z) / 4!r}::DOUBLE / nu + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96!r}::DOUBLE / (nu * nu)) END"
 
 
 @query("l14_comp_equity", emp(f"""
 SELECT department, gender_group, ethnicity_group, n AS employee_count, round(m, 2) AS avg_base_salary, med AS median_base_salary, round(c, 4) AS avg_compa_ratio,
- round(100e0 * (mm - m) / mm, 4) AS pay_gap_vs_male_pct, round(mm - m, 2) AS pay_gap_amt, coalesce(abs(mm - m) / nullif(sqrt(se2 + mse2), 0) > {CRIT}, false) AS gap_is_significant_flag
+ round(100e0 * (mm - m) / mm, 4) AS pay_gap_vs_male_pct, round(mm - m, 2) AS pay_gap_amt, coalesce(abs(mm - m) / nullif(sqrt(se2 + mse2), 0) > ({CRIT}), false) AS gap_is_significant_flag
 FROM (SELECT a.*, b.m AS mm, b.se2 AS mse2, (a.se2 + b.se2) * (a.se2 + b.se2) / nullif(a.se2 * a.se2 / nullif(a.n - 1, 0) + b.se2 * b.se2 / nullif(b.n - 1, 0), 0) AS nu
  FROM cells a LEFT JOIN cells b ON a.department = b.department AND a.ethnicity_group = b.ethnicity_group AND b.gender_group = 'Male')""", COMPA, EQUITY))
 def comp_equity(t):

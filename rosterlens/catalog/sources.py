@@ -118,16 +118,27 @@ def rejected_rows(t):
     return files.rejected_rows(staging(t), *lookups(t)).select("employee_id", "rejected_for")
 
 
-@query("s05_seed_dims", emp("""
-SELECT 'job_levels' AS dim, job_level AS name, count(*) AS employees FROM employee GROUP BY 2
+def _names_sql(rows) -> str:
+    return "[" + ", ".join("'" + r[0].replace("'", "''") + "'" for r in rows) + "]"
+
+
+@query("s05_seed_dims", emp(f"""
+SELECT 'departments' AS dim, ({_names_sql(seeds.DEPARTMENTS)})[employee_id % {len(seeds.DEPARTMENTS)} + 1] AS name, count(*) AS employees FROM employee GROUP BY 2
+UNION ALL SELECT 'locations', ({_names_sql(seeds.LOCATIONS)})[employee_id % {len(seeds.LOCATIONS)} + 1], count(*) FROM employee GROUP BY 2
+UNION ALL SELECT 'job_levels' AS dim, job_level AS name, count(*) AS employees FROM employee GROUP BY 2
 UNION ALL SELECT 'recruitment_sources', recruitment_source, count(*) FROM es GROUP BY 2
 UNION ALL SELECT 'ratings', performance_label, count(*) FROM employee JOIN ratings USING (performance_rating) GROUP BY 2""", SOURCES, EMPLOYEE_SOURCE, RATINGS))
 def seed_dims(t):
     dims = seeds.seed_dims(t.spark)
+    # Departments and locations of the model have other names; employees are dealt to the seeds by their id.
+    dealt = t.employee.withColumns({
+        "department_id": (F.col("employee_id") % dims["departments"].count() + 1).cast("int"),
+        "location_id": (F.col("employee_id") % dims["locations"].count() + 1).cast("int"),
+    }).drop("department", "location")
     out = None
-    for dim, key, label in (("job_levels", "job_level", "job_level"), ("recruitment_sources", "recruitment_source_id", "recruitment_source"),
+    for dim, key, label in (("departments", "department_id", "department"), ("locations", "location_id", "location"), ("job_levels", "job_level", "job_level"), ("recruitment_sources", "recruitment_source_id", "recruitment_source"),
                             ("ratings", "performance_rating", "performance_label")):
-        used = t.employee.join(F.broadcast(dims[dim]), key).groupBy(F.col(label).alias("name")).agg(F.count(F.lit(1)).alias("employees"))
+        used = dealt.join(dims[dim], key).groupBy(F.col(label).alias("name")).agg(F.count(F.lit(1)).alias("employees"))
         used = used.withColumn("dim", F.lit(dim))
         out = used if out is None else out.unionByName(used)
     return out

@@ -48,11 +48,12 @@ def change_log_stream(t):
 
 
 @query("t02_windowed_counts_stream", """
-SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events
-WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events) GROUP BY 1, 2""")
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def windowed_counts(t):
     folder, out = scratch_path(t.spark, "ticks"), scratch_path(t.spark, "windows")
-    t.events.withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "event_type").write.parquet(folder)
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "event_type")
+    rows.write.parquet(folder)
+    incremental.end_of_input(rows, "ts").write.mode("append").parquet(folder)
     stream = incremental.file_stream(t.spark, folder, "ts timestamp, event_type string")
     counts = incremental.windowed_counts(stream, "ts", ["event_type"])
     flat = counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -74,9 +74,18 @@ def source_quality_quarterly(hires: DataFrame, by: Sequence[str], weights: Seque
     )
 
 
+# Two-sided 5% points of Student's t for 1 to 30 degrees of freedom.
+T_POINTS = (
+    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
+    2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
+)
+
+
 def t_critical(df: Column, z: float = 1.959963984540054) -> Column:
-    """Two-sided 5% point of Student's t from the normal point (Cornish-Fisher expansion)."""
-    return (
+    """Two-sided 5% point of Student's t: from the table up to 30 degrees of freedom (rounded down), beyond from the
+    normal point (Cornish-Fisher expansion, exact to three digits there)."""
+    few = F.element_at(F.array(*[F.lit(p) for p in T_POINTS]), F.greatest(F.floor(df), F.lit(1)).cast("int"))
+    return F.when(df < len(T_POINTS) + 1, few).otherwise(
         F.lit(z)
         + F.lit((z**3 + z) / 4) / df
         + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (df * df)
@@ -95,19 +104,21 @@ def comp_equity(employee: DataFrame, by: Sequence[str], gender: str = "gender",
     )
     dims = [*by, gender, group]
     sets = [[*by, gender, group], [*by, gender], [*by, group], [*by]]
-    pay, n = F.col(salary).cast("double"), F.col(_FREQ)
+    # Squares are taken around the overall mean, so that their sums do not cancel.
+    pay, n = F.col(salary).cast("double") - employee.select(F.avg(salary)).scalar(), F.col(_FREQ)
     label = lambda c: F.when(F.grouping(c) == 1, OVERALL).otherwise(F.col(c))
     cells = counts.groupingSets(sets, *dims).agg(
         label(gender).alias("gender_group"), label(group).alias("ethnicity_group"),
         F.sum(n).alias("employee_count"),
         safe_divide(F.sum(F.col(salary) * n), F.sum(n)).alias("__mean"),
         F.sum(pay * pay * n).alias("__squares"),
+        F.sum(pay * n).alias("__shifted"),
         F.percentile(salary, F.lit(0.5), n).alias("median_base_salary"),
         safe_divide(F.sum("__compa"), F.sum(n)).alias("__compa_mean"),
-    ).select(*by, "gender_group", "ethnicity_group", "employee_count", "__mean", "__squares", "median_base_salary", "__compa_mean")
+    ).select(*by, "gender_group", "ethnicity_group", "employee_count", "__mean", "__squares", "__shifted", "median_base_salary", "__compa_mean")
     size = F.col("employee_count")
     cells = cells.withColumn(
-        "__se2", F.try_divide((F.col("__squares") - size * F.col("__mean") * F.col("__mean")) / size, (size - 1).cast("double"))
+        "__se2", F.try_divide((F.col("__squares") - F.col("__shifted") * F.col("__shifted") / size) / size, (size - 1).cast("double"))
     )
     male = cells.where(F.col("gender_group") == baseline).select(
         *by, "ethnicity_group", F.col("__mean").alias("__m"), F.col("__se2").alias("__mse2"), F.col("employee_count").alias("__mn")

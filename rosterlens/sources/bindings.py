@@ -56,7 +56,7 @@ def employee_from_orders(orders: DataFrame, customer: DataFrame, nation: DataFra
     return joined.selectExpr(*[f"{expression} AS {name}" for name, expression in EMPLOYEE_COLUMNS.items()])
 
 
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
+_SCHEMAS: dict[tuple, StructType] = {}
 
 
 class Tables:
@@ -67,14 +67,15 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        """Open a table; its footer schema is looked up once per session, not once per query."""
+        """Open a table; its footer schema is looked up once per state of the files, not once per query."""
         path = f"{self.folder}/{name}.parquet"
-        known = _SCHEMAS.get((self.spark.sparkContext.applicationId, path))
-        if known is not None:
-            return self.spark.read.schema(known).parquet(path)
-        df = self.spark.read.parquet(path)
-        _SCHEMAS[(self.spark.sparkContext.applicationId, path)] = df.schema
-        return df
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        status = files.getFileStatus(place)
+        key = (self.spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen())
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
     @cached_property
     def region(self) -> DataFrame:

@@ -29,12 +29,27 @@ def load_available(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def windowed_counts(events: DataFrame, ts: str, by: Sequence[str], width: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """Rows per tumbling window and group; rows later than the watermark are dropped."""
+    """Rows per tumbling window and group; a window comes out when the watermark has passed its end.
+
+    Rows later than the watermark are not counted; see late_rows. A bounded input is ended by end_of_input.
+    """
     return events.withWatermark(ts, lateness).groupBy(F.window(ts, width).alias("window"), *by).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
+def end_of_input(rows: DataFrame, ts: str, lateness: str = "1 day", width: str = "1 day") -> DataFrame:
+    """One row far enough behind the last one that its arrival closes every window before; its own stays open."""
+    after = F.max(ts) + F.expr(f"interval {lateness}") + F.expr(f"interval {width}") * 2
+    other = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != ts]
+    return rows.agg(after.alias(ts)).select(F.col(ts), *other).select(*rows.columns)
+
+
+def late_rows(rows: DataFrame, ts: str, mark) -> DataFrame:
+    """Rows of a delivery that lie before the mark reached by earlier deliveries, for a side table."""
+    return rows.where(F.col(ts) < mark)
+
+
 def apply_changes(root: str, key: str, order: Sequence[str], audited: Sequence[str], log_path: str) -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: newest row per key, change log against the stored state, new state version.
 

@@ -154,3 +154,12 @@ def test_facts_without_a_version_on_their_day_are_kept(spark):
     versions = spark.createDataFrame([(1, "2020-01-01", None, "x")], "k int, effective_start_date string, effective_end_date string, v string")
     got = {(r.k, r.day): r.v for r in facts.as_of_version_join(fact, versions, "k", "day", ["v"]).collect()}
     assert got == {(1, "2020-01-05"): "x", (1, "2019-01-01"): None, (2, "2020-01-05"): None}
+
+
+def test_an_older_event_in_a_later_batch_does_not_win(spark):
+    root, log = scratch_path(spark, "late-state"), scratch_path(spark, "late-log")
+    handler = incremental.apply_changes(root, "k", ["t"], ["v"], log)
+    handler(spark.createDataFrame([("a", 10, "new"), ("b", 1, "x")], "k string, t int, v string"), 0)
+    handler(spark.createDataFrame([("a", 5, "old"), ("b", 2, "y")], "k string, t int, v string"), 1)
+    assert {r.k: (r.t, r.v) for r in storing.read_current(spark, root).collect()} == {"a": (10, "new"), "b": (2, "y")}
+    assert [(r.k, r.new_value) for r in spark.read.parquet(log).collect()] == [("b", "y")]
