@@ -316,6 +316,24 @@ def fact_incremental(t):
     return snapshot_fact(t, since="2001-09-30").select(*FACT_COLUMNS)
 
 
+@query("l08_fact_as_of_pay_version", emp("""
+SELECT f.employee_id, f.date_key, v.pay FROM fact f LEFT JOIN versions v
+ ON f.employee_id = v.employee_id AND f.month_end >= v.s AND (v.e IS NULL OR f.month_end < v.e)""", *FACT, """
+versions AS (SELECT employee_id, s, lead(s) OVER (PARTITION BY employee_id ORDER BY s) AS e, pay
+ FROM (SELECT l_orderkey AS employee_id, CAST(l_shipdate AS DATE) AS s, max(l_extendedprice) AS pay FROM lineitem GROUP BY 1, 2))"""))
+def fact_as_of_version(t):
+    """Each month end with the pay version that was valid on it; months before the first version keep a null."""
+    from rosterlens.operators.sequence import next_row
+
+    daily = t.lineitem.groupBy(F.col("l_orderkey").alias("employee_id"), F.col("l_shipdate").cast("date").alias("effective_start_date")).agg(
+        F.max("l_extendedprice").alias("pay")
+    )
+    follows = next_row(daily, ["employee_id"], ["effective_start_date"], ["effective_start_date"], F.year("effective_start_date"))
+    versions = follows.withColumn("effective_end_date", F.col("next.effective_start_date"))
+    fact = snapshot_fact(t).withColumn("day", F.to_date(F.col("date_key").cast("string"), "yyyyMMdd"))
+    return facts.as_of_version_join(fact, versions, "employee_id", "day", ["pay"]).select("employee_id", "date_key", "pay")
+
+
 @query("l09_current_employees_view", emp("""
 SELECT f.employee_id, f.date_key, f.tenure_months, l.level_name, l.career_track, m.employee_name AS manager_name
 FROM fact f JOIN levels l USING (job_level) JOIN employee e ON f.employee_id = e.employee_id LEFT JOIN employee m ON e.manager_id = m.employee_id
@@ -341,11 +359,11 @@ def attrition_events(t):
 
 
 @query("l11_headcount_monthly", emp(f"""
-SELECT date_key, department, job_level, count(*) AS total_headcount, {cnt('is_active_flag')} AS active_headcount, round(sum(fte_value), 2) AS fte_total,
+SELECT date_key, department, location, job_level, count(*) AS total_headcount, {cnt('is_active_flag')} AS active_headcount, round(sum(fte_value), 2) AS fte_total,
  {avg('tenure_months')} AS avg_tenure_months, {avg('CAST(compa_ratio AS DECIMAL(14,4))', digits=4)} AS avg_compa_ratio, {avg('CAST(flight_risk_score AS DECIMAL(14,4))')} AS avg_flight_risk_score,
- {avg('CAST(engagement_score AS DECIMAL(14,4))')} AS avg_engagement_score FROM fact GROUP BY 1, 2, 3""", *FACT))
+ {avg('CAST(engagement_score AS DECIMAL(14,4))')} AS avg_engagement_score FROM fact GROUP BY 1, 2, 3, 4""", *FACT))
 def headcount_monthly(t):
-    return summaries.headcount_monthly(snapshot_fact(t), ["department", "job_level"])
+    return summaries.headcount_monthly(snapshot_fact(t), ["department", "location", "job_level"])
 
 
 HEADS = f"(({cnt(chr(104) + 'ire_date < date_trunc(' + repr('month') + ', month_end)')} + {cnt('NOT is_exit')}) / 2e0)"
@@ -354,11 +372,11 @@ HEADS = f"(({cnt(chr(104) + 'ire_date < date_trunc(' + repr('month') + ', month_
 @query("l12_attrition_monthly", emp(f"""
 SELECT *, coalesce(round(voluntary_separations / nullif(avg_headcount_in_period, 0), 6), 0) AS voluntary_attrition_rate,
  coalesce(round(regrettable_separations / nullif(avg_headcount_in_period, 0), 6), 0) AS regrettable_attrition_rate FROM (
-SELECT date_key, department, location, {cnt('is_exit')} AS total_separations, {cnt('is_exit AND voluntary_exit_flag')} AS voluntary_separations,
+SELECT date_key, department, location, job_level, {cnt('is_exit')} AS total_separations, {cnt('is_exit AND voluntary_exit_flag')} AS voluntary_separations,
  {cnt('is_exit AND NOT voluntary_exit_flag')} AS involuntary_separations, {cnt(f'is_exit AND {HIGH}')} AS regrettable_separations,
- {cnt('is_exit AND termination_date - hire_date < 90')} AS new_hire_90day_exits, {HEADS} AS avg_headcount_in_period FROM fact GROUP BY 1, 2, 3)""", *FACT))
+ {cnt('is_exit AND termination_date - hire_date < 90')} AS new_hire_90day_exits, {HEADS} AS avg_headcount_in_period FROM fact GROUP BY 1, 2, 3, 4)""", *FACT))
 def attrition_monthly(t):
-    return summaries.attrition_monthly(snapshot_fact(t), ["department", "location"])
+    return summaries.attrition_monthly(snapshot_fact(t), ["department", "location", "job_level"])
 
 
 # --- event facts -----------------------------------------------------------------------
@@ -369,17 +387,17 @@ HIRES = """hires AS (SELECT s.*, days_to_fill, o.o_orderstatus <> 'P' AS offer_a
 
 
 @query("l13_source_quality_quarterly", emp(f"""
-SELECT year(hire_date) || '-Q' || quarter(hire_date) AS quarter_key, recruitment_source, department, count(*) AS total_hires, {avg('days_to_fill')} AS avg_days_to_fill,
+SELECT year(hire_date) || '-Q' || quarter(hire_date) AS quarter_key, recruitment_source, department, job_level, count(*) AS total_hires, {avg('days_to_fill')} AS avg_days_to_fill,
  round({ratio(cnt('offer_accepted_flag'), default=None)}, 4) AS offer_acceptance_rate, round(avg(interview_score), 2) AS avg_interview_score,
  round({ratio(cnt('kept'), default=None)}, 4) AS retention_12m_rate,
  round({avg('performance_rating', digits=None)} / 5 * 0.35::DOUBLE + {ratio(cnt('kept'), default=None)} * 0.35::DOUBLE + {avg('engagement_score', digits=None)} / 100 * 0.30::DOUBLE, 4) AS quality_of_hire_score
-FROM (SELECT *, termination_date IS NULL OR termination_date >= CAST(hire_date + INTERVAL 12 MONTH AS DATE) AS kept FROM hires JOIN sources USING (recruitment_source_id)) GROUP BY 1, 2, 3""", STAFF, HIRES, SOURCES))
+FROM (SELECT *, termination_date IS NULL OR termination_date >= CAST(hire_date + INTERVAL 12 MONTH AS DATE) AS kept FROM hires JOIN sources USING (recruitment_source_id)) GROUP BY 1, 2, 3, 4""", STAFF, HIRES, SOURCES))
 def source_quality_quarterly(t):
     shipped = t.lineitem.groupBy(F.col("l_orderkey").alias("employee_id")).agg(F.min(F.col("l_shipdate").cast("date")).alias("shipped"))
     status = t.orders.select(F.col("o_orderkey").alias("employee_id"), (F.col("o_orderstatus") != "P").alias("offer_accepted_flag"))
     hires = staff(t).join(F.broadcast(t.recruitment_sources), "recruitment_source_id").join(status, "employee_id").join(shipped, "employee_id", "left")
     hires = hires.withColumns({"days_to_fill": F.datediff("shipped", "hire_date"), "interview_score": F.col("leave_count").cast("double")})
-    return summaries.source_quality_quarterly(hires, ["recruitment_source", "department"])
+    return summaries.source_quality_quarterly(hires, ["recruitment_source", "department", "job_level"])
 
 
 EQUITY = """cells AS MATERIALIZED (SELECT department, coalesce(gender, 'Overall') AS gender_group, coalesce(region, 'Overall') AS ethnicity_group, count(*) AS n,
