@@ -97,6 +97,7 @@ def pivot(t):
     return reshape.pivot(t.employee, ["gender"], "job_level", round_half_up(mean("salary")), LEVELS)
 
 
-@query("u07_sample")
+@query("u07_sample", emp("""
+SELECT employee_id, performance_rating, salary FROM employee ORDER BY md5('42:' || CAST(employee_id AS VARCHAR)), employee_id LIMIT 2000"""))
 def sample(t):
     return reshape.sample_rows(t.employee.select("employee_id", "performance_rating", "salary"), 2000, "employee_id")

@@ -124,3 +124,29 @@ def top_drivers(t):
 def feature_importance(t):
     model, scored = trained(t)
     return risk.feature_importance(model, scored)
+
+
+@query("m03_scores_in_range", emp("SELECT count(*) AS n, 0 AS outside, 4 AS tiers FROM employee"))
+def scores_in_range(t):
+    """Every employee is scored within bounds and falls into one of the four tiers."""
+    _, scored = trained(t)
+    ok = F.col("model_probability").between(0, 1) & F.col("risk_score").between(0, 100) & F.col("risk_tier").isNotNull()
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(ok, F.lit(False))).cast("int").alias("outside"),
+        F.count_distinct("risk_tier").cast("int").alias("tiers"),
+    )
+
+
+@query("m05_drivers_per_employee", emp("SELECT employee_id, 3 AS drivers, true AS has_action FROM employee"))
+def drivers_per_employee(t):
+    model, scored = trained(t)
+    return risk.top_drivers(model, scored).select(
+        "employee_id", F.size(F.split("top_drivers", r" \| ")).alias("drivers"), F.col("recommended_action").isNotNull().alias("has_action")
+    )
+
+
+@query("m06_importance_per_feature", "SELECT feature, true AS not_negative FROM (VALUES "
+       + ", ".join(f"('{n}')" for n in risk.feature_names()) + ") f(feature)")
+def importance_per_feature(t):
+    model, scored = trained(t)
+    return risk.feature_importance(model, scored).select("feature", (F.col("mean_abs_contribution") >= 0).alias("not_negative"))

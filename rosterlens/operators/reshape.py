@@ -81,5 +81,5 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """At most n rows chosen by a seeded hash of the key, so the choice is repeatable."""
-    return top_k(df, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], n)
+    """At most n rows chosen by a seeded MD5 of the key, so the choice is repeatable anywhere."""
+    return top_k(df, [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)], n)

@@ -25,7 +25,7 @@ def test_entry_point(spark):
 
 
 def test_only_queries_without_sql_form_lack_sql():
-    assert set(QUERIES) - set(SQL) == SLOW | {"u07_sample"}
+    assert set(QUERIES) - set(SQL) == SLOW
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
