@@ -28,6 +28,7 @@ def text_of(html):
      "<!-- ad --><div class=\"ad\">Buy</div><article><h1>Head &eacute;</h1><p><b>One\n two<br>three<br><p>Four &lt;x&gt; &#65;</p></article><footer>&copy; f</footer>", "Head é\nOne two three\nFour <x> A"),
     ("<body><header><p>site</p></header><main><header><h1>Title</h1></header><p>x</p><aside>s</aside><form><input value='q'>go</form><div class='reader comments'><p>c</p></div></main>", "Title\nx"),
     ("<div id='cookieNotice'>n</div><div role='main'><ul><li>1<li>2</ul><table><tr><td>a<td>b</table><p>y&nbsp;z</p></div><div class='sidebar'>s</div>", "1\n2\na\nb\ny z"),
+    ("<p title=it's>a&am<b>p; b</b> <i x='1'>c</i></p><p>d", "a&amp; b c\nd"), ("<p " + "a='b\"" * 5000, ""),
     ("<article><p>a</article><article class='comment'><p>no</article>after", "a"), ("<article><p>x <span>in</span>line<a href=\"a>b\">z</a></p><script>1", "x inlinez"),
 ])
 def test_blocks_of_a_page(html, text):
