@@ -426,26 +426,28 @@ def controlled_pay_gap(t):
     return summaries.controlled_pay_gap(t.employee, ["department"], ["job_level"])
 
 
-TRAINING = """training AS (SELECT CAST(strftime(last_day(CAST(l_shipdate AS DATE)), '%Y%m%d') AS INT) AS date_key, p_type AS skill_domain, l_linestatus = 'F' AS done,
+TRAINING = """training AS (SELECT CAST(strftime(last_day(CAST(l_shipdate AS DATE)), '%Y%m%d') AS INT) AS date_key, p_type AS skill_domain, department, job_level, l_linestatus = 'F' AS done,
  l_linenumber <= 3 AS must, l_returnflag = 'R' AS late, CAST(50 + l_discount * 500 AS DECIMAL(10,4)) AS score, CAST(l_quantity AS DECIMAL(18,2)) AS hours,
- CAST(l_extendedprice AS DECIMAL(18,2)) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+ CAST(l_extendedprice AS DECIMAL(18,2)) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey JOIN employee ON l_orderkey = employee_id)"""
 
 
-@query("l15_training_compliance", with_(TRAINING, then=f"""
-SELECT date_key, skill_domain, count(*) AS total_enrollments, {cnt('done')} AS completions, {cnt('done AND must')} AS mandatory_completions, {cnt('must')} AS mandatory_total,
+@query("l15_training_compliance", emp(f"""
+SELECT date_key, skill_domain, department, job_level, count(*) AS total_enrollments, {cnt('done')} AS completions, {cnt('done AND must')} AS mandatory_completions, {cnt('must')} AS mandatory_total,
  {cnt('late')} AS overdue_count, round({ratio(cnt('done AND must'), cnt('must'), None)}, 4) AS compliance_rate, {avg('score', 'done')} AS avg_assessment_score,
- round(CAST(sum(hours) FILTER (WHERE done) AS DOUBLE), 2) AS total_hours_completed, round(CAST(sum(cost) AS DOUBLE), 2) AS total_cost FROM training GROUP BY 1, 2"""))
+ round(CAST(sum(hours) FILTER (WHERE done) AS DOUBLE), 2) AS total_hours_completed, round(CAST(sum(cost) AS DOUBLE), 2) AS total_cost FROM training GROUP BY 1, 2, 3, 4""", TRAINING))
 def training_compliance(t):
     from rosterlens.functions.dates import date_key
 
-    joined = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(
+        t.employee.select("employee_id", "department", "job_level"), F.col("l_orderkey") == F.col("employee_id")
+    )
     training = joined.select(
-        date_key(F.last_day(F.col("l_shipdate").cast("date"))).alias("date_key"), F.col("p_type").alias("skill_domain"),
+        date_key(F.last_day(F.col("l_shipdate").cast("date"))).alias("date_key"), F.col("p_type").alias("skill_domain"), "department", "job_level",
         (F.col("l_linestatus") == "F").alias("completion_flag"), (F.col("l_linenumber") <= 3).alias("is_mandatory_flag"),
         (F.col("l_returnflag") == "R").alias("is_overdue_flag"), (F.lit(50) + F.col("l_discount") * 500).alias("assessment_score"),
         F.col("l_quantity").alias("hours"), F.col("l_extendedprice").alias("cost"),
     )
-    return summaries.training_compliance(training, ["date_key", "skill_domain"])
+    return summaries.training_compliance(training, ["date_key", "skill_domain", "department", "job_level"])
 
 
 @query("l16_funnel_metrics", f"""
