@@ -523,7 +523,7 @@ SELECT manager_id, m.employee_name AS full_name, m.department, m.job_level AS ma
  manager_effectiveness_score, team_exit_rate_rolling, team_engagement_avg, team_performance_avg, promotion_rate_of_team
 FROM (SELECT manager_id, round({avg('engagement_score', digits=None)} * 0.40::DOUBLE + 100e0 * {ratio(cnt(STAYED), default=None)} * 0.40::DOUBLE
   + 100e0 * {ratio(cnt(HIGH), default=None)} * 0.20::DOUBLE, 2) AS manager_effectiveness_score,
-  round({ratio(cnt("termination_date > DATE '2000-12-31' AND termination_date <= DATE '2001-12-31'"), default=None)}, 4) AS team_exit_rate_rolling,
+  round({ratio(cnt("voluntary_exit_flag AND termination_date > DATE '2000-12-31' AND termination_date <= DATE '2001-12-31'"), default=None)}, 4) AS team_exit_rate_rolling,
   {avg('engagement_score')} AS team_engagement_avg, {avg('performance_rating')} AS team_performance_avg, round({ratio(cnt('promotions >= 1'), default=None)}, 4) AS promotion_rate_of_team
   FROM staff WHERE manager_id IS NOT NULL GROUP BY 1) s
 JOIN (SELECT ancestor AS manager_id, {cnt('distance = 0')} AS direct_report_count, count(*) AS total_org_size,

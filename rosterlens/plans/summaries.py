@@ -240,10 +240,10 @@ def compensation_changes(pay: DataFrame, key: str, order: Sequence[str], salary:
 def manager_dimension(employee: DataFrame, as_of: str, months: int = 12) -> DataFrame:
     """Per manager: direct and total reports, span, effectiveness, rolling exit rate, team means, promotion rate.
 
-    employee carries termination_date; exits count when dated in the `months` before as_of.
+    employee carries termination_date and voluntary_exit_flag; voluntary exits count when dated in the `months` before as_of.
     """
     day = F.lit(as_of).cast("date")
-    recent = F.col("termination_date").isNotNull() & (F.col("termination_date") > F.add_months(day, -months)) & (
+    recent = F.coalesce("voluntary_exit_flag", F.lit(False)) & (F.col("termination_date") > F.add_months(day, -months)) & (
         F.col("termination_date") <= day)
     sums = {
         "n": F.lit(1), "eng": F.col("engagement_score"), "perf": F.col("performance_rating"), "active": one(scores.is_active()),
