@@ -102,9 +102,13 @@ def fit_ordinal(
     df = df_low + df_top
     scale = np.abs(ratio)
     scale[(df < least_rows) | (scale < least_errors * np.sqrt(1 / (df_low + 1) + 1 / (df_top + 1)))] = 0.0
-    used = scale[index] > 0
-    rows = np.repeat(np.arange(n), sizes)[used]
-    features, column = np.unique(index[used], return_inverse=True)
+    features = np.flatnonzero(scale)
+    number = np.full(dim, -1, np.int32)
+    number[features] = np.arange(len(features), dtype=np.int32)
+    column = number[index]
+    used = column >= 0
+    rows = np.repeat(np.arange(n, dtype=np.int32), sizes)[used].astype(np.intp)
+    column = column[used].astype(np.intp)
     value = scale[features][column]
     weights, first, gaps = np.zeros(len(features)), np.array([-1.0]), np.zeros(max(0, levels - 2))
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (weights, first, gaps)]
@@ -138,12 +142,15 @@ def train_quality(docs: DataFrame, ratings: DataFrame, grade: Column, doc_id: st
     sample = rated.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     # The sample has at most train_rows narrow rows, so the texts need no shuffle.
     chosen = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    # At most train_rows rows come to the driver, each with the distinct hashed features of one text.
     rows = chosen.select("_grade", "_text").mapInArrow(_feature_batches, "grade int, features array<int>").toArrow()
     if rows.num_rows == 0:
         return None
-    lists = rows["features"].combine_chunks()
     grades = np.clip(rows["grade"].to_numpy(), 0, levels - 1).astype(np.int64)
-    return fit_ordinal(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), grades, levels)
+    sizes = np.concatenate([chunk.value_lengths().to_numpy() for chunk in rows["features"].chunks])
+    index = np.concatenate([chunk.flatten().to_numpy() for chunk in rows["features"].chunks])
+    del rows
+    return fit_ordinal(index, sizes, grades, levels)
 
 
 def _score_batches(model: OrdinalModel | None, weights):
