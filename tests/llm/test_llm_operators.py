@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlens.llm import queries
-from rosterlens.llm.decontamination import drop_leaks, find_leaks
+from rosterlens.llm.decontamination import drop_leaks, find_leaks, largest_loss, leaks_sql
 from rosterlens.llm.hnsw import nearest_neighbours
 from rosterlens.llm.licenses import find_licenses
 from rosterlens.llm.mixing import mix_documents, mix_plan
@@ -145,6 +145,46 @@ def test_leaks_of_odd_rows(spark):
     assert drop_leaks(docs, items.limit(0)).count() == 9
 
 
+def test_leaks_whose_pieces_stand_apart_match_sql(spark):
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(40)]
+    items = [(i, " ".join(rng.permutation([*common[:6], *(f"i{i}w{k}" for k in range(n - 6))]))) for i, n in enumerate([28, 30, 33, 58, 70, 200])]
+    far = " ".join(rng.choice(common, 200))
+    docs = []
+    for _, text in items:
+        w = text.split()
+        for cut in range(0, len(w), 2):
+            docs.append(f"{' '.join(w[:cut])} {far} {' '.join(w[cut:])}")
+        for pieces in (3, 5, 8):
+            docs.append(f" {far} ".join(" ".join(x) for x in reversed(np.array_split(w, pieces))))
+        edge = (len(w) - 4) // 5
+        docs += [" ".join(w[edge:]), " ".join(w[edge + 1 :]), " ".join(w[:-edge])]
+    docs = list(enumerate(docs))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    cursor = con.execute(leaks_sql())
+    wanted = rows_of([c[0] for c in cursor.description], cursor.fetchall())
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = find_leaks(df, benchmark).drop("score")
+    assert len(docs) // 2 < len(wanted[1])
+    assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == wanted
+
+
+def test_largest_loss_of_a_leak():
+    rng = np.random.default_rng(5)
+    for words in (9, 10, 14, 16, 19):
+        weights, shingles = rng.random((2, words)), words - 4
+        best = np.zeros(2)
+        for missing in range(2**shingles):
+            if missing.bit_count() <= shingles // 5:
+                gone = [all(missing >> s & 1 for s in range(max(0, p - 4), min(p, shingles - 1) + 1)) for p in range(words)]
+                best = np.maximum(best, weights[:, gone].sum(axis=1))
+        assert np.allclose(largest_loss(weights), best)
+
+
 def nearest(vectors, query, k):
     own = dict(vectors)[query]
     return sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(v, own))), i) for i, v in vectors if i != query)[:k]
