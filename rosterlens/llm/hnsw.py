@@ -189,10 +189,10 @@ def usable_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 def nearest_neighbours(embeddings: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, shard_size: int = SHARD_SIZE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that meets ``is_query`` (a condition on vec_id)."""
     rows = usable_vectors(embeddings, vec_id, embedding)
-    # k + 1 smallest ids of each distinct vector answer every query, its own id aside; rows are cut before the shuffle.
+    # k + 1 smallest ids of each distinct vector answer every query, its own id aside. Repeated rows are combined first, so
+    # that they take no place of another id; both steps cut rows before their shuffle.
     by_vector = Window.partitionBy("vector").orderBy("vec_id")
-    distinct_rows = rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= 2 * k + 2).drop("n").distinct()
-    ranked = distinct_rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
+    ranked = rows.distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     members = written_table(ranked.withColumn("rep", F.min("vec_id").over(Window.partitionBy("vector"))), "members")
     nodes = members.where("n = 1").select("rep", "vector", F.size("vector").alias("dim"))
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_size)).alias("shards"))  # one row per dimension

@@ -222,3 +222,12 @@ def test_neighbours_of_odd_rows(spark):
     small = spark.createDataFrame(few, "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id, r.score) for r in nearest_neighbours(small, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1, 2.0), (2, 2, 2.0)]
     assert nearest_neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_repeated_rows_take_no_place_of_other_ids(spark):
+    rows = [(0, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(1, 13)] + [(50, [1.0, 1.0])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in nearest_neighbours(df, F.col("vec_id").isin(0, 12)).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {0: [(i, 0.0) for i in range(1, 11)], 12: [(i, 0.0) for i in range(10)]}
