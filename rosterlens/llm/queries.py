@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterlens.llm.centroids import cluster_vectors, clusters_sql
 from rosterlens.llm.decontamination import find_leaks, leaks_sql
 from rosterlens.llm.hnsw import nearest_neighbours
 from rosterlens.llm.html_extract import extract_text
@@ -16,6 +17,7 @@ from rosterlens.llm.near_dedup import near_duplicates
 from rosterlens.llm.quality import document_grade, score_quality, train_quality
 from rosterlens.llm.secrets import scan_secrets
 from rosterlens.llm.sharding import shard_documents
+from rosterlens.llm.spelling import group_spellings
 from rosterlens.llm.url_filter import judge_urls, judge_urls_sql
 
 
@@ -65,6 +67,14 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return group_spellings(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_sharding": op2_sharding,
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -83,4 +95,5 @@ SQL: dict[str, str] = {
     "op7_benchmark_decontamination": leaks_sql(),
     "op9_license_scan": licenses_sql(),
     "op10_url_filter": judge_urls_sql(),
+    "op11_centroid_clustering": clusters_sql(),
 }
