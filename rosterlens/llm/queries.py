@@ -19,6 +19,7 @@ from rosterlens.llm.secrets import scan_secrets
 from rosterlens.llm.sharding import shard_documents
 from rosterlens.llm.spelling import group_spellings
 from rosterlens.llm.url_filter import judge_urls, judge_urls_sql
+from rosterlens.llm.vector_dedup import near_vectors
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +72,10 @@ def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return cluster_vectors(table(spark, folder, "embeddings"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return group_spellings(table(spark, folder, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +53,26 @@ def components(edges: DataFrame) -> DataFrame:
         step = later.select(F.col("node").alias("component"), "up")
         label = label.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
     return label
+
+
+def consecutive(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in the columns ``names``, over batch borders."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for name in names:
+            column = batch.column(name)
+            if batch.num_rows > 1:
+                new[1:] |= pa.compute.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            key = tuple(batch.column(name)[start].as_py() for name in names)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held, last = [*held, batch.slice(start, stop - start)], key
+    if held:
+        yield pa.Table.from_batches(held)
