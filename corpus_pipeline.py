@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from rosterlens.llm.decontamination import drop_leaks
 from rosterlens.llm.mixing import mix_documents
-from rosterlens.llm.near_dedup import near_duplicates
+from rosterlens.llm.near_dedup import Settings, near_duplicates
 from rosterlens.llm.quality import document_grade, keep_good, train_quality
 from rosterlens.llm.sharding import with_shards, with_slots
 from rosterlens.session import written_table
 
 
+# Five words and four fifths; a pair at the threshold shares no band with probability below 2e-7.
+NEAR_DUPLICATES = Settings(size=5, percent=80, bands=40, rows=5)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -30,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays; rows that repeat an id are one document."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, settings=NEAR_DUPLICATES).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
 
 
