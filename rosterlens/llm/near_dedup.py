@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = families.join(shares, "component").select(
         F.col("node").alias("rep"), F.col("component").alias("family"), "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")
     )
-    members = written_table(texts.join(placed, texts.doc_id == placed.rep).where("text IS NOT NULL").select("family", "chunks", "chunk", "rep", "text"), "members")
+    # Repeated rows are one member; they are combined before the shuffle.
+    members = written_table(texts.join(placed, texts.doc_id == placed.rep).where("text IS NOT NULL").select("family", "chunks", "chunk", "rep", "text").distinct(), "members")
     of_family = Window.partitionBy("family").orderBy(F.xxhash64("rep"), "rep")
     pivots = members.where("chunks > 1").withColumn("rank", F.row_number().over(of_family)).where(F.col("rank") <= s.pivots)
     pivots = pivots.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("i <> chunk")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from rosterlens.llm.near_dedup import Settings, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -17,9 +18,9 @@ def shingles(text, size=3):
     return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
 
 
-def brute(rows):
+def brute(rows, size=3, percent=85):
     """Components over all pairs that share a shingle; rows are (doc_id, text) with distinct ids."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -31,7 +32,7 @@ def brute(rows):
     for i, s in enumerate(sets):
         both = Counter(j for g in s for j in holders.get(g, ()))
         for j, n in both.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 x, y = root(i), root(j)
                 if x != y:
                     parent[x] = y
@@ -79,5 +80,28 @@ def test_one_id_with_several_texts_is_one_document(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_five_words_and_four_fifths(spark):
+    """The rule of the pipeline's stage, on the given documents and on copies with words appended around the threshold."""
+    import random
+
+    draw = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    for k in range(60):
+        words = [f"w{draw.randrange(500)}" for _ in range(100)]
+        rows += [(10_000 + 3 * k, " ".join(words)), (10_001 + 3 * k, " ".join(words + [f"v{k}x{i}" for i in range(15 + k % 15)])), (10_002 + 3 * k, " ".join(words[:50] + ["odd"] + words[51:]))]
+    settings = corpus_pipeline.NEAR_DUPLICATES
+    assert (settings.size, settings.percent) == (5, 80) and (1 - 0.8**settings.rows) ** settings.bands < 3e-7
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings=settings)) == brute(rows, 5, 80)
+
+
+def test_one_id_in_very_many_rows(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    many = spark.range(100_000).selectExpr("7L AS doc_id", f"'{text}' AS text")
+    few = spark.createDataFrame([(8, text + " end"), (9, "start " + text), (10, "something else altogether")], "doc_id long, text string")
+    got = near_duplicates(many.unionByName(few)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(7, 7, True, 100_000), (8, 7, False, 1), (9, 7, False, 1), (10, 10, True, 1)}
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
