@@ -102,6 +102,25 @@ def test_mix_takes_documents_by_their_rates(spark):
     assert mix_plan(docs.limit(0)).count() == 0 and mix_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("folder", "within"), [("sf0.1", 0.01), ("sf0.01", 0.03)])
+def test_mix_comes_near_its_targets(spark, folder, within):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    rows = mix_plan(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size")).collect()
+    assert all(abs(r.taken / r.target - 1) < within for r in rows) and math.isclose(sum(r.target for r in rows), sum(r["size"] for r in rows))
+
+
+def test_mix_coins_follow_the_fraction(spark):
+    """Over many seeds every document of a stratum gets its extra copy equally often."""
+    docs = spark.createDataFrame([(i, "w " * (20 + i % 3), "a") for i in range(30)] + [(100 + i, "w " * 40, "b") for i in range(30)], "doc_id long, text string, source string")
+    extra = np.zeros(30)
+    for seed in range(8):
+        plan = {r.doc_id: r for r in mix_plan(docs, seed=f"s{seed}").collect()}
+        rate = plan[100].target / plan[100].source_size
+        extra += [plan[100 + i].copies - math.floor(rate) for i in range(30)]
+    share = (rate - math.floor(rate)) * 8
+    assert abs(extra.mean() - share) < 0.5 and (extra > 0).sum() > 15 and (extra < 8).sum() > 15
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
     (None, "", "", None, "allow"), ("no scheme casino", "", "", None, "block"), ("http://A.Example.NET/en/1?q#f", "a.example.net", "/en/1", "example.net/en/", "allow"),
     ("http://example.net/de/1", "example.net", "/de/1", "net/", "block"), ("http://xexample.com/de/", "xexample.com", "/de/", None, "allow"),
