@@ -5,11 +5,12 @@ its score: P(grade >= k) = sigmoid(score - threshold[k]). A document gets its ex
 top grades, by which it is selected. Features are the distinct words of the whole text, their first bytes, and how large a
 share of it is capitals, symbols, repeated words and so on, so they cover every script and do not depend on length.
 
-The model is fitted on a bounded sample of rated documents (``TRAIN_ROWS``, the smallest id hashes); scoring covers all
-documents. Reruns on the same rows give the same model.
+The model is fitted on a bounded sample of rated documents (the smallest id hashes: at most ``TRAIN_ROWS`` documents with at most
+``TRAIN_FEATURES`` features in all); scoring covers all documents. Reruns on the same rows give the same model.
 
 Edge cases. A null or blank text has no words and grade features of its own; it is rejected unless the ratings say
-otherwise. Rows with a null id or grade are not trained on; they are scored like others. Without ratings nothing can be
+otherwise. Rows with a null id or grade are not trained on; they are scored like others. Of rows that repeat a rated id one text
+(the smallest hash) is trained on. Without ratings nothing can be
 told apart and every document is kept. An empty table gives an empty result. Repeated rows get the same score; other
 columns are ignored, whatever their names.
 """
@@ -21,12 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.llm.wordhash import mix, word_groups
+from rosterlens.session import written_table
 
 TRAIN_ROWS = 12_000
+TRAIN_FEATURES = 10_000_000
 BITS = 18
 PREFIXES = (4, 5)  # bytes
 BINS = 16
@@ -82,7 +85,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         for row, sizes, index in text_features(batch.column(1)):
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), index)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sizes)), lists], names=["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sizes)), lists, batch.column(2).slice(row, len(sizes))], names=["grade", "features", "id"])
 
 
 def fit_ordinal(
@@ -135,15 +138,22 @@ def fit_ordinal(
     return OrdinalModel(hashed, np.concatenate([first, first + np.cumsum(np.exp(gaps))]))
 
 
-def train_quality(docs: DataFrame, ratings: DataFrame, grade: Column, doc_id: str = "doc_id", text: str = "text", levels: int = 3, train_rows: int = TRAIN_ROWS) -> OrdinalModel | None:
-    """Fit on at most ``train_rows`` rated documents; None where there are no ratings."""
+def train_quality(docs: DataFrame, ratings: DataFrame, grade: Column, doc_id: str = "doc_id", text: str = "text", levels: int = 3,
+                  train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES) -> OrdinalModel | None:
+    """Fit on at most ``train_rows`` rated documents with at most ``train_features`` features; None where there are no ratings."""
     rated = ratings.select(F.col("doc_id").alias("_id"), grade.cast("int").alias("_grade")).where("_id IS NOT NULL AND _grade IS NOT NULL")
     rated = rated.groupBy("_id").agg(F.min("_grade").alias("_grade"))
     sample = rated.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     # The sample has at most train_rows narrow rows, so the texts need no shuffle.
     chosen = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
-    # At most train_rows rows come to the driver, each with the distinct hashed features of one text.
-    rows = chosen.select("_grade", "_text").mapInArrow(_feature_batches, "grade int, features array<int>").toArrow()
+    # One text per id, combined before the shuffle.
+    chosen = chosen.groupBy("_id", "_grade").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("row")).select("_id", "_grade", "row._text")
+    found = chosen.select("_grade", "_text", "_id").mapInArrow(_feature_batches, f"grade int, features array<int>, id {rated.schema['_id'].dataType.simpleString()}")
+    found = written_table(found, "features")
+    # At most train_rows narrow rows are ordered; the features of those within the bound come to the driver.
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id"))
+    within = found.select("id", F.size("features").alias("n")).withColumn("to", before).where(F.col("to") <= train_features).select("id")
+    rows = found.join(F.broadcast(within), "id").select("grade", "features").toArrow()
     if rows.num_rows == 0:
         return None
     grades = np.clip(rows["grade"].to_numpy(), 0, levels - 1).astype(np.int64)

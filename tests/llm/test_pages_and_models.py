@@ -156,7 +156,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == columns
         rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
         if name == "near_dedup":
-            assert ids[name] == sorted(d for d, (_, _, kept) in brute(rows).items() if kept)
+            assert ids[name] == sorted(d for d, (_, _, kept) in brute(rows, 5, 80).items() if kept)
         if name == "decontamination":
             gone = {r.doc_id for r in find_leaks(before, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}
             assert set(ids[name]) == {d for d, _ in rows} - gone
@@ -167,6 +167,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "mixing", "sharding"]
 
 
+def test_training_takes_one_text_of_an_id_and_a_bounded_number_of_features(spark):
+    good, bad = "clear words about calm rivers and quiet hills", "buy buy now now cheap $$$ !!! click"
+    rows = spark.range(30_000).selectExpr("1L AS doc_id", f"'{good}' AS text").unionByName(spark.createDataFrame([(i, good if i % 2 else bad) for i in range(2, 60)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    fitted = train_quality(rows, labels, document_grade())
+    again = train_quality(rows.distinct(), labels, document_grade())
+    assert np.array_equal(fitted.weights, again.weights) and np.array_equal(fitted.thresholds, again.thresholds)
+    kept = {r.doc_id for r in score_quality(rows.distinct(), fitted).where("keep").collect()}
+    assert kept == {i for i in range(1, 60) if i % 2}
+    assert train_quality(rows, labels, document_grade(), train_features=1) is None
+
+
 def test_stages_on_an_empty_table_with_more_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumns({"size": F.lit("a"), "shard": F.lit("b"), "kept": F.lit(1)})
     empty = spark.createDataFrame([], docs.schema)
