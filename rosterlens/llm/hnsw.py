@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, shard results merged.
 
 Equal vectors form one class, so a vector that occurs very often is one node and cannot cut the graph into islands; a
-class keeps its smallest ids, as many as an answer can need. Classes are dealt to shards of bounded size by a hash. The
+class keeps its smallest ids, as many as an answer can need. Classes are dealt to shards by a hash, of a fixed size at first, later of one that grows with the square root of the table. The
 graph of a shard is one row of flat arrays (ids, vectors, levels and the neighbour lists of all levels in a fixed
 width), written to the shared folder. Every block of queries meets every shard; the shards' best are merged per query.
 All vectors are indexed; distances are Euclidean in double precision on the original vectors.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from rosterlens.llm.wordhash import mix
 from rosterlens.session import written_table
 
-SHARD_SIZE = 4096
+SHARD_SIZE = 4096  # up to GROW_FROM vectors; beyond, shards grow with the square root of the table
+GROW_FROM = 1 << 18
 QUERY_BLOCK = 2048
 M = 12  # neighbours per node on the upper levels; twice as many on the lowest
 EF_BUILD = 80
@@ -195,9 +196,13 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, vec_id: str = "v
     ranked = rows.distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     members = written_table(ranked.withColumn("rep", F.min("vec_id").over(Window.partitionBy("vector"))), "members")
     nodes = members.where("n = 1").select("rep", "vector", F.size("vector").alias("dim"))
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_size)).alias("shards"))  # one row per dimension
+    grown = F.greatest(F.lit(1.0), F.sqrt(F.count("*") / F.lit(GROW_FROM))) * shard_size
+    shards = written_table(nodes.groupBy("dim").agg(F.ceil(F.count("*") / grown).alias("shards")), "shards")  # one row per dimension
+    total = shards.agg(F.sum("shards")).first()[0] or 1
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), "shards"))
-    index = written_table(dealt.select("dim", "shard", "rep", "vector").groupBy("dim", "shard").applyInPandas(_built, _INDEX), "hnsw")
+    # Building is work, not bytes: a fixed number of partitions keeps the graphs apart.
+    dealt = dealt.select("dim", "shard", "rep", "vector").repartition(4 * total, "dim", "shard")
+    index = written_table(dealt.groupBy("dim", "shard").applyInPandas(_built, _INDEX), "hnsw")
 
     asked = rows.where(is_query).select("vec_id", "vector", F.size("vector").alias("dim")).distinct()
     blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).alias("blocks"))
@@ -205,7 +210,8 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, vec_id: str = "v
     packed = asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("q"))
     packed = packed.select("dim", "block", F.col("q.vec_id").alias("query_ids"), F.flatten("q.vector").alias("query_vectors"))
     meetings = index.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = meetings.join(packed, ["dim", "block"]).repartition("dim", "shard", "block").drop("dim", "shard", "block", "blocks")
+    meets = total * (blocks.agg(F.max("blocks")).first()[0] or 1)
+    met = meetings.join(packed, ["dim", "block"]).repartition(4 * meets, "dim", "shard", "block").drop("dim", "shard", "block", "blocks")
     found = met.mapInArrow(_searched(k + 1), "query_id long, rep long, score double")
     # At most (k + 1) rows per shard and query, then (k + 1) classes of at most (k + 1) members.
     best = Window.partitionBy("query_id").orderBy("score", "rep")
