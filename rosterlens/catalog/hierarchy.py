@@ -70,13 +70,43 @@ walk AS (SELECT id, CAST(0 AS BIGINT) AS depth FROM nodes WHERE parent IS NULL O
  UNION ALL SELECT n.id, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE n.parent <> n.id AND w.depth < 15)"""
 
 
-@query("h02_reachability_with_cycles", with_(BROKEN, then="""
-SELECT max(depth) AS max_org_depth, count(*) AS employees_reached, (SELECT count(*) FROM nodes) - count(*) AS employees_unreached FROM walk"""))
-def reachability_with_cycles(t):
+def broken_nodes(t):
     key = F.col("c_custkey")
     parent = (
         F.when(key == 0, F.lit(None)).when(key % 50 == 7, key + 1).when(key % 50 == 8, key - 1).when(key % 50 == 9, F.lit(-1))
         .otherwise(F.floor(key / F.lit(3.0)))
     )
-    nodes = t.customer.select(key.alias("id"), parent.cast("bigint").alias("parent"))
-    return hierarchy.org_reachability(nodes, "id", "parent")
+    return t.customer.select(key.alias("id"), parent.cast("bigint").alias("parent"))
+
+
+@query("h02_reachability_with_cycles", with_(BROKEN, then="""
+SELECT max(depth) AS max_org_depth, count(*) AS employees_reached, (SELECT count(*) FROM nodes) - count(*) AS employees_unreached FROM walk"""))
+def reachability_with_cycles(t):
+    return hierarchy.org_reachability(broken_nodes(t), "id", "parent")
+
+
+# All (node, ancestor) pairs; UNION ends the walk on cycles.
+ABOVE = """above AS (SELECT id, parent AS anc FROM nodes WHERE parent IS NOT NULL AND parent <> id
+ UNION SELECT a.id, n.parent FROM above a JOIN nodes n ON a.anc = n.id WHERE n.parent IS NOT NULL AND n.parent <> n.id),
+cycle_of AS (SELECT a.id, min(b.anc) AS low FROM above a JOIN above b ON a.id = b.id AND a.anc = a.id GROUP BY 1),
+missing AS (SELECT a.id, a.anc FROM above a LEFT JOIN nodes n ON a.anc = n.id WHERE n.id IS NULL),
+tops AS (SELECT a.id, min(n.id) AS root FROM above a JOIN nodes n ON a.anc = n.id WHERE n.parent IS NULL OR n.parent = n.id GROUP BY 1)"""
+
+
+@query("h02_line_ends", with_(BROKEN, ABOVE, then="""
+SELECT n.id, CASE WHEN n.parent IS NULL OR n.parent = n.id THEN 'root' WHEN c.id IS NOT NULL THEN 'on a cycle' WHEN m.anc = n.parent THEN 'orphan'
+ WHEN m.id IS NOT NULL THEN 'below an orphan' WHEN r.id IS NOT NULL THEN 'reached' ELSE 'below a cycle' END AS kind,
+ CASE WHEN n.parent IS NULL OR n.parent = n.id THEN n.id ELSE coalesce(c.low, m.anc, r.root,
+  (SELECT min(o.low) FROM above a JOIN cycle_of o ON a.anc = o.id WHERE a.id = n.id)) END AS top
+FROM nodes n LEFT JOIN cycle_of c USING (id) LEFT JOIN missing m USING (id) LEFT JOIN tops r USING (id)"""))
+def line_ends(t):
+    """Every node with the kind of its line's end; the cycle's smallest id names the cycle."""
+    return hierarchy.line_ends(broken_nodes(t), "id", "parent")
+
+
+@query("h03_rollup_of_broken_lines", with_(BROKEN, """closure AS (SELECT n.id, n.parent AS anc, 0 AS distance FROM nodes n JOIN walk USING (id) WHERE n.parent IS NOT NULL AND n.parent <> n.id
+ UNION ALL SELECT c.id, n.parent, c.distance + 1 FROM closure c JOIN nodes n ON c.anc = n.id WHERE n.parent IS NOT NULL AND n.parent <> n.id)""", then="""
+SELECT anc AS id, count(*) FILTER (WHERE distance = 0) AS direct_report_count, count(*) AS total_org_size,
+ round(CAST(count(*) FILTER (WHERE distance = 0) AS DOUBLE) / count(*), 4) AS span_of_control_ratio FROM closure GROUP BY 1"""))
+def rollup_of_broken_lines(t):
+    return hierarchy.rollup_counts(broken_nodes(t), "id", "parent")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions.numeric import round_half_up
@@ -73,16 +73,92 @@ def ancestor_closure(df: DataFrame, node: str = "employee_id", parent: str = "ma
     return steps.select(node, "ancestor", (F.col("distance") + 1).cast("bigint").alias("distance"))
 
 
-def rollup_counts(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", max_depth: int | None = None) -> DataFrame:
-    """Direct reports, total organisation size and their ratio per manager.
+def _pointers(df: DataFrame, node: str, parent: str) -> DataFrame:
+    """id and up; up is null at the top (no parent, or its own)."""
+    up = F.when(F.col(parent) == F.col(node), F.lit(None)).otherwise(F.col(parent))
+    return df.select(F.col(node).alias("id"), up.alias("up"))
 
-    Every node adds one to each of its ancestors; the counts are combined before the shuffle.
+
+def _with_ends(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """kind and top of the nodes whose line ends with themselves: at a root, or at a parent that does not exist."""
+    known = ids.select(F.col("id").alias("up"), F.lit(True).alias("__known"))
+    orphan = F.col("up").isNotNull() & F.col("__known").isNull()
+    marked = nodes.join(known, "up", "left").withColumns({
+        "kind": F.when(F.col("up").isNull(), ROOT).when(orphan, ORPHAN), "top": F.when(F.col("up").isNull(), F.col("id")).when(orphan, F.col("up")),
+    })
+    return marked.withColumn("up", F.when(orphan, F.lit(None)).otherwise(F.col("up"))).drop("__known")
+
+
+def _below(kind) -> Column:
+    """Kind of a node whose pointer has arrived at a node of the given kind."""
+    return F.when(kind.isin(ROOT, REACHED), REACHED).when(kind.isin(ORPHAN, BELOW_ORPHAN), BELOW_ORPHAN)
+
+
+# How a node's line of managers ends.
+ROOT, REACHED, ORPHAN, BELOW_ORPHAN, ON_CYCLE, BELOW_CYCLE = "root", "reached", "orphan", "below an orphan", "on a cycle", "below a cycle"
+
+
+def line_ends(df: DataFrame, node: str = "employee_id", parent: str = "manager_id") -> DataFrame:
+    """How the line of managers of every node ends: node, kind and top.
+
+    kind is root, reached (below a root), orphan (its manager does not exist), below an orphan, on a cycle or below a cycle;
+    top is the root, the missing manager or the smallest id of the cycle. No depth limit.
+
+    Each round doubles the distance of the pointers of the open nodes. The nodes that are pointed to become fewer until only
+    cycles are left: when a round keeps their number, doubled steps permute them, so each is on a cycle and every open
+    node leads to one. On the cycles, minima over doubled stretches give the smallest id.
+    """
+    ids = _pointers(df, node, parent)
+    state = cut_lineage(_with_ends(ids, ids))
+    done, open_nodes, pointed = [state.where("kind IS NOT NULL")], state.where("kind IS NULL"), -1
+    while (now := open_nodes.agg(F.count_distinct("up")).first()[0]) not in (0, pointed):
+        pointed = now
+        ahead = union_all([*done, open_nodes]).select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("kind").alias("__kind"), F.col("top").alias("__top"))
+        moved = open_nodes.select("id", "up").join(ahead, "up").select("id", F.col("__up").alias("up"), _below(F.col("__kind")).alias("kind"), F.col("__top").alias("top"))
+        moved = cut_lineage(moved)
+        done.append(moved.where("kind IS NOT NULL"))
+        open_nodes = moved.where("kind IS NULL")
+    out = union_all(done).select(F.col("id").alias(node), "kind", "top")
+    if not now:
+        return out
+    on = open_nodes.select("up").distinct().withColumnRenamed("up", "id")
+    cycles = cut_lineage(ids.join(on, "id").select("id", F.col("up").alias("next"), F.col("id").alias("low")))
+    while True:
+        ahead = cycles.select(F.col("id").alias("next"), F.col("next").alias("__next"), F.col("low").alias("__low"))
+        cycles = cut_lineage(cycles.join(ahead, "next").select("id", F.col("__next").alias("next"), F.least("low", "__low").alias("low"), (F.col("low") != F.col("__low")).alias("open")))
+        if cycles.where("open").isEmpty():  # the stretches go once around
+            break
+    named = open_nodes.join(cycles.select(F.col("id").alias("up"), F.col("low").alias("__low")), "up").join(on.withColumn("__on", F.lit(True)), "id", "left")
+    kind = F.when(F.col("__on"), ON_CYCLE).otherwise(BELOW_CYCLE)
+    return out.unionByName(named.select(F.col("id").alias(node), kind.alias("kind"), F.col("__low").alias("top")))
+
+
+def rollup_counts(df: DataFrame, node: str = "employee_id", parent: str = "manager_id") -> DataFrame:
+    """Direct reports, total organisation size and their ratio per manager whose line reaches a root; no depth limit.
+
+    The tree is contracted, never multiplied out: nodes without reports fold into their managers as a count, and the lines of
+    managers are halved by pointers of doubled distance that carry sums. After k rounds a manager's total covers the managers
+    less than 2 ** k levels below; the next adds the totals of those whose pointer has come to it. So the cost is the nodes once
+    and the managers log2(depth) times. Nodes on or below a cycle or a missing manager are left out.
     """
-    direct = F.count(F.when(F.col("distance") == 1, 1))
-    return ancestor_closure(df, node, parent, max_depth).groupBy(F.col("ancestor").alias(node)).agg(
-        direct.alias("direct_report_count"),
-        F.count(F.lit(1)).alias("total_org_size"),
-        round_half_up(direct / F.count(F.lit(1)), 4).alias("span_of_control_ratio"),
+    ids = _pointers(df, node, parent)
+    direct = ids.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("direct"))
+    managers = ids.join(direct, "id").withColumn("total", F.col("direct").cast("decimal(38,0)"))
+    managers = cut_lineage(managers)
+    state, pointed = cut_lineage(_with_ends(managers, managers).drop("top")), -1
+    while (now := state.agg(F.count_distinct("up")).first()[0]) not in (0, pointed):
+        pointed = now
+        gain = state.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("total").cast("decimal(38,0)").alias("__gain"))
+        ahead = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("kind").alias("__kind"))
+        moved = state.join(gain, "id", "left").join(ahead, "up", "left")
+        state = cut_lineage(moved.select(
+            "id", F.col("__up").alias("up"), "direct", (F.col("total") + F.coalesce("__gain", F.lit(0))).cast("decimal(38,0)").alias("total"),
+            F.coalesce("kind", _below(F.col("__kind"))).alias("kind"),
+        ))
+    total = F.col("total").cast("bigint")
+    return state.where(F.col("kind").isin(ROOT, REACHED)).select(
+        F.col("id").alias(node), F.col("direct").alias("direct_report_count"), total.alias("total_org_size"),
+        round_half_up(F.col("direct") / total, 4).alias("span_of_control_ratio"),
     )
 
 

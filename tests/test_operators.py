@@ -129,3 +129,60 @@ def test_counts_reach_any_depth_and_leave_cycles_out(spark):
     rows = [(0, None), *((i, i - 1) for i in range(1, 31)), (50, 51), (51, 50), (52, 51), (60, 99)]
     roll = {r.id: (r.direct_report_count, r.total_org_size) for r in hierarchy.rollup_counts(tree(spark, *rows), "id", "boss").collect()}
     assert roll[0] == (1, 30) and roll[29] == (1, 1) and set(roll) == set(range(30))
+
+
+def plain_ends(parents):
+    """kind and top by walking every line."""
+    out = {}
+    for start in parents:
+        seen, at = [], start
+        while True:
+            up = parents[at]
+            if up is None or up == at:
+                out[start] = ("root" if at == start else "reached", at)
+                break
+            if up not in parents:
+                out[start] = ("orphan" if at == start else "below an orphan", up)
+                break
+            seen.append(at)
+            if up in seen:
+                cycle = seen[seen.index(up):]
+                out[start] = ("on a cycle" if start in cycle else "below a cycle", min(cycle))
+                break
+            at = up
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_ends_and_counts_of_random_lines(spark, seed):
+    import random
+
+    draw = random.Random(seed)
+    parents = {i: draw.choice([None, i, *[draw.randrange(400)] * 30, 1000]) for i in draw.sample(range(400), 300)}
+    parents |= {2000 + i: 2000 + (i + 1) % 37 for i in range(37)} | {3000 + i: 3001 + i for i in range(70)} | {3070: 2005}
+    df = spark.createDataFrame(list(parents.items()), "id int, boss int")
+    want = plain_ends(parents)
+    assert {r.id: (r.kind, r.top) for r in hierarchy.line_ends(df, "id", "boss").collect()} == want
+    total, direct = {}, {}
+    for i, (kind, _) in want.items():
+        if kind == "reached":
+            direct[parents[i]] = direct.get(parents[i], 0) + 1
+            at = i
+            while want[at][0] != "root":
+                at = parents[at]
+                total[at] = total.get(at, 0) + 1
+    assert {r.id: (r.direct_report_count, r.total_org_size) for r in hierarchy.rollup_counts(df, "id", "boss").collect()} == {i: (direct[i], n) for i, n in total.items()}
+
+
+def test_counts_of_a_chain_of_a_hundred_thousand(spark):
+    df = spark.range(100_000).selectExpr("id", "IF(id = 0, NULL, id - 1) AS boss")
+    roll = hierarchy.rollup_counts(df, "id", "boss")
+    assert roll.where("total_org_size = 99999 - id AND direct_report_count = 1").count() == roll.count() == 99_999
+    hot = spark.range(50_000).selectExpr("id", "IF(id = 0, NULL, IF(id < 40000, 0, 1)) AS boss")
+    assert {tuple(r)[:3] for r in hierarchy.rollup_counts(hot, "id", "boss").collect()} == {(0, 39_999, 49_999), (1, 10_000, 10_000)}
+
+
+def test_lines_of_an_empty_table_and_of_one_node(spark):
+    none = spark.createDataFrame([], "id int, boss int")
+    assert hierarchy.line_ends(none, "id", "boss").count() == hierarchy.rollup_counts(none, "id", "boss").count() == 0
+    assert [tuple(r) for r in hierarchy.line_ends(spark.createDataFrame([(1, None)], "id int, boss int"), "id", "boss").collect()] == [(1, "root", 1)]
