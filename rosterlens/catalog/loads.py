@@ -426,6 +426,22 @@ def controlled_pay_gap(t):
     return summaries.controlled_pay_gap(t.employee, ["department"], ["job_level"])
 
 
+# The same elimination on DuckDB's sums: intercept by covariances, then age, then tenure.
+@query("l14_adjusted_pay_gap", emp("""
+SELECT department, nm AS male_count, nf AS female_count, n - 4 AS degrees_of_freedom, round(-b, 2) AS adjusted_gap_amt, round(se, 2) AS std_error, abs(b / se) > t AS gap_is_significant_flag
+FROM (SELECT *, fy / ff AS b, sqrt((yy - fy * fy / ff) / (n - 4) / ff) AS se,
+ 1.959963984540054 + (1.959963984540054::DOUBLE ** 3 + 1.959963984540054) / 4 / (n - 4) + (5 * 1.959963984540054::DOUBLE ** 5 + 16 * 1.959963984540054::DOUBLE ** 3 + 3 * 1.959963984540054) / 96 / ((n - 4) * (n - 4)) AS t FROM second)""", """
+rows AS (SELECT department, CAST(gender = 'Female' AS INT)::DOUBLE AS f, CAST(age AS DOUBLE) AS a, CAST(years_at_company AS DOUBLE) AS t, CAST(salary AS DOUBLE) AS y FROM employee WHERE gender IN ('Male', 'Female')),
+centred AS (SELECT department, count(*) AS n, count(*) FILTER (WHERE f = 0) AS nm, count(*) FILTER (WHERE f = 1) AS nf, count(*) * covar_pop(a, a) AS aa, count(*) * covar_pop(a, t) AS ta,
+ count(*) * covar_pop(a, f) AS af, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(t, t) AS tt, count(*) * covar_pop(t, f) AS tf, count(*) * covar_pop(t, y) AS ty,
+ count(*) * covar_pop(f, f) AS ff, count(*) * covar_pop(f, y) AS fy, count(*) * covar_pop(y, y) AS yy FROM rows GROUP BY 1),
+first AS (SELECT department, n, nm, nf, tt - ta * ta / aa AS tt, tf - ta * af / aa AS tf, ty - ta * ay / aa AS ty, ff - af * af / aa AS ff, fy - af * ay / aa AS fy, yy - ay * ay / aa AS yy FROM centred),
+second AS (SELECT department, n, nm, nf, ff - tf * tf / tt AS ff, fy - tf * ty / tt AS fy, yy - ty * ty / tt AS yy FROM first)"""))
+def adjusted_pay_gap(t):
+    """Gap per department with age and tenure held fixed."""
+    return summaries.adjusted_pay_gap(t.employee, ["department"], {"age": F.col("age"), "tenure": F.col("years_at_company")})
+
+
 TRAINING = """training AS (SELECT CAST(strftime(last_day(CAST(l_shipdate AS DATE)), '%Y%m%d') AS INT) AS date_key, p_type AS skill_domain, department, job_level, l_linestatus = 'F' AS done,
  l_linenumber <= 3 AS must, l_returnflag = 'R' AS late, CAST(50 + l_discount * 500 AS DECIMAL(10,4)) AS score, CAST(l_quantity AS DECIMAL(18,2)) AS hours,
  CAST(l_extendedprice AS DECIMAL(18,2)) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey JOIN employee ON l_orderkey = employee_id)"""
@@ -460,6 +476,21 @@ def funnel_metrics(t):
     return summaries.funnel_metrics(stages, "user_id", "event_type", "ts", ["ts", "event_id"], "signup")
 
 
+STAGES = ("signup", "view", "click", "purchase")
+REACHED = [f"""r1 AS (SELECT user_id, min(ts) AS at, CAST(NULL AS BIGINT) AS waited FROM events WHERE event_type = '{STAGES[0]}' GROUP BY 1)"""] + [
+    f"""r{k} AS (SELECT e.user_id, min(e.ts) AS at, epoch_us(min(e.ts)) - epoch_us(min(p.at)) AS waited FROM events e JOIN r{k - 1} p ON e.user_id = p.user_id AND e.ts > p.at
+ WHERE event_type = '{name}' GROUP BY 1)""" for k, name in enumerate(STAGES[1:], 2)]
+STEPS = " UNION ALL ".join(f"SELECT {k} AS position, '{name}' AS stage, count(*) AS candidates, sum(waited) AS micros FROM r{k}" for k, name in enumerate(STAGES, 1))
+
+
+@query("l16_ordered_funnel", with_(*REACHED, f"steps AS ({STEPS})", then="""
+SELECT position, stage, candidates, round(100e0 * candidates / first_value(candidates) OVER w, 2) AS conversion_pct,
+ round(100e0 * candidates / coalesce(lag(candidates) OVER w, candidates), 2) AS step_conversion_pct, round(CAST(micros AS DOUBLE) / candidates / 3.6e9, 2) AS avg_hours_from_previous
+FROM steps WINDOW w AS (ORDER BY position)"""))
+def ordered_funnel(t):
+    return summaries.ordered_funnel(t.events, "user_id", "event_type", "ts", STAGES)
+
+
 @query("l17_attendance_metrics", f"""
 SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS records, round(CAST(sum(h) AS DOUBLE), 2) AS hours_worked,
  round(CAST(sum(greatest(h - 8, 0)) AS DOUBLE), 2) AS hours_overtime, {cnt("event_type = 'error'")} AS unplanned_absences,
@@ -533,6 +564,30 @@ def manager_dimension(t):
     return summaries.manager_dimension(staff(t), AS_OF)
 
 
+MONTHS = """cells AS (SELECT e.manager_id, year(month_end) * 12 + month(month_end) AS m, count(*) FILTER (WHERE NOT is_exit) AS team, count(*) FILTER (WHERE is_exit AND voluntary_exit_flag) AS exits,
+ sum(CAST(f.engagement_score AS DECIMAL(14,4))) AS score, count(f.engagement_score) AS scored FROM fact f JOIN employee e USING (employee_id) WHERE e.manager_id IS NOT NULL GROUP BY 1, 2),
+spine AS (SELECT manager_id, min(m) AS first, unnest(range(min(m), max(m) + 1)) AS m FROM cells GROUP BY 1),
+filled AS (SELECT manager_id, first, m, coalesce(team, 0) AS team, coalesce(exits, 0) AS exits, score, scored FROM spine LEFT JOIN cells USING (manager_id, m)),
+monthly AS (SELECT manager_id, last_day(make_date(CAST((m - 1) // 12 AS INT), CAST((m - 1) % 12 + 1 AS INT), 1)) AS month_end, team AS team_size, CAST(sum(exits) OVER w AS BIGINT) AS exits_rolling,
+ round(CAST(sum(exits) OVER w AS DOUBLE) / nullif(CAST(sum(team) OVER w AS DOUBLE) / count(*) OVER w, 0), 4) AS exit_rate_rolling, round(CAST(score AS DOUBLE) / nullif(scored, 0), 2) AS team_engagement_avg,
+ CAST(m - first AS BIGINT) AS tenure_as_manager_months FROM filled WINDOW w AS (PARTITION BY manager_id ORDER BY m ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
+
+
+@query("l21_manager_months", emp("""
+SELECT manager_id, strftime(month_end, '%Y-%m-%d') AS month_end, team_size, exits_rolling, exit_rate_rolling, team_engagement_avg, tenure_as_manager_months FROM monthly""", *FACT, MONTHS))
+def manager_months(t):
+    return text_dates(summaries.manager_months(snapshot_fact(t)), "month_end")
+
+
+@query("l21_manager_versions", emp("""
+SELECT manager_id, team_size, exit_rate_rolling, strftime(month_end, '%Y-%m-%d') AS effective_start_date,
+ strftime(lead(month_end) OVER (PARTITION BY manager_id ORDER BY month_end), '%Y-%m-%d') AS effective_end_date, lead(month_end) OVER (PARTITION BY manager_id ORDER BY month_end) IS NULL AS is_current_flag
+FROM (SELECT *, lag(struct_pack(a := team_size, b := exit_rate_rolling)) OVER (PARTITION BY manager_id ORDER BY month_end) AS prev FROM monthly)
+WHERE prev IS NULL OR prev.a IS DISTINCT FROM team_size OR prev.b IS DISTINCT FROM exit_rate_rolling""", *FACT, MONTHS))
+def manager_versions(t):
+    return text_dates(summaries.manager_versions(summaries.manager_months(snapshot_fact(t))), "effective_start_date", "effective_end_date")
+
+
 @query("l22_performance_metrics", emp("""
 SELECT employee_id, cycle, department, performance_rating, coalesce(round(CAST(performance_rating - lo AS DOUBLE) / nullif(hi - lo, 0), 4), 0) AS rating_normalized,
  round(CAST(performance_rating AS DOUBLE) - m, 4) AS calibration_delta, performance_rating = 1 AS pip_flag

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,3 +40,29 @@ def previous_row(df, keys, order, columns, bucket, name="previous") -> DataFrame
 
 def next_row(df, keys, order, columns, bucket, name="next") -> DataFrame:
     return neighbour_row(df, keys, order, columns, bucket, name, "next")
+
+
+def carried_forward(facts: DataFrame, versions: DataFrame, keys: Sequence[str], day: str, start: str, columns: Sequence[str],
+                    bucket: Callable[[Column], Column], name: str = "carried") -> DataFrame:
+    """Every fact with a struct of the newest version that starts on or before its day (null if there is none).
+
+    Facts and versions stand in one column of time per key, and the last version is carried forward: inside (key, bucket) by
+    a window, between buckets by the newest version of each, so that facts are not multiplied by versions and a hot key is
+    spread over its buckets. `bucket` must grow with time (a month of the day, say); between buckets one row per (key, bucket) is
+    ordered. Of versions that start together the largest by `columns` counts. Null keys and null days have no version.
+    """
+    version = F.struct(F.col(start), *[F.col(c) for c in columns if c != start])
+    known = versions.where(F.col(start).isNotNull()).select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__fact"), version.alias("__version"))
+    kind = known.schema["__version"].dataType
+    rows = facts.select(*keys, F.col(day).alias("__at"), F.lit(1).alias("__fact"), F.lit(None).cast(kind).alias("__version"), F.struct(*facts.columns).alias("__row"))
+    both = rows.unionByName(known, allowMissingColumns=True).withColumn("__bucket", bucket(F.col("__at")))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__at", "__fact", "__version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = both.withColumn("__local", F.last("__version", ignorenulls=True).over(inside)).where("__fact = 1")
+    borders = both.groupBy(*keys, "__bucket").agg(F.max("__version").alias("__border"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    borders = borders.select(*keys, "__bucket", F.last("__border", ignorenulls=True).over(before).alias("__before"))
+    whole = F.col("__at").isNotNull()
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    found = same_keys(local, borders, [*keys, "__bucket"])
+    return found.select("__row.*", F.when(whole, F.coalesce("__local", "__before")).alias(name))

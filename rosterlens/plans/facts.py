@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions import bands, scores
@@ -13,6 +13,7 @@ from rosterlens.functions.numeric import round_half_up
 from rosterlens.operators.filters import snapshot_eligibility
 from rosterlens.operators.joins import gold_star_join, latest_then_left_join, left_using_joins, month_spine_rows, star_join
 from rosterlens.operators.ranking import latest_per_key
+from rosterlens.operators.sequence import carried_forward
 
 
 def employee_snapshot_fact(employees: DataFrame, first: str, last: str, dims: Mapping[str, DataFrame] | None = None,
@@ -71,15 +72,17 @@ def attrition_events_view(fact: DataFrame, dims: Mapping[str, DataFrame]) -> Dat
     return gold_star_join(exits, dims).withColumnRenamed("tenure_months", "tenure_at_exit")
 
 
-def as_of_version_join(fact: DataFrame, versions: DataFrame, key: str, day: str, columns: Sequence[str]) -> DataFrame:
+def as_of_version_join(fact: DataFrame, versions: DataFrame, key: str, day: str, columns: Sequence[str],
+                       bucket: Callable[[Column], Column] = lambda day: F.trunc(day, "MM")) -> DataFrame:
     """Attach the dimension version valid on the fact's day (open end = still valid);
-    facts without one keep nulls."""
-    valid = versions.select(
-        key, F.col("effective_start_date").alias("__from"), F.col("effective_end_date").alias("__to"), *columns
-    )
-    on_day = (F.col(day) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(day) < F.col("__to")))
-    renamed = valid.withColumnRenamed(key, "__key")
-    return fact.join(renamed, (F.col(key) == F.col("__key")) & on_day, "left").drop("__key", "__from", "__to")
+    facts without one keep nulls. Versions are carried forward in time, so facts are joined with no version range.
+
+    Where versions overlap, the one that starts last counts.
+    """
+    start, end = "effective_start_date", "effective_end_date"
+    found = carried_forward(fact, versions, [key], day, start, [end, *columns], bucket, "__v")
+    valid = F.col(f"__v.{end}").isNull() | (F.col(day) < F.col(f"__v.{end}"))
+    return found.select(*fact.columns, *[F.when(valid, F.col(f"__v.{c}")).alias(c) for c in columns])
 
 
 def latest_risk_view(employee: DataFrame, history: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.functions import scores
@@ -13,6 +13,8 @@ from rosterlens.operators.grouping import _FREQ, grouped_sums, one
 from rosterlens.operators.hierarchy import rollup_counts
 from rosterlens.operators.ranking import same_keys
 from rosterlens.operators.sequence import next_row, previous_row
+from rosterlens.plans.changes import scd2_from_history
+from rosterlens.session import written_table
 
 OVERALL = "Overall"
 
@@ -123,7 +125,7 @@ def comp_equity(employee: DataFrame, by: Sequence[str], gender: str = "gender",
     male = cells.where(F.col("gender_group") == baseline).select(
         *by, "ethnicity_group", F.col("__mean").alias("__m"), F.col("__se2").alias("__mse2"), F.col("employee_count").alias("__mn")
     )
-    joined = cells.join(male, [*by, "ethnicity_group"], "left")
+    joined = same_keys(cells, male, [*by, "ethnicity_group"], "left")
     gap = F.col("__m") - F.col("__mean")
     spread = F.col("__se2") + F.col("__mse2")
     t_value = F.abs(F.try_divide(gap, F.sqrt(spread)))
@@ -162,6 +164,52 @@ def controlled_pay_gap(employee: DataFrame, by: Sequence[str], strata: Sequence[
     )
 
 
+def adjusted_pay_gap(employee: DataFrame, by: Sequence[str], covariates: Mapping[str, Column], gender: str = "gender", salary: str = "salary",
+                     baseline: str = "Male", other: str = "Female") -> DataFrame:
+    """Pay gap of `other` against `baseline` with any number of numeric covariates held fixed, per group.
+
+    Least squares with intercept from normal equations: all sums of products come from one aggregate, then intercept and covariates
+    are swept out one by one in expressions over the group's row, which leaves the gender coefficient, its standard error and the residual
+    degrees of freedom. A covariate that the others explain is left out. Rows with a null in any column of the fit take no part. Values are taken
+    around their overall means, so that the sums do not cancel.
+    """
+    rows = employee.where(F.col(gender).isin(baseline, other)).select(
+        *by, F.lit(1.0).alias("__v0"), (F.col(gender) == other).cast("double").alias("__v1"),
+        *[c.cast("double").alias(f"__v{i + 2}") for i, c in enumerate(covariates.values())], F.col(salary).cast("double").alias("__vy"),
+    ).dropna(subset=[f"__v{i + 2}" for i in range(len(covariates))] + ["__vy"])
+    names = ["0", *[str(i + 2) for i in range(len(covariates))], "1", "y"]  # swept out in this order up to the last two
+    centred = [n for n in names if n not in ("0", "1")]
+    middle = rows.agg(*[F.coalesce(F.avg(f"__v{n}"), F.lit(0.0)).alias(n) for n in centred]).first()
+    value = {n: F.col(f"__v{n}") - F.lit(middle[n]) if n in centred else F.col(f"__v{n}") for n in names}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    cell = lambda a, b: f"__{a}_{b}" if (a, b) in pairs else f"__{b}_{a}"
+    sums = rows.groupBy(*by).agg(
+        count_if(F.col("__v1") == 0).alias("male_count"), count_if(F.col("__v1") == 1).alias("female_count"),
+        *[F.sum(value[a] * value[b]).alias(cell(a, b)) for a, b in pairs],
+    ).withColumn("__rank", F.lit(1))
+    for n in names[:-1]:
+        sums = sums.withColumn(f"__whole_{n}", F.col(cell(n, n)))
+    for k, pivot in enumerate(names[:-2]):
+        left = names[k + 1 :]
+        usable = F.col(cell(pivot, pivot)) > F.col(f"__whole_{pivot}") * 1e-9
+        factor = {a: F.when(usable, F.col(cell(pivot, a)) / F.col(cell(pivot, pivot))).otherwise(F.lit(0.0)) for a in left}
+        sums = sums.withColumns(
+            {cell(a, b): F.col(cell(a, b)) - factor[a] * F.col(cell(pivot, b)) for i, a in enumerate(left) for b in left[i:]}
+            | {"__rank": F.col("__rank") + usable.cast("int")}
+        )
+    told = F.col(cell("1", "1")) > F.col("__whole_1") * 1e-9
+    slope = F.when(told, F.try_divide(F.col(cell("1", "y")), F.col(cell("1", "1"))))
+    freedom = F.col("male_count") + F.col("female_count") - F.col("__rank")
+    rest = F.greatest(F.col(cell("y", "y")) - slope * F.col(cell("1", "y")), F.lit(0.0))
+    error = F.when(told & (freedom > 0), F.sqrt(F.try_divide(F.try_divide(rest, freedom.cast("double")), F.col(cell("1", "1")))))
+    out = sums.select(*by, "male_count", "female_count", freedom.cast("bigint").alias("degrees_of_freedom"), slope.alias("__slope"), error.alias("__error"))
+    return out.select(
+        *by, "male_count", "female_count", "degrees_of_freedom", round_half_up(-F.col("__slope")).alias("adjusted_gap_amt"),
+        round_half_up("__error").alias("std_error"),
+        F.coalesce(F.abs(F.try_divide(F.col("__slope"), F.col("__error"))) > t_critical(F.col("degrees_of_freedom").cast("double")), F.lit(False)).alias("gap_is_significant_flag"),
+    )
+
+
 def training_compliance(training: DataFrame, by: Sequence[str]) -> DataFrame:
     """Enrolments, completions, mandatory compliance, overdue, scores, hours and cost.
 
@@ -199,6 +247,39 @@ def funnel_metrics(stages: DataFrame, candidate: str, stage: str, entered: str,
     return g.withColumn("conversion_pct", pct(F.col("candidates"), base))
 
 
+def ordered_funnel(events: DataFrame, candidate: str, stage: str, entered: str, stages: Sequence[str]) -> DataFrame:
+    """Candidates who went through the stages in order: a stage counts only after the stage before.
+
+    A chain of conditional minima: a candidate reaches a stage with the first entry later than the one that reached the stage before.
+    Each link is an aggregate that is combined before its shuffle, so a candidate with very many entries stays small.
+    Null candidates, stages or times reach nothing.
+    """
+    known = events.where(F.col(candidate).isNotNull() & F.col(entered).isNotNull()).select(F.col(candidate).alias("__who"), F.col(stage).alias("__stage"), F.col(entered).alias("__at"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    parts, reached = [], None
+    for place, name in enumerate(stages, 1):
+        here = known.where(F.col("__stage") == name)
+        if reached is None:
+            reached = here.groupBy("__who").agg(F.min("__at").alias("__reached"), F.lit(None).cast("bigint").alias("__waited"))
+        else:
+            before = reached.select("__who", F.col("__reached").alias("__before"))
+            later = here.join(before, "__who").where("__at > __before").groupBy("__who", "__before").agg(F.min("__at").alias("__reached"))
+            reached = later.select("__who", "__reached", (micros("__reached") - micros("__before")).alias("__waited"))
+        reached = written_table(reached, "funnel")  # one row per candidate; the next stage and the report read it
+        parts.append(reached.agg(n_rows().alias("candidates"), F.sum("__waited").alias("__micros")).select(F.lit(place).alias("position"), F.lit(name).alias("stage"), "candidates", "__micros"))
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    rows = report.collect()  # one row per stage
+    counts = {0: rows[0]["candidates"], **{r["position"]: r["candidates"] for r in rows}}
+    first, previous = F.lit(counts[1]), F.element_at(F.array(*[F.lit(counts[max(k - 1, 1)]) for k in range(1, len(stages) + 1)]), F.col("position"))
+    hours = round_half_up(safe_divide(F.col("__micros"), F.col("candidates")) / F.lit(3.6e9))
+    return report.select(
+        "position", "stage", "candidates", pct(F.col("candidates"), first).alias("conversion_pct"),
+        pct(F.col("candidates"), previous).alias("step_conversion_pct"), hours.alias("avg_hours_from_previous"),
+    )
+
+
 def attendance_metrics(attendance: DataFrame, by: Sequence[str], standard_hours: float = 8.0) -> DataFrame:
     """Hours, overtime, unplanned absence and lateness per group.
 
@@ -269,16 +350,48 @@ def manager_dimension(employee: DataFrame, as_of: str, months: int = 12) -> Data
     )
 
 
+def manager_months(fact: DataFrame, months: int = 12) -> DataFrame:
+    """Manager x month end: team, rolling voluntary exits and exit rate, team engagement, months as a manager.
+
+    fact: the monthly snapshot with manager_id. Rows are summed per manager and month first (combined before the shuffle), a manager's gaps are
+    filled between the first and the last month, and the sliding sums run over one row per manager and month. The rate relates the exits of the
+    last `months` months to the mean team of these months.
+    """
+    number = F.year("month_end") * 12 + F.month("month_end")
+    left = F.col("is_exit")
+    cells = fact.where(F.col("manager_id").isNotNull()).groupBy("manager_id", number.alias("month")).agg(
+        count_if(~left).alias("team"), count_if(left & F.col("voluntary_exit_flag")).alias("exits"),
+        F.sum(F.col("engagement_score").cast("decimal(14,4)")).alias("score"), F.count("engagement_score").alias("scored"),
+    )
+    span = cells.groupBy("manager_id").agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    spine = span.select("manager_id", "first", F.explode(F.sequence("first", "last")).alias("month"))
+    filled = spine.join(cells, ["manager_id", "month"], "left").na.fill(0, ["team", "exits"])
+    recent = Window.partitionBy("manager_id").orderBy("month").rangeBetween(1 - months, 0)
+    end = F.last_day(F.make_date(F.floor((F.col("month") - 1) / 12).cast("int"), (F.pmod(F.col("month") - 1, F.lit(12)) + 1).cast("int"), F.lit(1)))
+    return filled.withColumns({"exits_rolling": F.sum("exits").over(recent), "team_sum": F.sum("team").over(recent), "n": F.count(F.lit(1)).over(recent)}).select(
+        "manager_id", end.alias("month_end"), F.col("team").alias("team_size"), "exits_rolling",
+        round_half_up(safe_divide(F.col("exits_rolling"), F.try_divide(F.col("team_sum").cast("double"), F.col("n")), None), 4).alias("exit_rate_rolling"),
+        round_half_up(safe_divide(F.col("score"), F.col("scored"))).alias("team_engagement_avg"),
+        (F.col("month") - F.col("first")).cast("bigint").alias("tenure_as_manager_months"),
+    )
+
+
+def manager_versions(monthly: DataFrame, columns: Sequence[str] = ("team_size", "exit_rate_rolling")) -> DataFrame:
+    """Versions of a manager's figures: month ends on which all `columns` stay the same are one version."""
+    out = scd2_from_history(monthly.select("manager_id", "month_end", *columns), "manager_id", ["month_end"], columns, F.year("month_end"))
+    return out.withColumnsRenamed({"effective_start": "effective_start_date", "effective_end": "effective_end_date"})
+
+
 def performance_metrics(reviews: DataFrame, cycle: str, rating: str, group: str) -> DataFrame:
     """Rating scaled to 0-1 within its cycle, distance from the cycle x group mean, and the improvement-plan flag.
 
-    Cycle statistics are one row per cycle and group.
+    Cycle statistics are one row per cycle and group; null cycles and groups are groups.
     """
     cells = reviews.groupBy(cycle, group).agg(
         mean(rating).alias("__mean"), F.min(rating).alias("__lo"), F.max(rating).alias("__hi")
     )
     span = cells.groupBy(cycle).agg(F.min("__lo").alias("__min"), F.max("__hi").alias("__max"))
-    lookup = cells.join(span, cycle).select(cycle, group, "__mean", "__min", "__max")
+    lookup = same_keys(cells, span, [cycle]).select(cycle, group, "__mean", "__min", "__max")
     joined = same_keys(reviews, lookup, [cycle, group])
     return joined.select(
         *reviews.columns,

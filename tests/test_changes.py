@@ -1,6 +1,9 @@
 """Upsert, change log, versions, publishing and streaming loads."""
 
 import datetime
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +166,96 @@ def test_an_older_event_in_a_later_batch_does_not_win(spark):
     handler(spark.createDataFrame([("a", 5, "old"), ("b", 2, "y")], "k string, t int, v string"), 1)
     assert {r.k: (r.t, r.v) for r in storing.read_current(spark, root).collect()} == {"a": (10, "new"), "b": (2, "y")}
     assert [(r.k, r.new_value) for r in spark.read.parquet(log).collect()] == [("b", "y")]
+
+
+def test_versions_are_carried_over_empty_buckets_and_hot_keys(spark):
+    from rosterlens.operators.sequence import carried_forward
+
+    draw = random.Random(2)
+    facts_ = [(draw.choice([0, 0, 0, 1, 2, 3, None]), draw.choice([None, *range(1, 400)]), i) for i in range(900)]
+    versions = [(draw.choice([0, 0, 1, 2, None]), draw.choice([None, *range(1, 400)]), draw.randrange(1000)) for _ in range(120)]
+    got = carried_forward(spark.createDataFrame(facts_, "k int, day int, n int"), spark.createDataFrame(versions, "k int, start int, v int"),
+                          ["k"], "day", "start", ["v"], lambda c: F.floor(c / 30), "found").collect()
+    assert len(got) == 900
+    for r in got:
+        known = [(s, v) for k, s, v in versions if k is not None and s is not None and r.day is not None and k == r.k and s <= r.day]
+        assert (r.found and tuple(r.found)) == (max(known) if known else None)
+
+
+def test_a_hot_key_is_not_sorted_as_a_whole(spark):
+    fact = spark.range(1000).selectExpr("1 AS k", "date_add(date'2020-01-01', cast(id AS int)) AS day")
+    versions = spark.range(50).selectExpr("1 AS k", "date_add(date'2020-01-01', cast(id * 20 AS int)) AS effective_start_date", "date'2030-01-01' AS effective_end_date", "id AS v")
+    got = facts.as_of_version_join(fact, versions, "k", "day", ["v"])
+    assert got.where("v = floor(datediff(day, date'2020-01-01') / 20)").count() == 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"Window \[.*?windowspecdefinition\((.*?)specifiedwindowframe", plan)
+    assert windows and all("__bucket" in w for w in windows) and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_ordered_funnel_matches_a_walk(spark):
+    draw = random.Random(9)
+    base = datetime.datetime(2024, 1, 1)
+    events = [(draw.choice([1, 1, 1, *range(2, 40), None]), draw.choice("abcd"), draw.choice([None, *[base + datetime.timedelta(hours=draw.randrange(60))] * 20])) for _ in range(400)]
+    want = {}
+    for who in {w for w, _, t in events if w is not None}:
+        at = None
+        for k, name in enumerate("abc"):
+            later = [t for w, s, t in events if w == who and s == name and t is not None and (at is None or t > at)]
+            if not later:
+                break
+            if k:
+                want.setdefault(k, []).append((min(later) - at).total_seconds() / 3600)
+            else:
+                want.setdefault(k, []).append(None)
+            at = min(later)
+    got = summaries.ordered_funnel(spark.createDataFrame(events, "w int, s string, t timestamp"), "w", "s", "t", ["a", "b", "c"]).orderBy("position").collect()
+    assert [r.candidates for r in got] == [len(want[k]) for k in range(3)] and got[0].avg_hours_from_previous is None
+    assert all(abs(got[k].avg_hours_from_previous - sum(want[k]) / len(want[k])) < 0.01 for k in (1, 2))
+    none = summaries.ordered_funnel(spark.createDataFrame([], "w int, s string, t timestamp"), "w", "s", "t", ["a", "b"]).collect()
+    assert [(r.candidates, r.conversion_pct) for r in none] == [(0, None), (0, None)]
+
+
+def test_adjusted_gap_is_the_least_squares_coefficient(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    rows = []
+    for d in ("x", "y", None):
+        for _ in range(200):
+            g, a = ("Female" if draw.random() < 0.4 else "Male"), float(draw.normal(40, 9))
+            t = a / 4 + float(draw.normal())
+            rows.append((d, g, a, t, 2 * a, 1000.0 + 30 * a - 55 * (g == "Female") + 11 * t + float(draw.normal(0, 40))))
+    rows += [("z", "Male", 30.0, 1.0, 60.0, 5.0), ("z", "Female", None, 1.0, 1.0, 7.0), ("x", "Other", 1.0, 1.0, 2.0, 1e6)]
+    df = spark.createDataFrame(rows, "d string, gender string, age double, tenure double, twice double, salary double")
+    # the third covariate is explained by the first and must change nothing
+    got = {r.d: r for r in summaries.adjusted_pay_gap(df, ["d"], {"age": F.col("age"), "tenure": F.col("tenure"), "twice": F.col("twice")}).collect()}
+    for d in ("x", "y", None):
+        own = [r for r in rows if r[0] == d and r[1] != "Other"]
+        m = np.array([[1.0, r[1] == "Female", r[2], r[3]] for r in own], float)
+        y = np.array([r[5] for r in own])
+        beta = np.linalg.lstsq(m, y, rcond=None)[0]
+        rest = y - m @ beta
+        error = math.sqrt(rest @ rest / (len(own) - 4) * np.linalg.inv(m.T @ m)[1, 1])
+        assert abs(got[d].adjusted_gap_amt + beta[1]) < 0.01 and abs(got[d].std_error - error) < 0.01 and got[d].degrees_of_freedom == len(own) - 4
+        assert got[d].gap_is_significant_flag == (abs(beta[1] / error) > 1.972)
+    assert got["z"].adjusted_gap_amt is None and got["z"].std_error is None and not got["z"].gap_is_significant_flag
+
+
+def test_manager_months_fill_gaps_and_slide(spark):
+    day = datetime.date
+    rows = [(1, day(2023, 1, 31), False, None, 50.0), (1, day(2023, 1, 31), True, True, None), (1, day(2023, 3, 31), True, True, 40.0), (1, day(2024, 2, 29), False, None, 60.0), (None, day(2024, 2, 29), False, None, 1.0)]
+    got = {r.month_end: r for r in summaries.manager_months(spark.createDataFrame(rows, "manager_id int, month_end date, is_exit boolean, voluntary_exit_flag boolean, engagement_score double")).collect()}
+    assert len(got) == 14 and got[day(2023, 2, 28)].team_size == 0 and got[day(2024, 2, 29)].tenure_as_manager_months == 13
+    assert [got[d].exits_rolling for d in (day(2023, 1, 31), day(2023, 3, 31), day(2023, 12, 31), day(2024, 1, 31), day(2024, 2, 29))] == [1, 2, 2, 1, 1]
+    assert got[day(2023, 3, 31)].exit_rate_rolling == round(2 / (1 / 3), 4)
+    versions = summaries.manager_versions(summaries.manager_months(spark.createDataFrame(rows, "manager_id int, month_end date, is_exit boolean, voluntary_exit_flag boolean, engagement_score double")))
+    ends = {r.effective_start_date: (r.effective_end_date, r.is_current_flag) for r in versions.collect()}
+    assert ends[day(2024, 2, 29)] == (None, True) and all((e is None) == c for e, c in ends.values())
+
+
+def test_null_cycles_and_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([("c", "g", 1), (None, "g", 3), (None, None, 5)], "cycle string, g string, rating int")
+    got = {(r.cycle, r.g): (r.rating_normalized, r.calibration_delta) for r in summaries.performance_metrics(df, "cycle", "rating", "g").collect()}
+    assert got == {("c", "g"): (0.0, 0.0), (None, "g"): (0.0, 0.0), (None, None): (1.0, 0.0)}
+    pay = spark.createDataFrame([(None, "Male", "x", 100), (None, "Female", "x", 90)], "department string, gender string, ethnicity string, salary int").withColumn("compa_ratio", F.lit(1.0))
+    assert {r.gender_group: r.pay_gap_amt for r in summaries.comp_equity(pay, ["department"]).where("ethnicity_group = 'x'").collect()}["Female"] == 10.0
