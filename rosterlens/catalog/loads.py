@@ -12,7 +12,8 @@ from rosterlens.catalog.sql import (
 from rosterlens.functions import bands, cleaning
 from rosterlens.functions.numeric import n_rows, round_half_up
 from rosterlens.operators.ranking import compa_ratio_level_median
-from rosterlens.plans import calendar, changes, facts, medallion, summaries
+from rosterlens.plans import calendar, changes, facts, medallion, storing, summaries
+from rosterlens.session import scratch_path
 
 AS_OF = "2001-12-31"
 
@@ -150,6 +151,16 @@ def upsert_counts(t):
     return changes.upsert_counts(changes.upsert(t.employee, batch(t), "employee_id"))
 
 
+@query("l03_upsert_by_key", emp(f"""
+SELECT employee_id, {FRESH('salary')}, {FRESH('bonus')}, {FRESH('performance_rating')}, {FRESH('attrition')}, {ONLY_NEW('age')}, {ONLY_NEW('manager_id')} FROM applied""", BATCH, UPSERT))
+def upsert_by_key(t):
+    """The table as it stands after a load that rewrote only the partitions with changed keys."""
+    path = scratch_path(t.spark, "employees")
+    storing.write_by_key(t.employee, path, "employee_id", 32)
+    changes.upsert_by_key(t.spark, path, batch(t), "employee_id", 32)
+    return t.spark.read.parquet(path).select("employee_id", "salary", "bonus", "performance_rating", "attrition", "age", "manager_id")
+
+
 LOG = " UNION ALL ".join(
     f"""SELECT o.employee_id, '{c}' AS changed_column, CAST(o.{c} AS VARCHAR) AS old_value, CAST(n.{c} AS VARCHAR) AS new_value
  FROM employee o JOIN batch n USING (employee_id) WHERE o.{c} IS DISTINCT FROM n.{c}""" for c in changes.AUDIT_COLUMNS
@@ -196,6 +207,41 @@ def scd2_twice(t):
     return text_dates(again, "effective_start_date", "effective_end_date")
 
 
+@query("l05_scd2_load", with_(RAW_SQL, BRONZE_SQL, EARLY, LATE, silver_sql("early", "first"), silver_sql("late", "second"), then=SCD2))
+def scd2_load(t):
+    """Two loads into a folder, the second of which rewrites the partitions with changed keys; repeating it changes nothing."""
+    root = scratch_path(t.spark, "dimension")
+    first = silver(t, "extracted_at < TIMESTAMP_NTZ'1999-01-01 00:00:00'").select(*DIM_COLUMNS)
+    second = silver(t, "CAST(worker_id AS BIGINT) % 17 <> 3").select(*DIM_COLUMNS)
+    changes.scd2_create(first, root, "employee_id", "1999-01-01", 16)
+    for _ in range(2):
+        changes.scd2_load(t.spark, root, second, "employee_id", changes.VERSIONED_COLUMNS, "2000-01-01", 16)
+    return text_dates(changes.scd2_read(t.spark, root), "effective_start_date", "effective_end_date")
+
+
+MIDDLE = "middle AS (SELECT * FROM bronze WHERE ingestion_timestamp < TIMESTAMP '1999-07-01')"
+D_COLUMNS, L_COLUMNS = (", ".join(f"{x}.{c}" for c in DIM_COLUMNS) for x in ("d", "l"))
+DIFFERS = " OR ".join(f"d.{c} IS DISTINCT FROM l.{c}" for c in changes.VERSIONED_COLUMNS)
+
+
+@query("l05_late_snapshot", with_(RAW_SQL, BRONZE_SQL, EARLY, LATE, MIDDLE, silver_sql("early", "first"), silver_sql("late", "second"), silver_sql("middle", "mid"),
+    f"dim AS (SELECT * REPLACE (CAST(effective_start_date AS DATE) AS effective_start_date, CAST(effective_end_date AS DATE) AS effective_end_date) FROM ({SCD2}))",
+    f"""joined AS (SELECT d.*, l.employee_id IS NOT NULL AND ({DIFFERS}) AS split FROM dim d LEFT JOIN mid l ON d.employee_id = l.employee_id
+ AND d.effective_start_date <= DATE '1999-07-01' AND (d.effective_end_date IS NULL OR d.effective_end_date > DATE '1999-07-01'))""",
+    f"""pieces AS (SELECT {DIM_LIST}, effective_start_date AS s, CASE WHEN split THEN DATE '1999-07-01' ELSE effective_end_date END AS e, is_current_flag AND NOT split AS c FROM joined
+ UNION ALL SELECT {L_COLUMNS}, DATE '1999-07-01', least(coalesce(d.effective_end_date, DATE '2000-01-01'), DATE '2000-01-01'), false FROM joined d JOIN mid l USING (employee_id) WHERE split
+ UNION ALL SELECT {DIM_LIST}, DATE '2000-01-01', effective_end_date, is_current_flag FROM joined WHERE split AND (effective_end_date IS NULL OR effective_end_date > DATE '2000-01-01')
+ UNION ALL SELECT {L_COLUMNS}, DATE '1999-07-01', least(coalesce((SELECT min(effective_start_date) FROM dim x WHERE x.employee_id = l.employee_id AND x.effective_start_date > DATE '1999-07-01'), DATE '2000-01-01'), DATE '2000-01-01'), false
+ FROM mid l WHERE NOT EXISTS (SELECT 1 FROM dim d WHERE d.employee_id = l.employee_id AND d.effective_start_date <= DATE '1999-07-01' AND (d.effective_end_date IS NULL OR d.effective_end_date > DATE '1999-07-01')))""", then=f"""
+SELECT {DIM_LIST}, CAST(row_number() OVER (PARTITION BY employee_id ORDER BY s) AS INT) AS scd_version, strftime(s, '%Y-%m-%d') AS effective_start_date,
+ strftime(e, '%Y-%m-%d') AS effective_end_date, c AS is_current_flag FROM pieces"""))
+def late_snapshot(t):
+    """The snapshot of July 1999, which arrives after that of January 2000."""
+    late = silver(t, "extracted_at < TIMESTAMP_NTZ'1999-07-01 00:00:00'").select(*DIM_COLUMNS)
+    out = changes.scd2_late_snapshot(scd2_dimension(t), late, "employee_id", changes.VERSIONED_COLUMNS, "1999-07-01", "2000-01-01")
+    return text_dates(out, "effective_start_date", "effective_end_date")
+
+
 @query("l05_scd2_from_history", """
 SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS effective_start,
  strftime(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), '%Y-%m-%d %H:%M:%S.%f') AS effective_end,

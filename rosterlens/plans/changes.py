@@ -1,7 +1,9 @@
 """Upserts, change logs and slowly changing dimensions on plain files.
 
-Every function returns the complete new state; storing.publish writes it to a fresh folder
-and only then makes it current, so a failed load leaves the previous version readable.
+The plain functions return the complete new state; storing.publish writes it to a fresh folder
+and only then makes it current, so a failed load leaves the previous version readable. The
+functions on folders (upsert_by_key, scd2_load) rewrite only the partitions that hold changed keys;
+a load that is repeated after a failure gives the same state.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rosterlens.functions.cleaning import surrogate_key
@@ -17,6 +19,8 @@ from rosterlens.operators.joins import snapshot_compare
 from rosterlens.operators.ranking import latest_per_key
 from rosterlens.operators.reshape import stack_rows
 from rosterlens.operators.sequence import next_row, previous_row
+from rosterlens.plans import storing
+from rosterlens.session import written_table
 
 # Compared and updated columns of the employee load, audited columns, versioned columns.
 COMPARE_COLUMNS = ("salary", "department", "job_level", "performance_rating", "engagement_score", "attrition")
@@ -66,6 +70,23 @@ def upsert_counts(result: DataFrame) -> DataFrame:
     ])
 
 
+def upsert_by_key(spark: SparkSession, path: str, batch: DataFrame, key: str, parts: int, compare: Sequence[str] = COMPARE_COLUMNS,
+                  update: Sequence[str] = UPDATE_COLUMNS) -> list[int]:
+    """Upsert into a table written by storing.write_by_key; the numbers of the partitions rewritten.
+
+    Only the partitions of the batch's keys are read, and of these only those with an insert or update are written again.
+    """
+    near = storing.touched_parts(batch, key, parts)
+    if not near:
+        return []
+    old = spark.read.parquet(path).where(F.col(storing.PART).isin(near)).drop(storing.PART)
+    merged = upsert(old, batch, key, compare, update).withColumn(storing.PART, storing.key_part(key, parts))
+    changed = sorted(r[0] for r in merged.where("action <> 'unchanged'").select(storing.PART).distinct().collect())
+    if changed:
+        storing.write_partitions(written_table(merged.where(F.col(storing.PART).isin(changed)).drop("action"), "upsert"), path, [storing.PART])
+    return changed
+
+
 def change_log(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str] = AUDIT_COLUMNS) -> DataFrame:
     """One row per changed column of every key present in both images, values as text."""
     left = old.select(key, *[F.col(c).alias(f"__old_{c}") for c in columns])
@@ -136,6 +157,74 @@ def scd2_snapshot(dim: DataFrame, snapshot: DataFrame, key: str, check_cols: Seq
     return closed_before.unionByName(renewed)
 
 
+def scd2_create(snapshot: DataFrame, root: str, key: str, as_of: str, parts: int) -> None:
+    """Start a versioned dimension in a folder: `latest` has every key's newest version by partitions of keys, `history` the versions before."""
+    storing.write_by_key(scd2_initial(snapshot, as_of), f"{root}/latest", key, parts)
+
+
+def scd2_load(spark: SparkSession, root: str, snapshot: DataFrame, key: str, check_cols: Sequence[str], as_of: str, parts: int,
+              keep_deleted: bool = False) -> list[int]:
+    """Apply a snapshot like scd2_snapshot; the numbers of the partitions rewritten.
+
+    Closed history is never read or written again: superseded versions go to one new partition of `history` named after the load,
+    and only the partitions of `latest` that hold a changed key are replaced. Repeating the load of a day replaces what it wrote.
+    """
+    latest = spark.read.parquet(f"{root}/latest").drop(storing.PART)
+    rows = scd2_snapshot(latest, snapshot, key, check_cols, as_of, keep_deleted).withColumn(storing.PART, storing.key_part(key, parts))
+    day = F.lit(as_of).cast("date")
+    moved = (F.col("effective_start_date") == day) | F.col("effective_end_date").eqNullSafe(day)
+    changed = sorted(r[0] for r in rows.where(moved).select(storing.PART).distinct().collect())  # at most `parts` numbers
+    if not changed:
+        return []
+    staged = written_table(rows.where(F.col(storing.PART).isin(changed)), "versions")
+    newest = staged.groupBy(key).agg(F.max("scd_version").alias("scd_version"))
+    superseded = staged.join(newest, [key, "scd_version"], "left_anti").withColumn("load_date", F.lit(as_of))
+    storing.write_partitions(superseded.drop(storing.PART).select(*latest.columns, "load_date"), f"{root}/history", ["load_date"])
+    storing.write_partitions(staged.join(newest, [key, "scd_version"], "left_semi").select(*latest.columns, storing.PART), f"{root}/latest", [storing.PART])
+    return changed
+
+
+def scd2_read(spark: SparkSession, root: str) -> DataFrame:
+    """All versions of a dimension kept by scd2_load."""
+    latest = spark.read.parquet(f"{root}/latest").drop(storing.PART)
+    if not storing.exists(spark, f"{root}/history"):
+        return latest
+    return spark.read.schema(latest.schema).parquet(f"{root}/history").select(*latest.columns).unionByName(latest)
+
+
+def scd2_late_snapshot(dim: DataFrame, snapshot: DataFrame, key: str, check_cols: Sequence[str], as_of: str, next_load: str) -> DataFrame:
+    """Work in a snapshot that arrives after a later one (of the day next_load) was applied.
+
+    It tells the states from as_of up to next_load. A version valid on as_of that differs is split: it ends on as_of, the late
+    state lasts to next_load or to the version's own end, and the old state goes on after. A key without a version on as_of
+    gets one up to its next version or next_load. Keys that the late snapshot lacks stay as they are. Versions are numbered anew.
+    """
+    columns = snapshot.columns
+    day, after = F.lit(as_of).cast("date"), F.lit(next_load).cast("date")
+    span = ["effective_start_date", "effective_end_date", "is_current_flag"]
+    valid = (F.col("effective_start_date") <= day) & (F.col("effective_end_date").isNull() | (F.col("effective_end_date") > day))
+    late = snapshot.select(key, F.struct(*columns).alias("new"))
+    old = dim.where(valid).select(key, F.struct(*columns, *span).alias("old"))
+    state = lambda side, start, end, current: F.struct(
+        *[F.col(f"{side}.{c}").alias(c) for c in columns], start.alias(span[0]), end.alias(span[1]), current.alias(span[2]))
+    start, end, current = (F.col(f"old.{c}") for c in span)
+    split = F.col("new").isNotNull() & differs("old", "new", check_cols)
+    until = F.least(F.coalesce(end, after), after)
+    goes_on = end.isNull() | (end > after)
+    pieces = F.when(~split, F.array(state("old", start, end, current))).otherwise(F.array_compact(F.array(
+        F.when(start < day, state("old", start, day, F.lit(False))),
+        state("new", day, until, F.lit(False)),
+        F.when(goes_on, state("old", after, end, current)),
+    )))
+    renewed = old.join(late, key, "left").select(F.explode(pieces).alias("r")).select("r.*")
+    others = dim.where(~F.coalesce(valid, F.lit(False))).select(*columns, *span)
+    first = dim.where(F.col("effective_start_date") > day).groupBy(key).agg(F.min("effective_start_date").alias("__first"))
+    fresh = late.join(old, key, "left_anti").join(first, key, "left")
+    fresh = fresh.select(state("new", day, F.least(F.coalesce("__first", after), after), F.lit(False)).alias("r")).select("r.*")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("effective_start_date")).cast("int")
+    return renewed.unionByName(others).unionByName(fresh).withColumn("scd_version", number).select(*dim.columns)
+
+
 def with_version_key(dim: DataFrame, key: str) -> DataFrame:
     """Stable surrogate key per version."""
     return dim.withColumn("employee_key", surrogate_key(key, "scd_version"))

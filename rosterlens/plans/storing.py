@@ -1,13 +1,15 @@
-"""Writing layers: clustered parquet, atomic version switch, dynamic partition overwrite."""
+"""Writing layers: clustered parquet, atomic version switch, loads that rewrite only the partitions they change."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterlens.session import written_table
+
 
 def write_clustered(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (),
                     mode: str = "overwrite", files: int | None = None) -> None:
@@ -68,3 +70,35 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
 def append_new_columns(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Union that keeps columns only one side has (null on the other)."""
     return target.unionByName(batch, allowMissingColumns=True)
+
+
+PART = "key_part"
+
+
+def key_part(key: str, parts: int) -> Column:
+    """Number of the partition that holds a key; keys spread evenly, whatever their values."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace exactly the partitions that `df` has rows of; the files of all others stay as they are.
+
+    `df` must be written (see written_table), since it may have been computed from the partitions that are replaced.
+    """
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def write_by_key(df: DataFrame, path: str, key: str, parts: int) -> None:
+    """First state of a table that later loads change by key. `parts` stays the same for the life of the table;
+    a part has to fit one task."""
+    write_partitions(df.withColumn(PART, key_part(key, parts)), path, [PART])
+
+
+def touched_parts(keys: DataFrame, key: str, parts: int) -> list[int]:
+    """The partitions in which the keys lie: at most `parts` numbers."""
+    return sorted(r[0] for r in keys.select(key_part(key, parts)).distinct().collect())

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import pathlib
 import random
 import re
 
@@ -259,3 +260,57 @@ def test_null_cycles_and_groups_keep_their_rows(spark):
     assert got == {("c", "g"): (0.0, 0.0), (None, "g"): (0.0, 0.0), (None, None): (1.0, 0.0)}
     pay = spark.createDataFrame([(None, "Male", "x", 100), (None, "Female", "x", 90)], "department string, gender string, ethnicity string, salary int").withColumn("compa_ratio", F.lit(1.0))
     assert {r.gender_group: r.pay_gap_amt for r in summaries.comp_equity(pay, ["department"]).where("ethnicity_group = 'x'").collect()}["Female"] == 10.0
+
+
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in pathlib.Path(path.removeprefix("file:")).rglob("*.parquet")}
+
+
+def test_upsert_by_key_leaves_other_files_alone(spark):
+    path = scratch_path(spark, "by-key")
+    storing.write_by_key(state(spark, *((i, i, "n", "N") for i in range(1000))), path, "id", 16)
+    before = files_of(path)
+    batch = state(spark, (3, 33, "new", "N"), (4, 4, "n", "N"), (2000, 1, "x", "X"))
+    changed = changes.upsert_by_key(spark, path, batch, "id", 16, ["pay"], ["pay", "note"])
+    parts = {r[0] for r in batch.where("id <> 4").select(storing.key_part("id", 16)).collect()}
+    assert set(changed) == parts and changes.upsert_by_key(spark, path, batch, "id", 16, ["pay"], ["pay", "note"]) == []
+    after = files_of(path)
+    same = {f for f in before if f"{storing.PART}=" + f.split("=")[1].split("/")[0] not in {f"{storing.PART}={p}" for p in parts}}
+    assert same and all(after.get(f) == before[f] for f in same) and not (set(before) - same) & set(after)
+    assert as_set(spark.read.parquet(path).where("id IN (3, 4, 2000) OR id = 999"), "id", "pay", "note") == {(3, 33, "new"), (4, 4, "n"), (2000, 1, "x"), (999, 999, "n")}
+    assert spark.read.parquet(path).count() == 1001
+
+
+def test_scd2_load_equals_the_plain_form_and_keeps_files(spark):
+    draw, check = random.Random(1), ["pay", "note"]
+    root = scratch_path(spark, "scd2")
+    image = {i: (i, draw.randrange(5), "n", "N") for i in range(300)}
+    plain = changes.scd2_initial(state(spark, *image.values()), "2024-01-01")
+    changes.scd2_create(state(spark, *image.values()), root, "id", "2024-01-01", 8)
+    gone = []
+    for k, day in enumerate(("2024-02-01", "2024-03-01", "2024-04-01")):
+        for i in (1, 2, 300 + k):
+            image[i] = (i, draw.randrange(100, 200), "n", "N")
+        back, gone = gone, [image.pop(7 + k)]
+        image |= {r[0]: r for r in back}
+        snapshot = state(spark, *image.values())
+        plain = changes.scd2_snapshot(plain, snapshot, "id", check, day)
+        before = files_of(f"{root}/latest")
+        changed = changes.scd2_load(spark, root, snapshot, "id", check, day, 8)
+        after = files_of(f"{root}/latest")
+        assert 0 < len(changed) < 8 and all(after.get(f) == at for f, at in before.items() if int(f.split("=")[1].split("/")[0]) not in changed)
+        assert changes.scd2_load(spark, root, snapshot, "id", check, day, 8) in ([], changed)
+        columns = ("id", "pay", "scd_version", "effective_start_date", "effective_end_date", "is_current_flag")
+        assert as_set(changes.scd2_read(spark, root), *columns) == as_set(plain, *columns)
+        assert changes.scd2_read(spark, root).count() == plain.count()
+
+
+def test_a_late_snapshot_splits_versions(spark):
+    day = datetime.date
+    dim = changes.scd2_initial(state(spark, (1, 10, "a", "A"), (2, 20, "b", "B"), (3, 30, "c", "C")), "2024-01-01")
+    dim = changes.scd2_snapshot(dim, state(spark, (1, 10, "a", "A"), (2, 21, "b", "B"), (4, 40, "d", "D")), "id", ["pay"], "2024-03-01")
+    late = state(spark, (1, 15, "a", "A"), (2, 25, "b", "B"), (3, 30, "c", "C"), (4, 45, "d", "D"), (5, 50, "e", "E"))
+    got = as_set(changes.scd2_late_snapshot(dim, late, "id", ["pay"], "2024-02-01", "2024-03-01"), "id", "pay", "scd_version", "effective_start_date", "effective_end_date", "is_current_flag")
+    jan, feb, mar = day(2024, 1, 1), day(2024, 2, 1), day(2024, 3, 1)
+    assert got == {(1, 10, 1, jan, feb, False), (1, 15, 2, feb, mar, False), (1, 10, 3, mar, None, True), (2, 20, 1, jan, feb, False), (2, 25, 2, feb, mar, False), (2, 21, 3, mar, None, True),
+                   (3, 30, 1, jan, mar, False), (4, 45, 1, feb, mar, False), (4, 40, 2, mar, None, True), (5, 50, 1, feb, mar, False)}
