@@ -12,8 +12,8 @@ from rosterlens.catalog.sql import (
 from rosterlens.functions import bands, cleaning
 from rosterlens.functions.numeric import n_rows, round_half_up
 from rosterlens.operators.ranking import compa_ratio_level_median
-from rosterlens.plans import calendar, changes, facts, medallion, storing, summaries
-from rosterlens.session import scratch_path
+from rosterlens.plans import calendar, changes, facts, medallion, rollups, storing, summaries
+from rosterlens.session import scratch_path, written_table
 
 AS_OF = "2001-12-31"
 
@@ -404,10 +404,13 @@ def attrition_events(t):
     )
 
 
-@query("l11_headcount_monthly", emp(f"""
+HEADCOUNT = emp(f"""
 SELECT date_key, department, location, job_level, count(*) AS total_headcount, {cnt('is_active_flag')} AS active_headcount, round(sum(fte_value), 2) AS fte_total,
  {avg('tenure_months')} AS avg_tenure_months, {avg('CAST(compa_ratio AS DECIMAL(14,4))', digits=4)} AS avg_compa_ratio, {avg('CAST(flight_risk_score AS DECIMAL(14,4))')} AS avg_flight_risk_score,
- {avg('CAST(engagement_score AS DECIMAL(14,4))')} AS avg_engagement_score FROM fact GROUP BY 1, 2, 3, 4""", *FACT))
+ {avg('CAST(engagement_score AS DECIMAL(14,4))')} AS avg_engagement_score FROM fact GROUP BY 1, 2, 3, 4""", *FACT)
+
+
+@query("l11_headcount_monthly", HEADCOUNT)
 def headcount_monthly(t):
     return summaries.headcount_monthly(snapshot_fact(t), ["department", "location", "job_level"])
 
@@ -415,16 +418,56 @@ def headcount_monthly(t):
 HEADS = f"(({cnt(chr(104) + 'ire_date < date_trunc(' + repr('month') + ', month_end)')} + {cnt('NOT is_exit')}) / 2e0)"
 
 
-@query("l12_attrition_monthly", emp(f"""
+ATTRITION = emp(f"""
 SELECT *, coalesce(round(voluntary_separations / nullif(avg_headcount_in_period, 0), 6), 0) AS voluntary_attrition_rate,
  coalesce(round(regrettable_separations / nullif(avg_headcount_in_period, 0), 6), 0) AS regrettable_attrition_rate FROM (
 SELECT date_key, department, location, job_level, {cnt('is_exit')} AS total_separations, {cnt('is_exit AND voluntary_exit_flag')} AS voluntary_separations,
  {cnt('is_exit AND NOT voluntary_exit_flag')} AS involuntary_separations, {cnt(f'is_exit AND {HIGH}')} AS regrettable_separations,
- {cnt('is_exit AND termination_date - hire_date < 90')} AS new_hire_90day_exits, {HEADS} AS avg_headcount_in_period FROM fact GROUP BY 1, 2, 3, 4)""", *FACT))
+ {cnt('is_exit AND termination_date - hire_date < 90')} AS new_hire_90day_exits, {HEADS} AS avg_headcount_in_period FROM fact GROUP BY 1, 2, 3, 4)""", *FACT)
+
+
+@query("l12_attrition_monthly", ATTRITION)
 def attrition_monthly(t):
     return summaries.attrition_monthly(snapshot_fact(t), ["department", "location", "job_level"])
 
 
+SEGMENT = ["department", "location", "job_level"]
+
+
+def kept_up(t, rollup, first, second, wrong=None):
+    """The sums of a rollup after a first load, a second one, and a repetition of the second.
+
+    `wrong` are rows that the first load brings with false values; the second takes them away and brings the right ones.
+    """
+    path = scratch_path(t.spark, "rollup")
+    signed = lambda df, sign: df.withColumn("sign", F.lit(sign))
+    opening, delta = signed(first, 1), signed(second, 1)
+    if wrong is not None:
+        opening, delta = opening.unionByName(signed(wrong, 1)), delta.unionByName(signed(wrong, -1))
+    rollups.add_load(t.spark, path, rollup, opening, 1, "sign")
+    for _ in range(2):
+        rollups.add_load(t.spark, path, rollup, delta, 2, "sign")
+    return rollups.read_rollup(t.spark, path, rollup, first)
+
+
+def loads_of_fact(t):
+    """Months up to September 2001, the months after, and rows of August that the first load has with a false head count."""
+    fact = written_table(snapshot_fact(t), "fact")
+    wrong = fact.where("date_key = 20010831 AND is_exit").withColumns({"fte_value": F.lit(7.0), "is_active_flag": F.lit(True)})
+    return fact.where("date_key <= 20010930"), fact.where("date_key > 20010930"), wrong
+
+
+@query("l11_headcount_kept_up", HEADCOUNT)
+def headcount_kept_up(t):
+    """The table of l11_headcount_monthly after two loads, the second of which rewrites only the months it touches."""
+    return summaries.headcount_from_sums(kept_up(t, summaries.headcount_rollup(SEGMENT), *loads_of_fact(t)), SEGMENT)
+
+
+@query("l12_attrition_kept_up", ATTRITION)
+def attrition_kept_up(t):
+    return summaries.attrition_from_sums(kept_up(t, summaries.attrition_rollup(SEGMENT), *loads_of_fact(t)), SEGMENT)
+
+
 # --- event facts -----------------------------------------------------------------------
 
 HIRES = """hires AS (SELECT s.*, days_to_fill, o.o_orderstatus <> 'P' AS offer_accepted_flag, CAST(leave_count AS DOUBLE) AS interview_score
@@ -493,23 +536,36 @@ TRAINING = """training AS (SELECT CAST(strftime(last_day(CAST(l_shipdate AS DATE
  CAST(l_extendedprice AS DECIMAL(18,2)) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey JOIN employee ON l_orderkey = employee_id)"""
 
 
-@query("l15_training_compliance", emp(f"""
+COMPLIANCE = emp(f"""
 SELECT date_key, skill_domain, department, job_level, count(*) AS total_enrollments, {cnt('done')} AS completions, {cnt('done AND must')} AS mandatory_completions, {cnt('must')} AS mandatory_total,
  {cnt('late')} AS overdue_count, round({ratio(cnt('done AND must'), cnt('must'), None)}, 4) AS compliance_rate, {avg('score', 'done')} AS avg_assessment_score,
- round(CAST(sum(hours) FILTER (WHERE done) AS DOUBLE), 2) AS total_hours_completed, round(CAST(sum(cost) AS DOUBLE), 2) AS total_cost FROM training GROUP BY 1, 2, 3, 4""", TRAINING))
+ round(CAST(sum(hours) FILTER (WHERE done) AS DOUBLE), 2) AS total_hours_completed, round(CAST(sum(cost) AS DOUBLE), 2) AS total_cost FROM training GROUP BY 1, 2, 3, 4""", TRAINING)
+
+
+@query("l15_training_compliance", COMPLIANCE)
 def training_compliance(t):
+    return summaries.training_compliance(training_rows(t), ["date_key", "skill_domain", "department", "job_level"])
+
+
+def training_rows(t):
     from rosterlens.functions.dates import date_key
 
     joined = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(
         t.employee.select("employee_id", "department", "job_level"), F.col("l_orderkey") == F.col("employee_id")
     )
-    training = joined.select(
+    return joined.select(
         date_key(F.last_day(F.col("l_shipdate").cast("date"))).alias("date_key"), F.col("p_type").alias("skill_domain"), "department", "job_level",
         (F.col("l_linestatus") == "F").alias("completion_flag"), (F.col("l_linenumber") <= 3).alias("is_mandatory_flag"),
         (F.col("l_returnflag") == "R").alias("is_overdue_flag"), (F.lit(50) + F.col("l_discount") * 500).alias("assessment_score"),
         F.col("l_quantity").alias("hours"), F.col("l_extendedprice").alias("cost"),
     )
-    return summaries.training_compliance(training, ["date_key", "skill_domain", "department", "job_level"])
+
+
+@query("l15_training_kept_up", COMPLIANCE)
+def training_kept_up(t):
+    by = ["date_key", "skill_domain", "department", "job_level"]
+    rows = written_table(training_rows(t), "training")
+    return summaries.training_from_sums(kept_up(t, summaries.training_rollup(by), rows.where("date_key <= 19981231"), rows.where("date_key > 19981231")), by)
 
 
 @query("l16_funnel_metrics", f"""

@@ -14,38 +14,56 @@ from rosterlens.operators.hierarchy import rollup_counts
 from rosterlens.operators.ranking import same_keys
 from rosterlens.operators.sequence import next_row, previous_row
 from rosterlens.plans.changes import scd2_from_history
+from rosterlens.plans.rollups import ROWS, Rollup, partial_sums
 from rosterlens.session import written_table
 
 OVERALL = "Overall"
 
 
+def headcount_rollup(by: Sequence[str]) -> Rollup:
+    """Additive sums of headcount_monthly per month and segment."""
+    known = lambda name: F.col(name).isNotNull().cast("int")
+    scores_ = ("compa_ratio", "flight_risk_score", "engagement_score")
+    return Rollup(("date_key", *by), {
+        "n_active": F.col("is_active_flag").cast("int"), "fte": F.col("fte_value"), "tenure": F.col("tenure_months"), "n_tenure": known("tenure_months"),
+        **{f"sum_{c}": F.col(c).cast("decimal(14,4)") for c in scores_}, **{f"n_{c}": known(c) for c in scores_},
+    })
+
+
+def headcount_from_sums(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Head count, FTE and averages from the sums of headcount_rollup."""
+    average = lambda c: safe_divide(F.col(f"sum_{c}"), F.col(f"n_{c}"))
+    return sums.select(
+        "date_key", *by, F.col(ROWS).alias("total_headcount"), F.col("n_active").alias("active_headcount"),
+        round_half_up(F.col("fte").cast("double")).alias("fte_total"),
+        round_half_up(safe_divide(F.col("tenure"), F.col("n_tenure"))).alias("avg_tenure_months"),
+        round_half_up(average("compa_ratio"), 4).alias("avg_compa_ratio"),
+        round_half_up(average("flight_risk_score")).alias("avg_flight_risk_score"),
+        round_half_up(average("engagement_score")).alias("avg_engagement_score"),
+    )
+
+
 def headcount_monthly(fact: DataFrame, by: Sequence[str]) -> DataFrame:
     """Head count, FTE and averages per month and segment (means of exact decimal sums)."""
-    exact = lambda name: mean(F.col(name).cast("decimal(14,4)"))
-    return fact.groupBy("date_key", *by).agg(
-        n_rows().alias("total_headcount"),
-        count_if(F.col("is_active_flag")).alias("active_headcount"),
-        round_half_up(F.sum("fte_value").cast("double")).alias("fte_total"),
-        round_half_up(mean("tenure_months")).alias("avg_tenure_months"),
-        round_half_up(exact("compa_ratio"), 4).alias("avg_compa_ratio"),
-        round_half_up(exact("flight_risk_score")).alias("avg_flight_risk_score"),
-        round_half_up(exact("engagement_score")).alias("avg_engagement_score"),
-    )
+    return headcount_from_sums(partial_sums(fact, headcount_rollup(by)), by)
 
 
-def attrition_monthly(fact: DataFrame, by: Sequence[str], new_hire_days: int = 90) -> DataFrame:
-    """Separations by kind, early exits, mean of opening and closing head count, and rates per month and segment."""
-    exits = F.col("is_exit")
-    regret = exits & (F.col("performance_rating") >= scores.HIGH_PERFORMER_RATING)
-    early = exits & (F.datediff("termination_date", "hire_date") < new_hire_days)
-    g = fact.groupBy("date_key", *by).agg(
-        count_if(exits).alias("total_separations"),
-        count_if(exits & F.col("voluntary_exit_flag")).alias("voluntary_separations"),
-        count_if(exits & ~F.col("voluntary_exit_flag")).alias("involuntary_separations"),
-        count_if(regret).alias("regrettable_separations"),
-        count_if(early).alias("new_hire_90day_exits"),
-        ((count_if(F.col("hire_date") < F.trunc("month_end", "MM")) + count_if(~exits)) / 2.0).alias("avg_headcount_in_period"),
-    )
+def attrition_rollup(by: Sequence[str], new_hire_days: int = 90) -> Rollup:
+    """Additive counts of attrition_monthly per month and segment."""
+    exits, voluntary = F.col("is_exit"), F.col("voluntary_exit_flag")
+    kinds = {
+        "total_separations": exits, "voluntary_separations": exits & voluntary, "involuntary_separations": exits & ~voluntary,
+        "regrettable_separations": exits & (F.col("performance_rating") >= scores.HIGH_PERFORMER_RATING),
+        "new_hire_90day_exits": exits & (F.datediff("termination_date", "hire_date") < new_hire_days),
+        "opening": F.col("hire_date") < F.trunc("month_end", "MM"), "closing": ~exits,
+    }
+    return Rollup(("date_key", *by), {f"n_{name}": one(kind) for name, kind in kinds.items()})
+
+
+def attrition_from_sums(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Separations by kind and rates from the counts of attrition_rollup."""
+    names = ("total_separations", "voluntary_separations", "involuntary_separations", "regrettable_separations", "new_hire_90day_exits")
+    g = sums.select("date_key", *by, *[F.col(f"n_{c}").alias(c) for c in names], ((F.col("n_opening") + F.col("n_closing")) / 2.0).alias("avg_headcount_in_period"))
     rate = lambda name: F.coalesce(
         round_half_up(safe_divide(F.col(name), F.col("avg_headcount_in_period")), 6), F.lit(0.0))
     return g.withColumns({
@@ -54,6 +72,11 @@ def attrition_monthly(fact: DataFrame, by: Sequence[str], new_hire_days: int = 9
     })
 
 
+def attrition_monthly(fact: DataFrame, by: Sequence[str], new_hire_days: int = 90) -> DataFrame:
+    """Separations by kind, early exits, mean of opening and closing head count, and rates per month and segment."""
+    return attrition_from_sums(partial_sums(fact, attrition_rollup(by, new_hire_days)), by)
+
+
 def source_quality_quarterly(hires: DataFrame, by: Sequence[str], weights: Sequence[float] = (0.35, 0.35, 0.30)) -> DataFrame:
     """Hires, days to fill, offer acceptance, 12-month retention and quality per quarter and channel.
 
@@ -210,23 +233,36 @@ def adjusted_pay_gap(employee: DataFrame, by: Sequence[str], covariates: Mapping
     )
 
 
+def training_rollup(by: Sequence[str]) -> Rollup:
+    """Additive sums of training_compliance; the first of `by` is the month."""
+    done, must = F.col("completion_flag"), F.col("is_mandatory_flag")
+    flag = lambda c: one(c)
+    return Rollup(tuple(by), {
+        "n_done": flag(done), "n_done_must": flag(done & must), "n_must": flag(must), "n_overdue": flag(F.col("is_overdue_flag")),
+        "score": F.when(done, F.col("assessment_score").cast("decimal(10,4)")), "n_score": flag(done & F.col("assessment_score").isNotNull()),
+        "hours_done": F.when(done, F.col("hours").cast("decimal(18,2)")), "n_hours": flag(done & F.col("hours").isNotNull()),
+        "cost_all": F.col("cost").cast("decimal(18,2)"), "n_cost": flag(F.col("cost").isNotNull()),
+    })
+
+
+def training_from_sums(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Enrolments, completions, compliance, scores, hours and cost from the sums of training_rollup."""
+    some = lambda name, n: round_half_up(F.when(F.col(n) > 0, F.col(name)).cast("double"))
+    return sums.select(
+        *by, F.col(ROWS).alias("total_enrollments"), F.col("n_done").alias("completions"), F.col("n_done_must").alias("mandatory_completions"),
+        F.col("n_must").alias("mandatory_total"), F.col("n_overdue").alias("overdue_count"),
+        round_half_up(safe_divide(F.col("n_done_must"), F.col("n_must")), 4).alias("compliance_rate"),
+        round_half_up(safe_divide(F.col("score"), F.col("n_score"))).alias("avg_assessment_score"),
+        some("hours_done", "n_hours").alias("total_hours_completed"), some("cost_all", "n_cost").alias("total_cost"),
+    )
+
+
 def training_compliance(training: DataFrame, by: Sequence[str]) -> DataFrame:
     """Enrolments, completions, mandatory compliance, overdue, scores, hours and cost.
 
     training: completion_flag, is_mandatory_flag, is_overdue_flag, assessment_score, hours, cost.
     """
-    done, must = F.col("completion_flag"), F.col("is_mandatory_flag")
-    return training.groupBy(*by).agg(
-        n_rows().alias("total_enrollments"),
-        count_if(done).alias("completions"),
-        count_if(done & must).alias("mandatory_completions"),
-        count_if(must).alias("mandatory_total"),
-        count_if(F.col("is_overdue_flag")).alias("overdue_count"),
-        round_half_up(safe_divide(count_if(done & must), count_if(must)), 4).alias("compliance_rate"),
-        round_half_up(mean(F.col("assessment_score").cast("decimal(10,4)"), done)).alias("avg_assessment_score"),
-        round_half_up(F.sum(F.when(done, F.col("hours").cast("decimal(18,2)"))).cast("double")).alias("total_hours_completed"),
-        round_half_up(F.sum(F.col("cost").cast("decimal(18,2)")).cast("double")).alias("total_cost"),
-    )
+    return training_from_sums(partial_sums(training, training_rollup(by)), by)
 
 
 def funnel_metrics(stages: DataFrame, candidate: str, stage: str, entered: str, order: Sequence[str], first_stage: str) -> DataFrame:

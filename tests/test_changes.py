@@ -314,3 +314,21 @@ def test_a_late_snapshot_splits_versions(spark):
     jan, feb, mar = day(2024, 1, 1), day(2024, 2, 1), day(2024, 3, 1)
     assert got == {(1, 10, 1, jan, feb, False), (1, 15, 2, feb, mar, False), (1, 10, 3, mar, None, True), (2, 20, 1, jan, feb, False), (2, 25, 2, feb, mar, False), (2, 21, 3, mar, None, True),
                    (3, 30, 1, jan, mar, False), (4, 45, 1, feb, mar, False), (4, 40, 2, mar, None, True), (5, 50, 1, feb, mar, False)}
+
+
+def test_rollup_rewrites_touched_months_once(spark):
+    from rosterlens.plans import rollups
+
+    path = scratch_path(spark, "rollup")
+    schema = "month int, seg string, pay double, sign int"
+    rollup = rollups.Rollup(("month", "seg"), {"pay": F.col("pay"), "n_pay": F.col("pay").isNotNull().cast("int")})
+    first = spark.createDataFrame([(1, "a", 1.5, 1), (1, "b", 2.0, 1), (2, "a", None, 1), (3, None, 4.0, 1)], schema)
+    assert rollups.add_load(spark, path, rollup, first, 1, "sign") == [1, 2, 3]
+    before = files_of(path)
+    delta = spark.createDataFrame([(1, "b", 2.0, -1), (1, "a", 0.25, 1), (3, None, 1.0, 1), (4, "c", 9.0, 1)], schema)
+    assert rollups.add_load(spark, path, rollup, delta, 2, "sign") == [1, 3, 4]
+    assert rollups.add_load(spark, path, rollup, delta, 2, "sign") == []
+    after = files_of(path)
+    assert [f for f in before if f in after] == [f for f in before if f.startswith("month=2/")] and all(after[f] == before[f] for f in before if f in after)
+    got = {(r.month, r.seg): (r.row_count, float(r.pay), r.n_pay) for r in rollups.read_rollup(spark, path, rollup, first).collect()}
+    assert got == {(1, "a"): (2, 1.75, 2), (2, "a"): (1, 0.0, 0), (3, None): (2, 5.0, 2), (4, "c"): (1, 9.0, 1)}
