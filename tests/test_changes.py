@@ -332,3 +332,36 @@ def test_rollup_rewrites_touched_months_once(spark):
     assert [f for f in before if f in after] == [f for f in before if f.startswith("month=2/")] and all(after[f] == before[f] for f in before if f in after)
     got = {(r.month, r.seg): (r.row_count, float(r.pay), r.n_pay) for r in rollups.read_rollup(spark, path, rollup, first).collect()}
     assert got == {(1, "a"): (2, 1.75, 2), (2, "a"): (1, 0.0, 0), (3, None): (2, 5.0, 2), (4, "c"): (1, 9.0, 1)}
+
+
+def test_keyed_change_log_out_of_order_and_in_proportion(spark):
+    folder, log, checkpoint = (scratch_path(spark, n) for n in ("in", "log", "cp"))
+    schema = "k int, at long, n long, note string, pay int"
+
+    def deliver(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        stream = incremental.file_stream(spark, folder, schema)
+        incremental.load_available(incremental.keyed_change_log(stream, "k", ["at", "n"], ["note", "pay"]), log, checkpoint)
+        states = pathlib.Path(checkpoint.removeprefix("file:")).joinpath("state").rglob("*.delta")
+        return sum(f.stat().st_size for f in states), as_set(spark.read.schema("k int, changed_column string, old_value string, new_value string").parquet(log), "k", "changed_column", "old_value", "new_value")
+
+    first, logged = deliver([(k, 10, k, "a" * 40, 1) for k in range(4000)])
+    assert logged == set()
+    second, logged = deliver([(1, 9, 1, "late", 9), (2, 11, 0, "b", 1), (2, 12, 0, "c", None), (3, 10, 3, "tie", 5), (4, 10, 5, "a" * 40, 2), (9000, 1, 1, "x", 1)])
+    assert logged == {(2, "note", "a" * 40, "c"), (2, "pay", "1", None), (4, "pay", "1", "2")}
+    assert second - first < 0.2 * first
+    third, again = deliver([(2, 11, 5, "older", 3), (2, 13, 0, "c", 7)])
+    assert again - logged == {(2, "pay", None, "7")}
+
+
+def test_late_rows_reach_the_side_table_and_their_windows(spark):
+    out = scratch_path(spark, "late")
+    handler = incremental.counts_with_late_rows(out, "ts", ["g"])
+    stamp = lambda *days: spark.createDataFrame([(f"2024-01-{d:02} 12:00:00", "a") for d in days], "ts string, g string").withColumn("ts", F.col("ts").cast("timestamp"))
+    handler(stamp(1, 1, 2), 0)
+    handler(stamp(1, 5), 1)  # half a day behind the mark of 1 January 12:00 is not late
+    handler(stamp(1, 3, 6), 2)
+    handler(stamp(1, 3, 6), 2)  # a replay
+    got = {(r.start.day, r.n, r.n_late) for r in incremental.read_counts(spark, out, ["g"]).collect()}
+    assert got == {(1, 4, 1), (2, 1, 0), (3, 1, 1), (5, 1, 0), (6, 1, 0)}
+    assert sorted(r.ts.day for r in spark.read.parquet(f"{out}/late").collect()) == [1, 3]
