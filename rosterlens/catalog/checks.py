@@ -30,21 +30,28 @@ def row_counts(t):
     return quality.row_counts(tables, {"region": 5, "nation": 25, "orders": 10_000, "customer": 1500})
 
 
+# Employees of a manager, a level and an order that do not exist are added to the given ones.
+STRAYS = """staffed AS (SELECT employee_id, manager_id, job_level FROM employee
+ UNION ALL SELECT -1 - employee_id, -2 - employee_id, 'L0' FROM employee WHERE performance_rating = 1)"""
 ORPHANS = """SELECT 'orphaned_manager' AS check_name, CAST(count(*) AS DOUBLE) AS value, '0' AS expected, count(*) = 0 AS passed
- FROM employee WHERE manager_id IS NOT NULL AND manager_id NOT IN (SELECT employee_id FROM employee WHERE employee_id % 50 <> 7)
-UNION ALL SELECT 'orphaned_level', CAST(count(*) AS DOUBLE), '0', count(*) = 0 FROM employee WHERE job_level NOT IN (SELECT job_level FROM levels WHERE job_level <> 'L6')
-UNION ALL SELECT 'orphaned_order', CAST(count(*) AS DOUBLE), '0', count(*) = 0 FROM employee WHERE employee_id NOT IN (SELECT l_orderkey FROM lineitem)
-UNION ALL SELECT 'self_managing_employee', CAST(count(*) AS DOUBLE), '0', count(*) = 0 FROM employee WHERE employee_id = manager_id"""
+ FROM staffed WHERE manager_id IS NOT NULL AND manager_id NOT IN (SELECT employee_id FROM staffed)
+UNION ALL SELECT 'orphaned_level', CAST(count(*) AS DOUBLE), '0', count(*) = 0 FROM staffed WHERE job_level NOT IN (SELECT job_level FROM levels)
+UNION ALL SELECT 'orphaned_order', CAST(count(*) AS DOUBLE), '0', count(*) = 0 FROM staffed WHERE employee_id NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'self_managing_employee', CAST(count(*) AS DOUBLE), '0', count(*) = 0 FROM staffed WHERE employee_id = manager_id"""
 
 
-@query("c02_orphans", emp(ORPHANS, LEVELS))
+@query("c02_orphans", emp(ORPHANS, LEVELS, STRAYS))
 def orphans(t):
+    columns = ["employee_id", "manager_id", "job_level"]
+    key = F.col("employee_id")
+    strays = t.employee.where("performance_rating = 1").select((-1 - key).alias("employee_id"), (-2 - key).alias("manager_id"), F.lit("L0").alias("job_level"))
+    staffed = t.employee.select(*columns).unionByName(strays)
     references = {
-        "orphaned_manager": ("manager_id", t.employee.where("employee_id % 50 <> 7"), "employee_id"),
-        "orphaned_level": ("job_level", t.job_levels.where("job_level <> 'L6'"), "job_level"),
+        "orphaned_manager": ("manager_id", staffed, "employee_id"),
+        "orphaned_level": ("job_level", t.job_levels, "job_level"),
         "orphaned_order": ("employee_id", t.lineitem.select("l_orderkey"), "l_orderkey"),
     }
-    return quality.orphans(t.employee, references, ("employee_id", "manager_id"))
+    return quality.orphans(staffed, references, ("employee_id", "manager_id"))
 
 
 @query("c03_completeness", emp(zeros({

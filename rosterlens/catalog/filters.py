@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from rosterlens.catalog.registry import query
 from rosterlens.catalog.sql import HIGH, LEFT, STAYED, emp
-from rosterlens.operators import filters
+from rosterlens.operators import filters, search
 from rosterlens.operators.grouping import having_min_team
+from rosterlens.session import scratch_path
 
 IDS = "SELECT employee_id, department, attrition FROM employee WHERE "
 COLUMNS = ("employee_id", "department", "attrition")
@@ -46,6 +47,14 @@ def name_search(t):
     return filters.name_search(t.employee, "employee_name", "P 12").select(*COLUMNS)
 
 
+@query("f05_name_search_by_index", emp("SELECT employee_id, employee_name FROM employee WHERE contains(lower(employee_name), 'p 12')"))
+def name_search_by_index(t):
+    """The rows of the scan, from trigram postings."""
+    path = scratch_path(t.spark, "names")
+    search.build_name_index(t.employee, "employee_id", "employee_name", path)
+    return search.indexed_name_search(t.spark, path, "employee_id", "employee_name", "P 12")
+
+
 @query("f06_attrition_view_voluntary", emp(IDS + f"{LEFT} AND exit_reason IS NOT NULL AND exit_reason NOT IN ('N/A', '')"))
 def voluntary_view(t):
     return filters.attrition_view(t.employee, "voluntary").select(*COLUMNS)
@@ -117,3 +126,14 @@ def employee_search(t):
         {"engagement_score": (40, 90), "salary": (100_000, 400_000), "years_at_company": (0, 5)},
     )
     return found.withColumn("engagement_score", F.col("engagement_score").cast("double"))
+
+
+@query("f12_employee_search_by_index", emp("""SELECT employee_id, employee_name, department, salary FROM employee
+WHERE contains(lower(employee_name), 'mp 77') AND salary BETWEEN 100000 AND 400000"""))
+def employee_search_by_index(t):
+    """Names by the index first; the other conditions on the employees found."""
+    path = scratch_path(t.spark, "names")
+    search.build_name_index(t.employee, "employee_id", "employee_name", path)
+    found = search.indexed_name_search(t.spark, path, "employee_id", "employee_name", "MP 77").select("employee_id")
+    rows = filters.range_filter(t.employee.join(found, "employee_id", "left_semi"), "salary", 100_000, 400_000)
+    return rows.select("employee_id", "employee_name", "department", "salary")

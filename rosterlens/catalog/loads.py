@@ -468,6 +468,32 @@ def attrition_kept_up(t):
     return summaries.attrition_from_sums(kept_up(t, summaries.attrition_rollup(SEGMENT), *loads_of_fact(t)), SEGMENT)
 
 
+# Stand-ins for role and kind of employment.
+ROLES, KINDS = ("Analyst", "Engineer", "Consultant", "Specialist", "Coordinator"), ("Full-time", "Part-time", "Contract", "Intern")
+BY_ROLE = ["department", "job_role", "employment_type"]
+ROLE_SQL = f"{list(ROLES)}[CAST(employee_id * 3 % 5 AS INT) + 1] AS job_role, {list(KINDS)}[CAST(employee_id % 4 AS INT) + 1] AS employment_type"
+
+
+def with_roles(df):
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    return df.withColumns({"job_role": pick(ROLES, F.col("employee_id") * 3 % 5), "employment_type": pick(KINDS, F.col("employee_id") % 4)})
+
+
+def by_role(sql: str) -> str:
+    """The statement over rows with role and kind of employment instead of place and level."""
+    return sql.replace("department, location, job_level", ", ".join(BY_ROLE)).replace("FROM fact GROUP BY", f"FROM (SELECT *, {ROLE_SQL} FROM fact) GROUP BY")
+
+
+@query("l11_headcount_by_role", by_role(HEADCOUNT))
+def headcount_by_role(t):
+    return summaries.headcount_monthly(with_roles(snapshot_fact(t)), BY_ROLE)
+
+
+@query("l12_attrition_by_role", by_role(ATTRITION))
+def attrition_by_role(t):
+    return summaries.attrition_monthly(with_roles(snapshot_fact(t)), BY_ROLE)
+
+
 # --- event facts -----------------------------------------------------------------------
 
 HIRES = """hires AS (SELECT s.*, days_to_fill, o.o_orderstatus <> 'P' AS offer_accepted_flag, CAST(leave_count AS DOUBLE) AS interview_score
@@ -475,18 +501,32 @@ HIRES = """hires AS (SELECT s.*, days_to_fill, o.o_orderstatus <> 'P' AS offer_a
  LATERAL (SELECT shipped - CAST(o.o_orderdate AS DATE) AS days_to_fill))"""
 
 
-@query("l13_source_quality_quarterly", emp(f"""
+QUALITY = emp(f"""
 SELECT year(hire_date) || '-Q' || quarter(hire_date) AS quarter_key, recruitment_source, department, job_level, count(*) AS total_hires, {avg('days_to_fill')} AS avg_days_to_fill,
  round({ratio(cnt('offer_accepted_flag'), default=None)}, 4) AS offer_acceptance_rate, round(avg(interview_score), 2) AS avg_interview_score,
  round({ratio(cnt('kept'), default=None)}, 4) AS retention_12m_rate,
  round({avg('performance_rating', digits=None)} / 5 * 0.35::DOUBLE + {ratio(cnt('kept'), default=None)} * 0.35::DOUBLE + {avg('engagement_score', digits=None)} / 100 * 0.30::DOUBLE, 4) AS quality_of_hire_score
-FROM (SELECT *, termination_date IS NULL OR termination_date >= CAST(hire_date + INTERVAL 12 MONTH AS DATE) AS kept FROM hires JOIN sources USING (recruitment_source_id)) GROUP BY 1, 2, 3, 4""", STAFF, HIRES, SOURCES))
+FROM (SELECT *, termination_date IS NULL OR termination_date >= CAST(hire_date + INTERVAL 12 MONTH AS DATE) AS kept FROM hires JOIN sources USING (recruitment_source_id)) GROUP BY 1, 2, 3, 4""", STAFF, HIRES, SOURCES)
+
+
+@query("l13_source_quality_quarterly", QUALITY)
 def source_quality_quarterly(t):
+    return summaries.source_quality_quarterly(hired(t), ["recruitment_source", "department", "job_level"])
+
+
+@query("l13_source_quality_by_role", QUALITY.replace("recruitment_source, department, job_level, count(*)", "recruitment_source, job_role, count(*)").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3")
+       .replace("AS quality_of_hire_score", f"AS quality_of_hire_score, {avg('CAST(bonus + days_to_fill * 10 AS DECIMAL(18,2))')} AS cost_per_hire")
+       .replace("(SELECT *, termination_date", f"(SELECT *, {ROLE_SQL}, termination_date"))
+def source_quality_by_role(t):
+    rows = with_roles(hired(t)).withColumn("hire_cost", F.col("bonus") + F.col("days_to_fill") * 10)
+    return summaries.source_quality_quarterly(rows, ["recruitment_source", "job_role"])
+
+
+def hired(t):
     shipped = t.lineitem.groupBy(F.col("l_orderkey").alias("employee_id")).agg(F.min(F.col("l_shipdate").cast("date")).alias("shipped"))
     status = t.orders.select(F.col("o_orderkey").alias("employee_id"), (F.col("o_orderstatus") != "P").alias("offer_accepted_flag"))
     hires = staff(t).join(F.broadcast(t.recruitment_sources), "recruitment_source_id").join(status, "employee_id").join(shipped, "employee_id", "left")
-    hires = hires.withColumns({"days_to_fill": F.datediff("shipped", "hire_date"), "interview_score": F.col("leave_count").cast("double")})
-    return summaries.source_quality_quarterly(hires, ["recruitment_source", "department", "job_level"])
+    return hires.withColumns({"days_to_fill": F.datediff("shipped", "hire_date"), "interview_score": F.col("leave_count").cast("double")})
 
 
 EQUITY = """cells AS MATERIALIZED (SELECT department, coalesce(gender, 'Overall') AS gender_group, coalesce(region, 'Overall') AS ethnicity_group, count(*) AS n,
@@ -547,20 +587,28 @@ def training_compliance(t):
     return summaries.training_compliance(training_rows(t), ["date_key", "skill_domain", "department", "job_level"])
 
 
-def training_rows(t):
+def training_rows(t, *more):
     from rosterlens.functions.dates import date_key
 
     joined = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(
-        t.employee.select("employee_id", "department", "job_level"), F.col("l_orderkey") == F.col("employee_id")
+        t.employee.select(*dict.fromkeys(("employee_id", "department", "job_level", *more))), F.col("l_orderkey") == F.col("employee_id")
     )
     return joined.select(
         date_key(F.last_day(F.col("l_shipdate").cast("date"))).alias("date_key"), F.col("p_type").alias("skill_domain"), "department", "job_level",
         (F.col("l_linestatus") == "F").alias("completion_flag"), (F.col("l_linenumber") <= 3).alias("is_mandatory_flag"),
         (F.col("l_returnflag") == "R").alias("is_overdue_flag"), (F.lit(50) + F.col("l_discount") * 500).alias("assessment_score"),
-        F.col("l_quantity").alias("hours"), F.col("l_extendedprice").alias("cost"),
+        F.col("l_quantity").alias("hours"), F.col("l_extendedprice").alias("cost"), *more,
     )
 
 
+@query("l15_training_by_role", COMPLIANCE.replace("skill_domain, department, job_level, count(*)", "skill_domain, job_role, employment_type, count(*)").replace(
+    "AS total_cost FROM training", f"AS total_cost, {avg('CAST(satisfaction_score AS DECIMAL(10,4))')} AS avg_satisfaction_score FROM (SELECT *, {ROLE_SQL} FROM training)")
+       .replace("department, job_level, l_linestatus", "employee_id, satisfaction_score, department, job_level, l_linestatus"))
+def training_by_role(t):
+    rows = with_roles(training_rows(t, "employee_id", "satisfaction_score"))
+    return summaries.training_compliance(rows, ["date_key", "skill_domain", "job_role", "employment_type"])
+
+
 @query("l15_training_kept_up", COMPLIANCE)
 def training_kept_up(t):
     by = ["date_key", "skill_domain", "department", "job_level"]
@@ -701,3 +749,16 @@ def performance_metrics(t):
         "employee_id", F.concat(F.lit("Annual-"), F.year("hire_date").cast("string")).alias("cycle"), "department", "performance_rating"
     )
     return summaries.performance_metrics(reviews, "cycle", "performance_rating", "department")
+
+
+@query("l22_goal_achievement", emp("""
+SELECT employee_id, cycle, department, performance_rating, promotions, leave_count, CASE WHEN hi > lo THEN round(CAST(performance_rating - lo AS DOUBLE) / (hi - lo), 4) ELSE 0 END AS rating_normalized,
+ round(CAST(performance_rating AS DOUBLE) - m, 4) AS calibration_delta, performance_rating = 1 AS pip_flag, round(100e0 * promotions / nullif(leave_count, 0), 2) AS goal_achievement_pct
+FROM (SELECT *, min(performance_rating) OVER (PARTITION BY cycle) AS lo, max(performance_rating) OVER (PARTITION BY cycle) AS hi,
+ CAST(sum(performance_rating) OVER (PARTITION BY cycle, department) AS DOUBLE) / count(*) OVER (PARTITION BY cycle, department) AS m
+ FROM (SELECT employee_id, CASE WHEN performance_rating <> 3 THEN 'Annual-' || year(hire_date) END AS cycle, department, performance_rating, promotions, leave_count FROM employee))"""))
+def goal_achievement(t):
+    """Metrics with goals met and set; reviews of no cycle stand as a cycle of their own."""
+    cycle = F.when(F.col("performance_rating") != 3, F.concat(F.lit("Annual-"), F.year("hire_date").cast("string")))
+    reviews = t.employee.select("employee_id", cycle.alias("cycle"), "department", "performance_rating", "promotions", "leave_count")
+    return summaries.performance_metrics(reviews, "cycle", "performance_rating", "department", ("promotions", "leave_count"))

@@ -20,8 +20,14 @@ CTES = (SOURCES, COMPA, BASE)
 
 
 def measured(t):
-    """Employees with source name, level median and the unrounded compa-ratio."""
-    return compa_ratio_level_median(t.employee_with_source, name="compa_ratio_raw", digits=None)
+    """Employees with source name, share of full time, level median and the unrounded compa-ratio."""
+    return compa_ratio_level_median(staffed(t), name="compa_ratio_raw", digits=None)
+
+
+def staffed(t):
+    """Employees with source name and share of full time (null: full time)."""
+    fte = F.when(F.col("employee_id") % 4 == 0, F.lit(0.5)).when(F.col("employee_id") % 4 == 1, F.lit(1.0))
+    return t.employee_with_source.withColumn("fte_value", fte)
 
 
 def r6(cond: str, among: str | None = None) -> str:
@@ -49,7 +55,7 @@ DIVERSITY = " + ".join(
 SQL: dict[str, dict[str, str]] = {
     "headcount": {
         "total_employees": "count(*)", "active_employees": cnt(STAYED), "attrited_employees": cnt(LEFT),
-        "total_fte": "round(sum(CASE WHEN work_mode = 'Part-Time' THEN 0.5::DOUBLE ELSE 1e0 END), 1)",
+        "total_fte": "round(sum(CASE WHEN employee_id % 4 = 0 THEN 0.5::DOUBLE ELSE 1e0 END), 1)",
         "headcount_male": cnt(MALE), "headcount_female": cnt(FEMALE), "headcount_pct_female": r6(FEMALE),
     },
     "attrition": {
@@ -144,7 +150,7 @@ for _section, _measures in SQL.items():
 
     def _build(t, section=_section, by=_by):
         where = F.col("manager_id").isNotNull() if by == "manager_id" else None
-        source = measured(t) if section == "compensation" else t.employee_with_source
+        source = measured(t) if section == "compensation" else staffed(t)
         return catalogue.evaluate(source, catalogue.section(section), [by], where)
 
     query(f"{KEYS[_section]}_{_section}_by_{_by.split('_')[0]}", emp(f"SELECT {_by}, {_columns} FROM ms {_where} GROUP BY {_by}", *CTES))(_build)

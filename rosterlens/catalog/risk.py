@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -150,3 +151,39 @@ def drivers_per_employee(t):
 def importance_per_feature(t):
     model, scored = trained(t)
     return risk.feature_importance(model, scored).select("feature", (F.col("mean_abs_contribution") >= 0).alias("not_negative"))
+
+
+def telling(t):
+    """Employees whose exit depends on engagement and level, but for a part that no feature tells."""
+    chance = F.pmod(F.xxhash64(F.lit("exit"), "employee_id"), F.lit(100))
+    leaves = F.col("engagement_score") + F.when(F.col("job_level") == "L2", 0).otherwise(10) + chance / 3 < 62
+    return risk.with_label(t.employee.withColumn("attrition", F.when(leaves, "Yes").otherwise("No")))
+
+
+@query("m02_models_find_a_signal", """SELECT model, true AS better_than_chance, true AS lifts, true AS agrees FROM (VALUES ('Logistic Regression'), ('Random Forest'),
+ ('Gradient Boosting (default)'), ('Gradient Boosting (tuned)')) m(model)""")
+def models_find_a_signal(t):
+    """Where exits depend on the features, every model beats chance and its top tenth the base rate; lift is precision over base rate."""
+    train, test = risk.split_by_key(telling(t))
+    agrees = F.abs(F.col("lift") - F.col("precision_at_k") / F.col("base_rate")) < 0.001
+    return risk.train_compare(train, test).select("model", (F.col("auc") > 0.5).alias("better_than_chance"), (F.col("lift") > 1).alias("lifts"), agrees.alias("agrees"))
+
+
+def forest_importance(t):
+    train, test = risk.split_by_key(telling(t))
+    prepared = risk.features().fit(train)
+    columns = ["employee_id", risk.LABEL, "features"]
+    forest = RandomForestClassifier(labelCol=risk.LABEL, numTrees=20, maxDepth=5, seed=7).fit(prepared.transform(train).select(*columns))
+    return forest, prepared.transform(test).select(*columns)
+
+
+@query("m06_permutation_importance", "SELECT feature, true AS not_negative, feature = 'engagement_score' AS leads, true AS same_again FROM (VALUES "
+       + ", ".join(f"('{n}')" for n in risk.feature_names()) + ") f(feature)")
+def permutation_importance(t):
+    """Importance of the features of a forest: never negative, engagement first, the same on another dealing of the rows."""
+    forest, rows = forest_importance(t)
+    one = risk.permutation_importance(forest, rows, risk.feature_names())
+    again = risk.permutation_importance(forest, rows.repartition(5), risk.feature_names()).select("feature", F.col("mean_abs_change").alias("other"))
+    top = one.agg(F.max_by("feature", "mean_abs_change")).first()[0]
+    return one.join(again, "feature").select("feature", (F.col("mean_abs_change") >= 0).alias("not_negative"), (F.col("feature") == top).alias("leads"),
+                                             (F.abs(F.col("mean_abs_change") - F.col("other")) < 2e-6).alias("same_again"))

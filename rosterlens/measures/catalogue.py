@@ -72,7 +72,7 @@ def share(cond: Column, among: Column | None = None) -> Column:
 _add("headcount", "total_employees", n_rows)
 _add("headcount", "active_employees", lambda: count_if(scores.is_active()))
 _add("headcount", "attrited_employees", lambda: count_if(scores.is_attrited()))
-_add("headcount", "total_fte", lambda: F.sum(F.when(_c("work_mode") == "Part-Time", 0.5).otherwise(1.0)), digits=1)
+_add("headcount", "total_fte", lambda: F.sum(F.coalesce(_c("fte_value"), F.lit(1.0)).cast("decimal(14,4)")).cast("double"), digits=1)
 _add("headcount", "headcount_male", lambda: count_if(_male()))
 _add("headcount", "headcount_female", lambda: count_if(_female()))
 _add("headcount", "headcount_pct_female", lambda: share(_female()), digits=6)

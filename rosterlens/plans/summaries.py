@@ -81,8 +81,9 @@ def source_quality_quarterly(hires: DataFrame, by: Sequence[str], weights: Seque
     """Hires, days to fill, offer acceptance, 12-month retention and quality per quarter and channel.
 
     hires: hire_date, termination_date, days_to_fill, offer_accepted_flag, interview_score,
-    performance_rating, engagement_score and the channel columns.
+    performance_rating, engagement_score and the channel columns; with hire_cost also the cost per hire.
     """
+    cost = {"hire_cost": round_half_up(mean(F.col("hire_cost").cast("decimal(18,2)"))).alias("cost_per_hire")} if "hire_cost" in hires.columns else {}
     kept = F.col("termination_date").isNull() | (F.col("termination_date") >= F.add_months("hire_date", 12))
     quarter = F.concat(F.year("hire_date").cast("string"), F.lit("-Q"), F.quarter("hire_date").cast("string"))
     perf_w, keep_w, eng_w = weights
@@ -96,6 +97,7 @@ def source_quality_quarterly(hires: DataFrame, by: Sequence[str], weights: Seque
         round_half_up(
             mean("performance_rating") / 5 * perf_w + retention * keep_w + mean("engagement_score") / 100 * eng_w, 4
         ).alias("quality_of_hire_score"),
+        *cost.values(),
     )
 
 
@@ -233,7 +235,7 @@ def adjusted_pay_gap(employee: DataFrame, by: Sequence[str], covariates: Mapping
     )
 
 
-def training_rollup(by: Sequence[str]) -> Rollup:
+def training_rollup(by: Sequence[str], satisfaction: bool = False) -> Rollup:
     """Additive sums of training_compliance; the first of `by` is the month."""
     done, must = F.col("completion_flag"), F.col("is_mandatory_flag")
     flag = lambda c: one(c)
@@ -242,6 +244,7 @@ def training_rollup(by: Sequence[str]) -> Rollup:
         "score": F.when(done, F.col("assessment_score").cast("decimal(10,4)")), "n_score": flag(done & F.col("assessment_score").isNotNull()),
         "hours_done": F.when(done, F.col("hours").cast("decimal(18,2)")), "n_hours": flag(done & F.col("hours").isNotNull()),
         "cost_all": F.col("cost").cast("decimal(18,2)"), "n_cost": flag(F.col("cost").isNotNull()),
+        **({"content": F.col("satisfaction_score").cast("decimal(10,4)"), "n_content": flag(F.col("satisfaction_score").isNotNull())} if satisfaction else {}),
     })
 
 
@@ -254,15 +257,16 @@ def training_from_sums(sums: DataFrame, by: Sequence[str]) -> DataFrame:
         round_half_up(safe_divide(F.col("n_done_must"), F.col("n_must")), 4).alias("compliance_rate"),
         round_half_up(safe_divide(F.col("score"), F.col("n_score"))).alias("avg_assessment_score"),
         some("hours_done", "n_hours").alias("total_hours_completed"), some("cost_all", "n_cost").alias("total_cost"),
+        *([round_half_up(safe_divide(F.col("content"), F.col("n_content"))).alias("avg_satisfaction_score")] if "content" in sums.columns else []),
     )
 
 
 def training_compliance(training: DataFrame, by: Sequence[str]) -> DataFrame:
     """Enrolments, completions, mandatory compliance, overdue, scores, hours and cost.
 
-    training: completion_flag, is_mandatory_flag, is_overdue_flag, assessment_score, hours, cost.
+    training: completion_flag, is_mandatory_flag, is_overdue_flag, assessment_score, hours, cost; with satisfaction_score also its mean.
     """
-    return training_from_sums(partial_sums(training, training_rollup(by)), by)
+    return training_from_sums(partial_sums(training, training_rollup(by, "satisfaction_score" in training.columns)), by)
 
 
 def funnel_metrics(stages: DataFrame, candidate: str, stage: str, entered: str, order: Sequence[str], first_stage: str) -> DataFrame:
@@ -418,11 +422,13 @@ def manager_versions(monthly: DataFrame, columns: Sequence[str] = ("team_size",
     return out.withColumnsRenamed({"effective_start": "effective_start_date", "effective_end": "effective_end_date"})
 
 
-def performance_metrics(reviews: DataFrame, cycle: str, rating: str, group: str) -> DataFrame:
+def performance_metrics(reviews: DataFrame, cycle: str, rating: str, group: str, goals: tuple[str, str] | None = None) -> DataFrame:
     """Rating scaled to 0-1 within its cycle, distance from the cycle x group mean, and the improvement-plan flag.
 
-    Cycle statistics are one row per cycle and group; null cycles and groups are groups.
+    Cycle statistics are one row per cycle and group; null cycles and groups are groups. `goals` names the columns with the goals
+    met and set, for goal_achievement_pct.
     """
+    achieved = [] if goals is None else [pct(F.col(goals[0]), F.col(goals[1])).alias("goal_achievement_pct")]
     cells = reviews.groupBy(cycle, group).agg(
         mean(rating).alias("__mean"), F.min(rating).alias("__lo"), F.max(rating).alias("__hi")
     )
@@ -436,4 +442,5 @@ def performance_metrics(reviews: DataFrame, cycle: str, rating: str, group: str)
         ).alias("rating_normalized"),
         round_half_up(F.col(rating).cast("double") - F.col("__mean"), 4).alias("calibration_delta"),
         (F.col(rating) == 1).alias("pip_flag"),
+        *achieved,
     )
