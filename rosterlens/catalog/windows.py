@@ -56,11 +56,8 @@ SELECT {', '.join(NTILE_COLUMNS)}, ntile(4) OVER (ORDER BY engagement_score, emp
  ntile(4) OVER (ORDER BY salary, employee_id) AS salary_quartile,
  ntile(10) OVER (ORDER BY engagement_score, employee_id) AS engagement_decile FROM employee"""))
 def ntile_buckets(t):
-    df = written_table(t.employee.select(*NTILE_COLUMNS, "engagement_score"), "ntile-rows")
-    engaged = ranking.global_ntile(
-        df, "engagement_score", {"engagement_quartile": 4, "engagement_decile": 10}, "employee_id"
-    )
-    return ranking.global_ntile(engaged, "salary", {"salary_quartile": 4}, "employee_id", source=df).drop("engagement_score")
+    tiles = {"engagement_quartile": ("engagement_score", 4), "engagement_decile": ("engagement_score", 10), "salary_quartile": ("salary", 4)}
+    return ranking.ordered_tiles(t.employee.select(*NTILE_COLUMNS, "engagement_score"), tiles, "employee_id").drop("engagement_score")
 
 
 @query("w05_source_rank", emp(f"""

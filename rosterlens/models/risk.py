@@ -135,7 +135,7 @@ def risk_tiers(scored: DataFrame, quantiles: Sequence[float] = TIER_QUANTILES, s
     Scores have two decimals, so the quantiles run over at most 10,001 distinct values; the
     three thresholds enter as one-row subqueries.
     """
-    edges = exact_quantiles(scored, [], score, {f"e{i}": q for i, q in enumerate(quantiles)})
+    edges = exact_quantiles(scored, [], score, {f"e{i}": q for i, q in enumerate(quantiles)}, distributed=False)
     low, medium, high, critical = bands.RISK_TIERS
     e0, e1, e2 = (edges.select(f"e{i}").scalar() for i in range(3))
     value = F.col(score)

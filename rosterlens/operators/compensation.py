@@ -9,26 +9,23 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions import bands, scores
 from rosterlens.functions.numeric import count_if, mean, n_rows, pct, round_half_up, safe_divide
-from rosterlens.operators.grouping import _FREQ, exact_quantiles, share_of_total, value_counts_by
-from rosterlens.operators.ranking import percent_rank, position_lookup, rank_desc, same_keys
+from rosterlens.operators.grouping import quantiles_of_positions, share_of_total, view_quantiles
+from rosterlens.operators.ranking import percent_rank, rank_desc, same_keys, stacked_positions, value_positions, view_lookup
 from rosterlens.operators.workforce import pay_gap_pct
-from rosterlens.session import cut_lineage, written_table
-
 
 
 def pay_equity_by_level_gender(employee: DataFrame) -> DataFrame:
     """Level x gender: count, mean, median against the level median.
 
-    Both medians come from one table of (level, gender, salary) counts.
+    Counts, means and both medians come from the value positions of two views of the rows.
     """
-    counts = cut_lineage(value_counts_by(employee, ["job_level", "gender"], "salary"))
-    n = F.col(_FREQ)
-    level = counts.groupBy("job_level").agg(F.percentile("salary", F.lit(0.5), n).alias("level_median"))
-    cell = counts.groupBy("job_level", "gender").agg(
-        F.sum(n).alias("employee_count"),
-        round_half_up(safe_divide(F.sum(F.col("salary") * n), F.sum(n))).alias("avg_salary"),
-        F.percentile("salary", F.lit(0.5), n).alias("gender_median"),
-    )
+    paid = employee.where(F.col("salary").isNotNull()).select("job_level", "gender", "salary")
+    positions = stacked_positions(paid, {"level": (["job_level"], "salary"), "cell": (["job_level", "gender"], "salary")})
+    n = F.col("ties")
+    level = view_quantiles(positions, "level", ["job_level"], {"level_median": 0.5})
+    cell = view_quantiles(positions, "cell", ["job_level", "gender"], {"gender_median": 0.5}, {
+        "employee_count": F.sum(n), "avg_salary": round_half_up(safe_divide(F.sum(F.col("value") * n), F.sum(n))),
+    }).select("job_level", "gender", "employee_count", "avg_salary", "gender_median")
     gap = F.col("gender_median") - F.col("level_median")
     return cell.join(level, "job_level").select(
         "*",
@@ -38,18 +35,13 @@ def pay_equity_by_level_gender(employee: DataFrame) -> DataFrame:
 
 
 def box_plot(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float] = (0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
-    """Count, min, quantiles, mean and max per group from value frequencies."""
-    counts = value_counts_by(df, by, value)
-    n = F.col(_FREQ)
-    g = counts.groupBy(*by).agg(
-        F.sum(n).alias("n"),
-        F.min(value).cast("double").alias("min"),
-        F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), n).alias("__q"),
-        safe_divide(F.sum(F.col(value) * n), F.sum(n)).alias("__mean"),
-        F.max(value).cast("double").alias("max"),
-    )
-    quantiles = [round_half_up(F.col("__q")[i]).alias(f"p{round(p * 100)}") for i, p in enumerate(probs)]
-    return g.select(*by, "n", "min", *quantiles, round_half_up("__mean").alias("mean"), "max")
+    """Count, min, quantiles, mean and max per group from value positions."""
+    n = F.col("ties")
+    names = [f"p{round(p * 100)}" for p in probs]
+    g = quantiles_of_positions(value_positions(df.where(F.col(value).isNotNull()), by, value), by, value, dict(zip(names, probs)), {
+        "n": F.sum(n), "min": F.min(value).cast("double"), "mean": safe_divide(F.sum(F.col(value) * n), F.sum(n)), "max": F.max(value).cast("double"),
+    })
+    return g.select(*by, "n", "min", *[round_half_up(c).alias(c) for c in names], round_half_up("mean").alias("mean"), "max")
 
 
 def salary_box_plot(employee: DataFrame, levels: DataFrame) -> DataFrame:
@@ -150,18 +142,17 @@ def correlation_and_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def salary_position(employee: DataFrame, levels: DataFrame) -> DataFrame:
     """Percent rank and median distance in the level, rank in department x level, band compa-ratio."""
-    rows = written_table(
-        with_band_compa(employee, levels, "__compa").select(
-            "employee_id", "employee_name", "department", "job_level", "level_name", "gender", "salary", "band_min", "band_max",
-            "__compa",
-        ),
-        "salary-position",
+    rows = with_band_compa(employee, levels, "__compa").select(
+        "employee_id", "employee_name", "department", "job_level", "level_name", "gender", "salary", "band_min", "band_max", "__compa",
     )
-    in_level = position_lookup(rows, ["job_level"], "salary", {"__pr": percent_rank()})
-    medians = exact_quantiles(rows, ["job_level"], "salary", {"level_median": 0.5})
-    in_team = position_lookup(rows, ["department", "job_level"], "salary", {"salary_rank_in_dept_level": rank_desc()})
-    placed = same_keys(same_keys(rows, in_level, ["job_level", "salary"]), in_team, ["department", "job_level", "salary"])
-    return same_keys(placed, medians, ["job_level"]).select(
+    # Both views and the median are read off one range pass; the rows themselves are not moved or written.
+    positions = stacked_positions(rows.select("department", "job_level", "salary"), {
+        "level": (["job_level"], "salary"), "team": (["department", "job_level"], "salary"),
+    })
+    medians = view_quantiles(positions.where("value IS NOT NULL"), "level", ["job_level"], {"level_median": 0.5})
+    placed = view_lookup(rows, positions, "level", ["job_level"], "salary", {"__pr": percent_rank()})
+    placed = view_lookup(placed, positions, "team", ["department", "job_level"], "salary", {"salary_rank_in_dept_level": rank_desc()})
+    return same_keys(placed, medians, ["job_level"], "left").select(
         "employee_id", "employee_name", "department", "job_level", "level_name", "gender", "salary", "band_min", "band_max",
         round_half_up(F.lit(100.0) * F.col("__pr"), 1).alias("salary_percentile_in_level"),
         round_half_up("__compa", 4).alias("compa_ratio"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions.numeric import count_if, round_half_up, safe_divide
-from rosterlens.operators.ranking import same_keys, value_positions
+from rosterlens.operators.ranking import running_total, same_keys, value_positions
 
 _FREQ = "__n"
 
@@ -22,14 +22,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
                     distributed: bool | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, one column per name in `probs`.
 
-    Whole numbers and decimals of the model have a limited range (pay in dollars, scores with
-    two decimals), so counting distinct values first keeps the final quantile step small.
-    Floating-point measures can have as many values as rows; for those (or with
-    distributed=True) the quantiles are read off the positions of a bucketed running total.
+    The quantiles are read off the positions of a running total over value ranges, so no task holds the values of a
+    whole group. distributed=False takes them from value frequencies in one buffer, for columns with a fixed and small number of values.
     """
-    if distributed is None:
-        distributed = df.schema[value].dataType.typeName() in ("double", "float")
-    if distributed:
+    if distributed is not False:
         return _quantiles_by_position(df, by, value, probs)
     counts = value_counts_by(df, by, value)
     return counts.groupBy(*by).agg(
@@ -38,7 +34,17 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
 
 
 def _quantiles_by_position(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    placed = value_positions(df.where(F.col(value).isNotNull()), by, value)
+    return quantiles_of_positions(value_positions(df.where(F.col(value).isNotNull()), by, value), by, value, probs)
+
+
+def view_quantiles(positions: DataFrame, view: str, by: Sequence[str], probs: Mapping[str, float], more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Exact quantiles of one view of ranking.stacked_positions (no null values in it), and aggregates over value and ties."""
+    mine = positions.where(F.col("view") == view).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(by)], "value", "ties", "before", "total")
+    return quantiles_of_positions(mine, by, "value", probs, more)
+
+
+def quantiles_of_positions(placed: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Interpolated quantiles per group from value positions, plus the aggregates `more`."""
     number = F.col(value).cast("double")
 
     def at(index: Column) -> Column:
@@ -52,25 +58,26 @@ def _quantiles_by_position(df: DataFrame, by: Sequence[str], value: str, probs:
                        F.max(spot - F.floor(spot)).alias(f"__part{i}")]
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         result[name] = low + (high - low) * F.col(f"__part{i}")
-    return placed.groupBy(*by).agg(*aggregates).select(*by, *[c.alias(name) for name, c in result.items()])
+    more = more or {}
+    grouped = placed.groupBy(*by).agg(*aggregates, *[c.alias(name) for name, c in more.items()])
+    return grouped.select(*by, *[c.alias(name) for name, c in result.items()], *more)
 
 
 def grouped_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, Column], quantile_of: str | None = None,
                  probs: Mapping[str, float] | None = None) -> DataFrame:
     """Sums per group plus, in the same pass over the rows, exact quantiles of one measure.
 
-    Level one sums per (group, value); level two adds those up and takes the quantiles from
-    the value frequencies. The input is scanned once.
+    Level one sums per (group, value); level two adds those up and reads the quantiles off the
+    positions of the values. The input is scanned once.
     """
     if quantile_of is None:
         return df.groupBy(*by).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     first = df.groupBy(*by, quantile_of).agg(
         F.count(F.lit(1)).alias(_FREQ), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
-    return first.groupBy(*by).agg(
-        *[F.sum(name).alias(name) for name in sums],
-        *[F.percentile(quantile_of, F.lit(float(p)), F.col(_FREQ)).alias(n) for n, p in (probs or {}).items()],
-    )
+    first = first.withColumn("ties", F.when(F.col(quantile_of).isNotNull(), F.col(_FREQ)).otherwise(0))
+    placed = running_total(first, by, quantile_of, "ties")
+    return quantiles_of_positions(placed, by, quantile_of, probs or {}, {name: F.sum(name) for name in sums}).select(*by, *sums, *(probs or {}))
 
 
 def one(cond: Column) -> Column:

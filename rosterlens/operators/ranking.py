@@ -71,6 +71,38 @@ def position_lookup(df: DataFrame, keys: Sequence[str], value: str, outputs: Map
     return value_positions(df, keys, value).select(*keys, value, *[c.alias(n) for n, c in outputs.items()])
 
 
+def _common(df: DataFrame, values: Sequence[str]) -> str:
+    """One type that holds the values of all columns and orders them as their own types do."""
+    floating = any(df.schema[v].dataType.typeName() in ("double", "float") for v in values)
+    return "double" if floating else "decimal(30,8)"
+
+
+def stacked_positions(df: DataFrame, views: Mapping[str, tuple[Sequence[str], str]]) -> DataFrame:
+    """Positions like value_positions for several (keys, value) views of the same numeric rows, in one count and one range pass.
+
+    Columns: view, k0, k1, ... (the view's keys as text), value, ties, before, total; `view_lookup` and grouping.view_quantiles read them.
+    """
+    width = max(len(keys) for keys, _ in views.values())
+    kind = _common(df, [value for _, value in views.values()])
+    key = lambda keys, i: (F.col(keys[i]).cast("string") if i < len(keys) else F.lit(None).cast("string")).alias(f"k{i}")
+    parts = [F.struct(F.lit(name).alias("view"), *[key(keys, i) for i in range(width)], F.col(value).cast(kind).alias("value")) for name, (keys, value) in views.items()]
+    stacked = df.select(F.explode(F.array(*parts)).alias("v")).select("v.*")
+    names = ["view", *[f"k{i}" for i in range(width)]]
+    counts = stacked.groupBy(*names, "value").agg(F.count(F.lit(1)).alias("ties"))
+    return running_total(counts, names, "value", "ties").select(*names, "value", "ties", "before", "total")
+
+
+def view_lookup(df: DataFrame, positions: DataFrame, view: str, keys: Sequence[str], value: str, outputs: Mapping[str, Column]) -> DataFrame:
+    """Join expressions over ties/before/total of one view of stacked_positions to the rows."""
+    mine = positions.where(F.col("view") == view).select(
+        *[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))], F.col("value").alias("__value"), *[c.alias(name) for name, c in outputs.items()]
+    )
+    condition = F.col(value).cast(mine.schema["__value"].dataType).eqNullSafe(F.col("__value"))
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).cast("string").eqNullSafe(F.col(f"__k{i}"))
+    return df.join(mine, condition).select(*df.columns, *outputs)
+
+
 def rank_asc() -> Column:
     return (F.col("before") + 1).cast("bigint")
 
@@ -141,6 +173,22 @@ def global_ntile(df: DataFrame, value: str, tiles: Mapping[str, int], key: str,
     )
 
 
+def ordered_tiles(df: DataFrame, tiles: Mapping[str, tuple[str, int]], key: str) -> DataFrame:
+    """n-tiles over all rows for several columns of numbers: name -> (column, n); every order is by (column, key).
+
+    All orders are numbered in one range pass over (order, value, key); a row finds its tiles again by the key. Rows that repeat a key
+    share the tiles of the first of them.
+    """
+    columns = sorted({column for column, _ in tiles.values()})
+    kind = _common(df, columns)
+    parts = [F.struct(F.lit(c).alias("view"), F.struct(F.col(c).isNull().alias("absent"), F.col(c).cast(kind).alias("value"), F.col(key).alias("key")).alias("place")) for c in columns]
+    stacked = df.select(F.explode(F.array(*parts)).alias("v")).select("v.*").groupBy("view", "place").agg(F.count(F.lit(1)).alias("__n"))
+    ordered = running_total(stacked, ["view"], "place", "__n")
+    found = [F.min(F.when(F.col("view") == column, _tile(F.col("before") + 1, F.col("total"), n))).alias(name) for name, (column, n) in tiles.items()]
+    by_key = ordered.groupBy(F.col("place.key").alias("__key")).agg(*found)
+    return df.join(by_key, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+
+
 def top_fraction(df: DataFrame, value: str, fraction: float, key: str, name: str = "in_top") -> DataFrame:
     """Flag the highest floor(fraction * rows) rows by (value, key)."""
     return assign_by_position(

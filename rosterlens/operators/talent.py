@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from rosterlens.functions import bands, scores
 from rosterlens.functions.numeric import count_if, mean, n_rows, pct, round_half_up, safe_divide
 from rosterlens.operators.grouping import share_of_total, value_counts
-from rosterlens.operators.ranking import percent_rank, position_lookup, rank_desc, same_keys
+from rosterlens.operators.ranking import percent_rank, rank_desc, same_keys, stacked_positions, view_lookup
 from rosterlens.operators.reshape import domain_index, stack_rows, top_k
-from rosterlens.session import written_table
 
 INTERNAL = "Internal Transfer"
 GENDERS = ("Male", "Female", "Non-binary")
@@ -189,29 +188,25 @@ def engagement_position(employee: DataFrame) -> DataFrame:
     """Active employees: deviation from the department mean, ranks in the department, company percent rank."""
     # Rating first, engagement second: one number in the same order (engagement is at most 100).
     order = (F.col("performance_rating") * 1000 + F.col("engagement_score")).cast("decimal(10,2)")
-    active = written_table(
-        employee.where(scores.is_active()).select(
-            "employee_id", "employee_name", "department", "job_level", "engagement_score", "performance_rating", "salary",
-            order.alias("__order"),
-        ),
-        "engagement-position",
+    active = employee.where(scores.is_active()).select(
+        "employee_id", "employee_name", "department", "job_level", "engagement_score", "performance_rating", "salary", order.alias("__order"),
     )
-    engagement = position_lookup(active, ["department"], "engagement_score", {
-        "engagement_rank_in_dept": rank_desc(), "hrbp_flag": F.when(percent_rank() <= 0.10, HRBP_FLAG),
-    })
-    company = position_lookup(active, [], "engagement_score", {
-        "engagement_pct_rank_company": round_half_up(F.lit(100.0) * percent_rank(), 1),
-    })
-    pay = position_lookup(active, ["department"], "salary", {"salary_rank_in_dept": rank_desc()})
-    perf = position_lookup(active, ["department"], "__order", {"perf_rank_in_dept": rank_desc()})
+    views = {
+        "engagement": (["department"], "engagement_score"), "company": ([], "engagement_score"),
+        "pay": (["department"], "salary"), "perf": (["department"], "__order"),
+    }
+    outputs = {
+        "engagement": {"engagement_rank_in_dept": rank_desc(), "hrbp_flag": F.when(percent_rank() <= 0.10, HRBP_FLAG)},
+        "company": {"engagement_pct_rank_company": round_half_up(F.lit(100.0) * percent_rank(), 1)},
+        "pay": {"salary_rank_in_dept": rank_desc()}, "perf": {"perf_rank_in_dept": rank_desc()},
+    }
+    # Four views, one range pass.
+    positions = stacked_positions(active.select("department", "engagement_score", "salary", "__order"), views)
     means = active.groupBy("department").agg(mean("engagement_score").alias("__mean"))
-    rows = (
-        active.transform(same_keys, engagement, ["department", "engagement_score"])
-        .transform(same_keys, company, ["engagement_score"])
-        .transform(same_keys, pay, ["department", "salary"])
-        .transform(same_keys, perf, ["department", "__order"])
-        .transform(same_keys, means, ["department"])
-    )
+    rows = active
+    for name, (keys, value) in views.items():
+        rows = view_lookup(rows, positions, name, keys, value, outputs[name])
+    rows = same_keys(rows, means, ["department"])
     return rows.select(
         "employee_id", "employee_name", "department", "job_level",
         F.col("engagement_score").cast("double").alias("engagement_score"), "performance_rating",

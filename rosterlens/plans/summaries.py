@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions import scores
 from rosterlens.functions.numeric import count_if, mean, n_rows, pct, round_half_up, safe_divide
-from rosterlens.operators.grouping import _FREQ, grouped_sums, one
+from rosterlens.operators.grouping import _FREQ, grouped_sums, one, quantiles_of_positions
 from rosterlens.operators.hierarchy import rollup_counts
-from rosterlens.operators.ranking import same_keys
+from rosterlens.operators.ranking import running_total, same_keys
 from rosterlens.operators.sequence import next_row, previous_row
 from rosterlens.plans.changes import scd2_from_history
 from rosterlens.plans.rollups import ROWS, Rollup, partial_sums
@@ -123,26 +123,25 @@ def comp_equity(employee: DataFrame, by: Sequence[str], gender: str = "gender",
                 salary: str = "salary", compa: str = "compa_ratio", baseline: str = "Male") -> DataFrame:
     """Pay statistics for every gender x group cell and their 'Overall' rows, against male pay of the same group.
 
-    Grouping sets run over (cell, salary) counts, so the exact medians of all levels come from
-    one reduced table. Significance is Welch's t at 5%.
+    The four kinds of rows are made from (cell, salary) counts, so the exact medians of all levels come from
+    one reduced table and one range pass. Significance is Welch's t at 5%.
     """
     counts = employee.groupBy(*by, gender, group, salary).agg(
         F.count(F.lit(1)).alias(_FREQ), F.sum(compa).alias("__compa")
     )
-    dims = [*by, gender, group]
-    sets = [[*by, gender, group], [*by, gender], [*by, group], [*by]]
+    cell = lambda g, e: F.struct(g.alias("gender_group"), e.alias("ethnicity_group"))
+    whole = F.lit(OVERALL)
+    cells = F.array(cell(F.col(gender), F.col(group)), cell(F.col(gender), whole), cell(whole, F.col(group)), cell(whole, whole))
+    keys = [*by, "gender_group", "ethnicity_group"]
+    counts = counts.select(*by, F.explode(cells).alias("__cell"), F.col(salary).alias("__pay"), _FREQ, "__compa").select(*by, "__cell.*", "__pay", _FREQ, "__compa")
+    counts = counts.groupBy(*keys, "__pay").agg(F.sum(_FREQ).alias(_FREQ), F.sum("__compa").alias("__compa"))
+    placed = running_total(counts.withColumn("ties", F.when(F.col("__pay").isNotNull(), F.col(_FREQ)).otherwise(0)), keys, "__pay", "ties")
     # Squares are taken around the overall mean, so that their sums do not cancel.
-    pay, n = F.col(salary).cast("double") - employee.select(F.avg(salary)).scalar(), F.col(_FREQ)
-    label = lambda c: F.when(F.grouping(c) == 1, OVERALL).otherwise(F.col(c))
-    cells = counts.groupingSets(sets, *dims).agg(
-        label(gender).alias("gender_group"), label(group).alias("ethnicity_group"),
-        F.sum(n).alias("employee_count"),
-        safe_divide(F.sum(F.col(salary) * n), F.sum(n)).alias("__mean"),
-        F.sum(pay * pay * n).alias("__squares"),
-        F.sum(pay * n).alias("__shifted"),
-        F.percentile(salary, F.lit(0.5), n).alias("median_base_salary"),
-        safe_divide(F.sum("__compa"), F.sum(n)).alias("__compa_mean"),
-    ).select(*by, "gender_group", "ethnicity_group", "employee_count", "__mean", "__squares", "__shifted", "median_base_salary", "__compa_mean")
+    pay, n = F.col("__pay").cast("double") - employee.select(F.avg(salary)).scalar(), F.col(_FREQ)
+    cells = quantiles_of_positions(placed, keys, "__pay", {"median_base_salary": 0.5}, {
+        "employee_count": F.sum(n), "__mean": safe_divide(F.sum(F.col("__pay") * n), F.sum(n)), "__squares": F.sum(pay * pay * n),
+        "__shifted": F.sum(pay * n), "__compa_mean": safe_divide(F.sum("__compa"), F.sum(n)),
+    })
     size = F.col("employee_count")
     cells = cells.withColumn(
         "__se2", F.try_divide((F.col("__squares") - F.col("__shifted") * F.col("__shifted") / size) / size, (size - 1).cast("double"))

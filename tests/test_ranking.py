@@ -110,3 +110,34 @@ def test_value_counts_fills_missing_categories_in_order(spark):
     df = spark.createDataFrame([("b",), ("b",), ("z",)], "c string")
     got = grouping.value_counts(df, "c", ["a", "b"]).orderBy("sort_index").collect()
     assert [(r.c, r.n) for r in got] == [("a", 0), ("b", 2)]
+
+
+def test_stacked_views_and_tiles_match_sorting(spark):
+    import random
+
+    draw = random.Random(6)
+    rows = [(i, draw.choice(["a", "a", "a", "b", None]), draw.choice([None, *range(40)]), draw.choice([None, 0.5, 1.25, *[float(k) for k in range(30)]])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, g string, n int, x double")
+    positions = ranking.stacked_positions(df, {"one": (["g"], "n"), "all": ([], "x")})
+    got = ranking.view_lookup(ranking.view_lookup(df, positions, "one", ["g"], "n", {"r": ranking.rank_asc()}), positions, "all", [], "x", {"s": ranking.rank_asc()})
+    rank = lambda values, v: 1 + sum((w is not None and (v is None or w < v)) for w in values)
+    for r in got.collect():
+        assert r.r == rank([n for _, g, n, _ in rows if g == r.g], r.n) and r.s == rank([x for *_, x in rows], r.x)
+    tiled = {r.id: (r.a, r.b) for r in ranking.ordered_tiles(df, {"a": ("n", 7), "b": ("x", 3)}, "id").collect()}
+    for place, (column, tiles) in enumerate(((2, 7), (3, 3))):
+        order = sorted(rows, key=lambda r: (r[column] is None, r[column] if r[column] is not None else 0, r[0]))
+        base, extra = divmod(500, tiles)
+        want = [k + 1 for k in range(tiles) for _ in range(base + (k < extra))]
+        assert [tiled[r[0]][place] for r in order] == want
+
+
+def test_quantiles_of_a_group_are_not_held_in_one_buffer(spark):
+    from rosterlens.operators import compensation, grouping
+
+    df = spark.range(2000).selectExpr("1 AS g", "cast(id AS int) AS v", "IF(id % 7 = 0, NULL, cast(id AS int)) AS w")
+    plan = grouping.exact_quantiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
+    assert compensation.box_plot(df, ["g"], "v").first().p50 == 999.5
+    got = grouping.grouped_sums(df, ["g"], {"s": F.col("v")}, "w", {"m": 0.5}).first()
+    known = sorted(i for i in range(2000) if i % 7)
+    assert (got.s, got.m) == (sum(range(2000)), (known[len(known) // 2 - 1] + known[len(known) // 2]) / 2)
