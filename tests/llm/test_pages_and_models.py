@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,24 @@ def test_blocks_of_a_page(html, text):
     assert text_of(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><p>a</p><div class="notice-board"><p>b</p></div><p class="form-of-address">c</p><div class="ad-box"><p>d</p></div><div id="related-posts">e</div></article>', "a\nb\nc"),
+    ('<main><div class="commentList">x</div><p class="comment-culture">y</p><div class="share">z</div></main><div class="notice-board">w</div>', "y"),
+])
+def test_a_part_of_a_class_name_removes_nothing_from_an_article(html, text):
+    assert text_of(html) == text
+
+
+@pytest.mark.parametrize("broken", [
+    "<a " * 350_000, "<div>" * 100_000 + "</b>" * 100_000, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<head>" * 160_000, "<p a='b\"" * 130_000,
+    '<a ">' * 200_000, "<!-- " * 200_000, "<" * 1_000_000, "<span>" * 80_000 + "</i>" * 120_000,
+])
+def test_broken_pages_of_a_megabyte_are_parsed_in_linear_time(broken):
+    start = time.perf_counter()
+    assert text_of("<article><p>first</p></article>" + broken) == "first"
+    assert time.perf_counter() - start < 5
+
+
 def test_suffix_array_groups_equal_runs():
     rng = np.random.default_rng(5)
     stream = rng.integers(0, 3, 300).astype(np.uint64)
