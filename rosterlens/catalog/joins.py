@@ -138,10 +138,14 @@ def group_total(t):
 
 @query("j14_snapshot_compare", """
 SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_totalprice AS old_price, b.o_totalprice AS new_price
-FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) b ON a.o_orderkey = b.o_orderkey""")
+FROM (SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT -1 - o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P') a
+FULL JOIN (SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT 1000000000 + o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P') b ON a.o_orderkey = b.o_orderkey""")
 def snapshot_compare(t):
-    slim = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
-    both = joins.snapshot_compare(slim.where("o_orderstatus <> 'P'"), slim.where("o_orderkey % 3 <> 0"), "o_orderkey")
+    # Each image has orders that the other one lacks, added to the given ones.
+    slim, key = t.orders.select("o_orderkey", "o_totalprice"), F.col("o_orderkey")
+    more = t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice")
+    old, new = (slim.unionByName(more.withColumn("o_orderkey", moved)) for moved in (-1 - key, key + 1_000_000_000))
+    both = joins.snapshot_compare(old, new, "o_orderkey")
     return both.select("o_orderkey", F.col("old.o_totalprice").alias("old_price"), F.col("new.o_totalprice").alias("new_price"))
 
 

@@ -178,7 +178,9 @@ DIM_COLUMNS = ("employee_id", "full_name", "email_work", "age_band_code", "gende
 DIM_LIST = ", ".join(DIM_COLUMNS)
 CHECKED = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in changes.VERSIONED_COLUMNS)
 EARLY = "early AS (SELECT * FROM bronze WHERE ingestion_timestamp < TIMESTAMP '1999-01-01')"
-LATE = "late AS (SELECT * FROM bronze WHERE CAST(employee_id AS BIGINT) % 17 <> 3)"
+# Workers that the second snapshot lacks are added to the first one.
+GONE = "first AS (SELECT * FROM base UNION ALL SELECT * REPLACE ('X' || employee_id AS employee_id) FROM base WHERE CAST(employee_id AS BIGINT) % 17 = 3)"
+SNAPSHOTS = (RAW_SQL, BRONZE_SQL, EARLY, silver_sql("early", "base"), GONE, silver_sql("bronze", "second"))
 A_COLUMNS = ", ".join(f"a.{c}" for c in DIM_COLUMNS)
 B_COLUMNS = ", ".join(f"b.{c}" for c in DIM_COLUMNS)
 SCD2 = f"""SELECT {A_COLUMNS}, 1 AS scd_version, '1999-01-01' AS effective_start_date,
@@ -189,30 +191,35 @@ SELECT {B_COLUMNS}, CASE WHEN a.employee_id IS NULL THEN 1 ELSE 2 END, '2000-01-
 FROM second b LEFT JOIN first a USING (employee_id) WHERE a.employee_id IS NULL OR {CHECKED}"""
 
 
-def scd2_dimension(t):
+def snapshots(t):
+    """The image of January 1999, with workers that are gone a year later, and that of all extracts."""
     first = silver(t, "extracted_at < TIMESTAMP_NTZ'1999-01-01 00:00:00'").select(*DIM_COLUMNS)
-    second = silver(t, "CAST(worker_id AS BIGINT) % 17 <> 3").select(*DIM_COLUMNS)
+    gone = first.where("CAST(employee_id AS BIGINT) % 17 = 3").withColumn("employee_id", F.concat(F.lit("X"), "employee_id"))
+    return first.unionByName(gone), silver(t).select(*DIM_COLUMNS)
+
+
+def scd2_dimension(t):
+    first, second = snapshots(t)
     return changes.scd2_snapshot(changes.scd2_initial(first, "1999-01-01"), second, "employee_id", as_of="2000-01-01")
 
 
-@query("l05_scd2_snapshot", with_(RAW_SQL, BRONZE_SQL, EARLY, LATE, silver_sql("early", "first"), silver_sql("late", "second"), then=SCD2))
+@query("l05_scd2_snapshot", with_(*SNAPSHOTS, then=SCD2))
 def scd2(t):
     return text_dates(scd2_dimension(t), "effective_start_date", "effective_end_date")
 
 
-@query("l05_scd2_applied_twice", with_(RAW_SQL, BRONZE_SQL, EARLY, LATE, silver_sql("early", "first"), silver_sql("late", "second"), then=SCD2))
+@query("l05_scd2_applied_twice", with_(*SNAPSHOTS, then=SCD2))
 def scd2_twice(t):
-    second = silver(t, "CAST(worker_id AS BIGINT) % 17 <> 3").select(*DIM_COLUMNS)
+    _, second = snapshots(t)
     again = changes.scd2_snapshot(scd2_dimension(t), second, "employee_id", as_of="2000-06-01")
     return text_dates(again, "effective_start_date", "effective_end_date")
 
 
-@query("l05_scd2_load", with_(RAW_SQL, BRONZE_SQL, EARLY, LATE, silver_sql("early", "first"), silver_sql("late", "second"), then=SCD2))
+@query("l05_scd2_load", with_(*SNAPSHOTS, then=SCD2))
 def scd2_load(t):
     """Two loads into a folder, the second of which rewrites the partitions with changed keys; repeating it changes nothing."""
     root = scratch_path(t.spark, "dimension")
-    first = silver(t, "extracted_at < TIMESTAMP_NTZ'1999-01-01 00:00:00'").select(*DIM_COLUMNS)
-    second = silver(t, "CAST(worker_id AS BIGINT) % 17 <> 3").select(*DIM_COLUMNS)
+    first, second = snapshots(t)
     changes.scd2_create(first, root, "employee_id", "1999-01-01", 16)
     for _ in range(2):
         changes.scd2_load(t.spark, root, second, "employee_id", changes.VERSIONED_COLUMNS, "2000-01-01", 16)
@@ -224,7 +231,7 @@ D_COLUMNS, L_COLUMNS = (", ".join(f"{x}.{c}" for c in DIM_COLUMNS) for x in ("d"
 DIFFERS = " OR ".join(f"d.{c} IS DISTINCT FROM l.{c}" for c in changes.VERSIONED_COLUMNS)
 
 
-@query("l05_late_snapshot", with_(RAW_SQL, BRONZE_SQL, EARLY, LATE, MIDDLE, silver_sql("early", "first"), silver_sql("late", "second"), silver_sql("middle", "mid"),
+@query("l05_late_snapshot", with_(*SNAPSHOTS, MIDDLE, silver_sql("middle", "mid"),
     f"dim AS (SELECT * REPLACE (CAST(effective_start_date AS DATE) AS effective_start_date, CAST(effective_end_date AS DATE) AS effective_end_date) FROM ({SCD2}))",
     f"""joined AS (SELECT d.*, l.employee_id IS NOT NULL AND ({DIFFERS}) AS split FROM dim d LEFT JOIN mid l ON d.employee_id = l.employee_id
  AND d.effective_start_date <= DATE '1999-07-01' AND (d.effective_end_date IS NULL OR d.effective_end_date > DATE '1999-07-01'))""",
