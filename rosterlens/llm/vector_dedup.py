@@ -41,7 +41,7 @@ class Settings:
     miss: float = 1e-7  # chance that a pair at the threshold shares no bucket
     errors: float = 5.3  # standard errors below the threshold at which a pair is given up
     least_bits: int = 64  # rotations are stacked until a code has so many
-    bucket: int = 256  # unrelated members of a bucket, about
+    bucket: int = 512  # unrelated members of a bucket, about
     chunk: int = 2_048  # members of a tile's side
     seed: int = 12
 
@@ -172,7 +172,8 @@ def in_tiles(rows: DataFrame, by: list[str], chunk: int) -> DataFrame:
     Groups of up to ``chunk`` rows are one tile; larger ones are dealt to chunks by a hash, and every two chunks are a tile.
     """
     large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
-    large = large.select(*(F.col(c).alias(f"_{c}") for c in by), F.ceil(F.col("_n") / F.lit(chunk)).cast("int").alias("_chunks"))
+    # Written, so that the join goes by its size: broadcast where it is small, and then the rows move once.
+    large = written_table(large.select(*(F.col(c).alias(f"_{c}") for c in by), F.ceil(F.col("_n") / F.lit(chunk)).cast("int").alias("_chunks")), "large")
     same = F.lit(True)
     for c in by:
         same = same & (F.col(c) == F.col(f"_{c}"))
