@@ -536,9 +536,11 @@ def hired(t):
     return hires.withColumns({"days_to_fill": F.datediff("shipped", "hire_date"), "interview_score": F.col("leave_count").cast("double")})
 
 
-EQUITY = """cells AS MATERIALIZED (SELECT department, coalesce(gender, 'Overall') AS gender_group, coalesce(region, 'Overall') AS ethnicity_group, count(*) AS n,
- CAST(sum(salary) AS DOUBLE) / count(*) AS m, var_samp(CAST(salary AS DOUBLE)) / count(*) AS se2, quantile_cont(salary, 0.5) AS med, avg(compa_ratio_raw) AS c
- FROM compa GROUP BY GROUPING SETS ((department, gender, region), (department, gender), (department, region), (department)))"""
+EQUITY = """paid AS (SELECT department, gender, region, salary, compa_ratio_raw FROM compa),
+spread AS (SELECT department, gender AS g, region AS r, salary, compa_ratio_raw FROM paid UNION ALL SELECT department, gender, 'Overall', salary, compa_ratio_raw FROM paid
+ UNION ALL SELECT department, 'Overall', region, salary, compa_ratio_raw FROM paid UNION ALL SELECT department, 'Overall', 'Overall', salary, compa_ratio_raw FROM paid),
+cells AS (SELECT department, g AS gender_group, r AS ethnicity_group, count(*) AS n, CAST(sum(salary) AS DOUBLE) / count(*) AS m, var_samp(CAST(salary AS DOUBLE)) / count(*) AS se2,
+ quantile_cont(salary, 0.5) AS med, avg(compa_ratio_raw) AS c FROM spread GROUP BY 1, 2, 3)"""
 Z = 1.959963984540054
 CRIT = f"CASE WHEN nu < 31 THEN ({list(summaries.T_POINTS)})[greatest(CAST(floor(nu) AS INT), 1)] ELSE ({Z}::DOUBLE + {(Z**3 + Z) / 4!r}::DOUBLE / nu + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96!r}::DOUBLE / (nu * nu)) END"
 
