@@ -1,11 +1,11 @@
 """MinHash near-duplicate removal with b-bit signatures.
 
 One pass over the texts gives each document the digest of its shingle set, band keys from full minima and the low bits
-of all minima packed in a signature. Documents with equal sets form a class. Classes that share a band bucket form
-candidate families; inside a family the collision-corrected b-bit similarity selects the pairs whose full shingle sets
-are compared, and pairs that are already connected are skipped. Nothing is sampled or capped: a family larger than one
-task's share is dealt out in chunks that are joined through common pivots, and what the pivots leave apart is compared
-with every chunk.
+of all minima packed in a signature. Documents with equal sets form a class. In the band buckets the collision-corrected
+b-bit similarity selects the pairs that may be linked; pairs that are connected already are skipped, so a bucket of copies costs
+little. What is connected through such pairs is a family; inside a family the full shingle sets are compared. Nothing is sampled
+or capped: a bucket larger than one task's share is dealt out in chunks of which every two meet, a larger family in chunks that
+are joined through common pivots, and what the pivots leave apart is compared with every chunk.
 
 Edge cases. Null or blank texts have an empty set and link with nothing. Rows with a null id link with nothing, have a
 null component and are kept. Rows that repeat an id are one document: they share its component, and stay or go together.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rosterlens.llm.shared import components
+from rosterlens.llm.shared import Groups, components, consecutive, in_tiles, tile_sides
 from rosterlens.llm.wordhash import mix, shingle_hashes, word_groups
 from rosterlens.session import written_table
 
@@ -41,6 +41,7 @@ class Settings:
     chunk_members: int = 800
     chunk_shingles: int = 1_000_000
     pivots: int = 64
+    bucket_chunk: int = 4_096
 
     @property
     def hashes(self) -> int:
@@ -89,7 +90,7 @@ def packed_bits(low: np.ndarray, bits: int) -> np.ndarray:
     cut = np.zeros((len(low), width), np.uint64)
     cut[:, : low.shape[1]] = low & np.uint32((1 << bits) - 1)
     shifts = np.arange(per_word, dtype=np.uint64) * np.uint64(bits)
-    return np.bitwise_or.reduce(cut.reshape(len(low), -1, per_word) << shifts, axis=2)
+    return np.bitwise_or.reduce(cut.reshape(len(low), width // per_word, per_word) << shifts, axis=2)
 
 
 def estimated(one: np.ndarray, many: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -125,14 +126,44 @@ def _digest_batches(s: Settings):
                 lengths = np.where(per_row > 0, s.bands, 0)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(offsets, band_keys(low, s).ravel().view(np.int64))
+                signatures = [b""] * len(counts)
+                for i, bits in zip(full, packed_bits(low, s.bits)):
+                    signatures[i] = bits.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(counts)), *(pa.array(x.view(np.int64)) for x in (n, h1, h2)), bands],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [batch.column(0).slice(row, len(counts)), *(pa.array(x.view(np.int64)) for x in (n, h1, h2)), bands, pa.array(signatures, pa.binary())],
+                    names=["doc_id", "n_shingles", "h1", "h2", "bands", "signature"],
                 )
 
     return run
 
 
+def _bucket_links(s: Settings):
+    """Links that connect the members of a bucket whose estimated similarity allows the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in consecutive(batches, ["bucket", "i", "j"]):
+            a, b, same = tile_sides(tile)
+            if not a.num_rows or not b.num_rows or tile.num_rows < 2:
+                continue
+            whole, split = (a, 0) if same else (pa.concat_tables([a, b]), a.num_rows)
+            reps, sizes = whole["rep"].to_numpy(), whole["n_shingles"].to_numpy()
+            bits = np.frombuffer(b"".join(whole["signature"].to_pylist()), np.uint64).reshape(len(reps), -1)
+            groups = Groups(len(reps))
+            for i in range(a.num_rows):
+                from_ = i + 1 if same else split
+                rest = from_ + np.flatnonzero(groups.label[from_:] != groups.label[i])
+                rest = rest[100 * np.minimum(sizes[i], sizes[rest]) >= s.percent * np.maximum(sizes[i], sizes[rest])]
+                if len(rest):
+                    near = rest[estimated(bits[i], bits[rest], s.hashes, s.bits) >= s.least_estimate]
+                    if len(near):
+                        groups.link(i, near)
+            members, roots = groups.stars()
+            if len(members):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[members]), pa.array(reps[roots])], names=["rep", "low"])
+
+    return run
+
+
 def _confirm(reps: np.ndarray, groups: list, texts: pa.Array, s: Settings) -> list[tuple[int, int]]:
     """Confirmed links among the documents of one tile that connect all that are linked there."""
     sets, lows = [], []
@@ -215,15 +246,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id) per row."""
     s = settings
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    digests = written_table(texts.mapInArrow(_digest_batches(s), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "digests")
+    digests = written_table(texts.mapInArrow(_digest_batches(s), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, signature binary"), "digests")
     usable = digests.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = usable.withColumnRenamed("doc_id", "rep").join(classes, ["h1", "h2", "rep"], "left_semi").dropDuplicates(["rep", "h1", "h2"])
 
-    # Candidate families: classes that share a band bucket, connected through the bucket's smallest representative.
+    # Candidate families: classes that share a band bucket and whose signatures are close enough.
     banded = written_table(reps.select("rep", "n_shingles", F.explode("bands").alias("bucket")), "banded")
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket", "low")
-    stars = written_table(banded.join(shared, "bucket").where("rep <> low").select("rep", "low").distinct(), "stars")
+    shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
+    together = written_table(banded.join(shared, "bucket", "left_semi"), "together")
+    signed = together.join(reps.select(F.col("rep").alias("_rep"), "signature"), F.col("rep") == F.col("_rep")).select("bucket", "rep", "n_shingles", "signature")
+    stars = in_tiles(signed, ["bucket"], s.bucket_chunk, "rep").mapInArrow(_bucket_links(s), "rep long, low long").distinct()
     families = written_table(components(stars), "families")
 
     # Members with their texts, in chunks that one task can hold.

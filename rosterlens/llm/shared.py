@@ -76,3 +76,44 @@ def consecutive(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator
             held, last = [*held, batch.slice(start, stop - start)], key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def in_tiles(rows: DataFrame, by: list[str], chunk: int, key: str) -> DataFrame:
+    """The rows with columns i, j (the tile) and later (its second side): every two rows of a group meet in one tile.
+
+    Groups of up to ``chunk`` rows are one tile; larger ones are dealt to chunks by a hash, and every two chunks are a tile.
+    """
+    large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
+    # Written, so that the join goes by its size: broadcast where it is small, and then the rows move once.
+    large = written_table(large.select(*(F.col(c).alias(f"_{c}") for c in by), F.ceil(F.col("_n") / F.lit(chunk)).cast("int").alias("_chunks")), "large")
+    same = F.lit(True)
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    placed = rows.join(large, same, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    placed = placed.withColumn("_own", F.pmod(F.xxhash64(key), "_chunks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    tiles = placed.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "later": F.col("_own") > F.col("_other")})
+    return tiles.select(*rows.columns, "i", "j", "later").repartition(*by, "i", "j").sortWithinPartitions(*by, "i", "j")
+
+
+def tile_sides(tile: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
+    """The two sides of a tile; the same one twice on the diagonal."""
+    if tile["i"][0] == tile["j"][0]:
+        return tile, tile, True
+    later = tile["later"]
+    return tile.filter(pa.compute.invert(later)), tile.filter(later), False
+
+
+class Groups:
+    """Links among the members of a tile as one star per group."""
+
+    def __init__(self, size: int):
+        self.label = np.arange(size)
+
+    def link(self, i: int, js: np.ndarray) -> None:
+        found = np.unique(np.append(self.label[js], self.label[i]))
+        if len(found) > 1:
+            self.label[np.isin(self.label, found)] = found[0]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        away = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return away, self.label[away]

@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlens.llm.shared import components, consecutive
+from rosterlens.llm.shared import Groups, components, consecutive, in_tiles, tile_sides
 from rosterlens.session import written_table
 
 
@@ -131,22 +131,6 @@ def possible(a: Codes, b: Codes, same: bool, s: Settings, rows: int = 256) -> It
                 yield at + int(i), js
 
 
-class Groups:
-    """Links among the members of a tile as one star per group."""
-
-    def __init__(self, size: int):
-        self.label = np.arange(size)
-
-    def link(self, i: int, js: np.ndarray) -> None:
-        found = np.unique(np.append(self.label[js], self.label[i]))
-        if len(found) > 1:
-            self.label[np.isin(self.label, found)] = found[0]
-
-    def stars(self) -> tuple[np.ndarray, np.ndarray]:
-        away = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return away, self.label[away]
-
-
 def _coded(width: int, tables: int, s: Settings):
     powers = 1 << np.arange(width, dtype=np.int64)
 
@@ -166,31 +150,6 @@ def _coded(width: int, tables: int, s: Settings):
     return run
 
 
-def in_tiles(rows: DataFrame, by: list[str], chunk: int) -> DataFrame:
-    """The rows with columns i, j (the tile) and later (its second side): every two rows of a group meet in one tile.
-
-    Groups of up to ``chunk`` rows are one tile; larger ones are dealt to chunks by a hash, and every two chunks are a tile.
-    """
-    large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
-    # Written, so that the join goes by its size: broadcast where it is small, and then the rows move once.
-    large = written_table(large.select(*(F.col(c).alias(f"_{c}") for c in by), F.ceil(F.col("_n") / F.lit(chunk)).cast("int").alias("_chunks")), "large")
-    same = F.lit(True)
-    for c in by:
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    placed = rows.join(large, same, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
-    placed = placed.withColumn("_own", F.pmod(F.xxhash64("cid"), "_chunks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    tiles = placed.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "later": F.col("_own") > F.col("_other")})
-    return tiles.select(*rows.columns, "i", "j", "later").repartition(*by, "i", "j").sortWithinPartitions(*by, "i", "j")
-
-
-def _sides(tile: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
-    """The two sides of a tile; the same one twice on the diagonal."""
-    if tile["i"][0] == tile["j"][0]:
-        return tile, tile, True
-    later = tile["later"]
-    return tile.filter(pa.compute.invert(later)), tile.filter(later), False
-
-
 _LINKS = "a long, b long, n long"
 
 
@@ -203,7 +162,7 @@ def _bucket_links(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in consecutive(batches, ["label", "dim", "bucket", "key", "i", "j"]):
-            a, b, same = _sides(tile)
+            a, b, same = tile_sides(tile)
             if not a.num_rows or not b.num_rows or tile.num_rows < 2:
                 continue
             dim, shift = tile["dim"][0].as_py(), 0 if same else a.num_rows
@@ -224,7 +183,7 @@ def _family_links(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in consecutive(batches, ["family", "i", "j"]):
-            a, b, same = _sides(tile)
+            a, b, same = tile_sides(tile)
             if not a.num_rows or not b.num_rows or tile.num_rows < 2:
                 continue
             whole = a if same else pa.concat_tables([a, b])
@@ -267,11 +226,11 @@ def near_vectors(
     coded = written_table(classes.select("cid", "label", "vector").mapInArrow(_coded(width, tables, s), schema), "codes")
     payload = ["cid", "label", "dim", *(f.split()[0] for f in Codes.FIELDS.split(", "))]
     buckets = coded.select(*payload, F.posexplode("keys").alias("bucket", "key"))
-    near = in_tiles(buckets, ["label", "dim", "bucket", "key"], s.chunk).mapInArrow(_bucket_links(s), _LINKS)
+    near = in_tiles(buckets, ["label", "dim", "bucket", "key"], s.chunk, "cid").mapInArrow(_bucket_links(s), _LINKS)
     families = written_table(components(near.select("a", "b")), "families")
 
     members = families.select(F.col("node").alias("cid"), F.col("component").alias("family")).join(classes.select("cid", "vector", "copies"), "cid")
-    links = written_table(in_tiles(members, ["family"], s.chunk).mapInArrow(_family_links(s), _LINKS), "links")
+    links = written_table(in_tiles(members, ["family"], s.chunk, "cid").mapInArrow(_family_links(s), _LINKS), "links")
     parts = written_table(components(links.where("a <> b").select("a", "b")), "parts")
     counts = links.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("linked"))
     known = classes.join(counts, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")

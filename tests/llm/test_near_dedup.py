@@ -103,5 +103,22 @@ def test_one_id_in_very_many_rows(spark):
     assert {tuple(r) for r in got} == {(7, 7, True, 100_000), (8, 7, False, 1), (9, 7, False, 1), (10, 10, True, 1)}
 
 
+@pytest.mark.parametrize("chunk", [4096, 40])
+def test_half_similar_texts_and_a_large_group_of_near_copies(spark, chunk):
+    """A long shared notice puts very many texts into common buckets; few of them are linked."""
+    import random
+
+    draw = random.Random(8)
+    notice = " ".join(f"n{i}" for i in range(60))
+    rows = [(i, notice + " " + " ".join(f"t{draw.randrange(3000)}" for _ in range(40))) for i in range(300)]
+    base = [f"c{i}" for i in range(120)]
+    for i in range(200):
+        words = list(base)
+        words[draw.randrange(120)] = f"e{i}"
+        rows.append((1000 + i, " ".join(words)))
+    got = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings=Settings(bucket_chunk=chunk)))
+    assert got == brute(rows)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
