@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions.numeric import count_if, round_half_up, safe_divide
-from rosterlens.operators.ranking import running_total, same_keys, value_positions
+from rosterlens.operators.ranking import same_keys, value_positions
 
 _FREQ = "__n"
 
@@ -67,17 +67,19 @@ def grouped_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, Column], q
                  probs: Mapping[str, float] | None = None) -> DataFrame:
     """Sums per group plus, in the same pass over the rows, exact quantiles of one measure.
 
-    Level one sums per (group, value); level two adds those up and reads the quantiles off the
-    positions of the values. The input is scanned once.
+    Level one sums per (group, value); level two adds those up and takes the quantiles from
+    the value frequencies. The input is scanned once and nothing is written, which suits measures with a limited
+    range (pay in whole dollars); exact_quantiles takes any measure.
     """
     if quantile_of is None:
         return df.groupBy(*by).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     first = df.groupBy(*by, quantile_of).agg(
         F.count(F.lit(1)).alias(_FREQ), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
-    first = first.withColumn("ties", F.when(F.col(quantile_of).isNotNull(), F.col(_FREQ)).otherwise(0))
-    placed = running_total(first, by, quantile_of, "ties")
-    return quantiles_of_positions(placed, by, quantile_of, probs or {}, {name: F.sum(name) for name in sums}).select(*by, *sums, *(probs or {}))
+    return first.groupBy(*by).agg(
+        *[F.sum(name).alias(name) for name in sums],
+        *[F.percentile(quantile_of, F.lit(float(p)), F.col(_FREQ)).alias(n) for n, p in (probs or {}).items()],
+    )
 
 
 def one(cond: Column) -> Column:
