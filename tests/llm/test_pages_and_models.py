@@ -66,18 +66,21 @@ def test_suffix_array_groups_equal_runs():
 
 
 def brute_text(pages, host_of):
-    """Unmarked pages: blocks that runs on pages of other identity (longest block) of the host cover go."""
-    parsed = [(host_of(u), parse_page(h)) for _, u, h in pages]
-    words = lambda b: [w.lower() for w in b.split()]
-    holders = {}
-    for host, p in parsed:
+    """Unmarked pages: blocks that runs on pages of other identity of the host cover go. Identity: block of most words per page that holds it."""
+    parsed = [(host_of(u), h, parse_page(h)) for _, u, h in pages]
+    words = lambda b: tuple(w.lower() for w in b.split())
+    spread, holders = {}, {}
+    for host, h, p in parsed:
+        for t, _ in p.blocks if not p.marked else ():
+            spread.setdefault((host, words(t)), set()).add(h)
+    for host, _, p in parsed:
         if not p.marked and p.blocks:
-            identity = tuple(max((words(t) for t, _ in p.blocks), key=len))
+            identity = max((words(t) for t, _ in p.blocks), key=lambda w: (len(w) / len(spread[host, w]), len(w), w))
             stream = [w for t, _ in p.blocks for w in words(t)]
             for i in range(len(stream) - RUN + 1):
                 holders.setdefault((host, *stream[i : i + RUN]), set()).add(identity)
     out = []
-    for host, p in parsed:
+    for host, _, p in parsed:
         stream = [w for t, _ in p.blocks for w in words(t)]
         starts = [i for i in range(len(stream) - RUN + 1) if len(holders.get((host, *stream[i : i + RUN]), ())) > 1]
         out.append("\n".join(p.main() if p.marked else kept_blocks(p.main(), starts)))
@@ -98,6 +101,20 @@ def test_unmarked_pages_lose_what_the_host_repeats(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_short_articles_under_a_long_shared_notice(spark):
+    notice = " ".join(f"n{i}" for i in range(180))
+    article = lambda i: " ".join(f"a{i}_{k}" for k in range(40))
+    story = " ".join(f"s{i}" for i in range(300))
+    pages = [(i, "http://h.com/x", f"<div>{notice}</div><div>{article(i)}</div>") for i in range(6)]
+    pages += [(10 + i, "http://h.com/c", f"<div>{notice}</div><div>from reader number {i} of many</div><div>{story}</div>") for i in range(3)]
+    pages += [(30, "http://h.com/y", f"<div>{notice} and more</div>"), (31, "http://one.com/", f"<div>{notice}</div><div>{article(1)}</div>")]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {p[0]: t for p, t in zip(pages, brute_text(pages, lambda u: u.split("/")[2]))}
+    assert all(got[i] == article(i) for i in range(6))
+    assert all(story in got[10 + i] and "n0" not in got[10 + i] for i in range(3))
+    assert got[31] == f"{notice}\n{article(1)}"
+
+
 def test_given_pages_keep_their_articles(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     for r in pages.join(extract_text(pages).select("page_id", "text"), "page_id").collect():
