@@ -303,12 +303,22 @@ def planted(passages: list[tuple[str, str]], seed: int) -> Iterator[tuple[str, s
         yield f"{front}{value}{tail} {passage[cut:]}", path, len(front), len(front) + len(value), label, kind
 
 
+def _smallest(rows: DataFrame, order: Column, most: int, n: int) -> DataFrame:
+    """At most ``most`` distinct rows of smallest hash ``order``.
+
+    Of the ``n`` rows only those below a hash bound move, about four times ``most`` however many tasks there are.
+    """
+    bound = -(1 << 63) + (1 << 64) * 4 * most // max(n, 1)
+    near = rows.where(order <= F.lit(bound)) if bound < (1 << 63) else rows
+    return near.distinct().orderBy(order, *rows.columns).limit(most)
+
+
 def sample_passages(docs: DataFrame, text: str = "text", path: str = "source", rows: int = PLANT_ROWS) -> list[tuple[str, str]]:
-    """Passages of ``PASSAGE`` characters from the ``rows`` documents of smallest hash, with their paths."""
+    """Passages of ``PASSAGE`` characters from the at most ``rows`` texts of smallest hash, with their paths."""
     order = F.xxhash64(F.col(text), F.col(path).cast("string"))
     place = F.pmod(order, F.greatest(F.length(text) - PASSAGE, F.lit(0)) + 1).cast("int") + 1
     chosen = docs.where(F.length(text) > 0).select(order.alias("h"), F.substring(F.col(text), place, F.lit(PASSAGE)).alias("passage"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
-    return [(r["passage"], r["path"]) for r in chosen.orderBy("h", "passage", "path").limit(rows).collect()]  # at most rows passages
+    return [(r["passage"], r["path"]) for r in _smallest(chosen, F.col("h"), rows, docs.count()).collect()]  # at most rows passages
 
 
 def planted_rows(passages: list[tuple[str, str]], dictionary: Dictionary, seed: int = 1) -> list[tuple[list[float], int, str]]:
@@ -329,8 +339,9 @@ def planted_findings(docs: DataFrame, text: str = "text", path: str = "source",
 
 def labelled_findings(candidates: DataFrame, label: Column, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """features and label of at most ``train_rows`` candidates (smallest hashes) of label 1 and as many of label 0."""
-    wide = candidates.select("features", label.cast("int").alias("label"), F.xxhash64("candidate", "features").alias("h"), "doc_id", "start")
-    samples = [wide.where(F.col("label") == k).orderBy("h", "doc_id", "start").limit(train_rows) for k in (0, 1)]
+    wide = candidates.select("features", label.cast("int").alias("label"), F.xxhash64("candidate", "features", "doc_id", "start").alias("h"), "doc_id", "start")
+    size = {r["label"]: r["n"] for r in wide.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
+    samples = [_smallest(wide.where(F.col("label") == k), F.col("h"), train_rows, size.get(k, 0)) for k in (0, 1)]
     return written_table(samples[0].unionByName(samples[1]).select("features", "label"), "findings")
 
 
