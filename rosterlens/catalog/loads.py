@@ -10,6 +10,7 @@ from rosterlens.catalog.sql import (
     COMPA, FEMALE, HIGH, LEFT, LEVELS, MALE, RATINGS, SOURCES, STAYED, avg, case_bands, cnt, emp, pct, ratio, with_,
 )
 from rosterlens.functions import bands, cleaning
+from rosterlens.functions.dates import date_key
 from rosterlens.functions.numeric import n_rows, round_half_up
 from rosterlens.operators.ranking import compa_ratio_level_median
 from rosterlens.plans import calendar, changes, facts, medallion, rollups, storing, summaries
@@ -383,8 +384,10 @@ def fact_as_of_version(t):
     )
     follows = next_row(daily, ["employee_id"], ["effective_start_date"], ["effective_start_date"], F.year("effective_start_date"))
     versions = follows.withColumn("effective_end_date", F.col("next.effective_start_date"))
-    fact = snapshot_fact(t).withColumn("day", F.to_date(F.col("date_key").cast("string"), "yyyyMMdd"))
-    return facts.as_of_version_join(fact, versions, "employee_id", "day", ["pay"]).select("employee_id", "date_key", "pay")
+    # The join shuffles whole facts, so they bring only what the result shows; an employee has at most twelve of them a year.
+    fact = snapshot_fact(t).select("employee_id", F.to_date(F.col("date_key").cast("string"), "yyyyMMdd").alias("day"))
+    year = lambda day: F.trunc(day, "YYYY")
+    return facts.as_of_version_join(fact, versions, "employee_id", "day", ["pay"], year).select("employee_id", date_key("day").alias("date_key"), "pay")
 
 
 @query("l09_current_employees_view", emp("""

@@ -46,23 +46,29 @@ def carried_forward(facts: DataFrame, versions: DataFrame, keys: Sequence[str],
                     bucket: Callable[[Column], Column], name: str = "carried") -> DataFrame:
     """Every fact with a struct of the newest version that starts on or before its day (null if there is none).
 
-    Facts and versions stand in one column of time per key, and the last version is carried forward: inside (key, bucket) by
-    a window, between buckets by the newest version of each, so that facts are not multiplied by versions and a hot key is
-    spread over its buckets. `bucket` must grow with time (a month of the day, say); between buckets one row per (key, bucket) is
-    ordered. Of versions that start together the largest by `columns` counts. Null keys and null days have no version.
+    Facts and versions stand in one column of time per key, and the last version is carried forward by a window inside (key, bucket),
+    so that facts are not multiplied by versions and a hot key is spread over its buckets. The newest version of the earlier buckets
+    enters each bucket that has facts as one more row, so the facts are shuffled once. `bucket` must grow with time (a month of the
+    day, say); between buckets one row per (key, bucket) is ordered. Of versions that start together the largest by `columns` counts.
+    Null keys and null days have no version.
     """
     version = F.struct(F.col(start), *[F.col(c) for c in columns if c != start])
-    known = versions.where(F.col(start).isNotNull()).select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__fact"), version.alias("__version"))
+    known = versions.where(F.col(start).isNotNull()).select(*keys, bucket(F.col(start)).alias("__bucket"), version.alias("__version"))
     kind = known.schema["__version"].dataType
-    rows = facts.select(*keys, F.col(day).alias("__at"), F.lit(1).alias("__fact"), F.lit(None).cast(kind).alias("__version"), F.struct(*facts.columns).alias("__row"))
-    both = rows.unionByName(known, allowMissingColumns=True).withColumn("__bucket", bucket(F.col("__at")))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy("__at", "__fact", "__version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = both.withColumn("__local", F.last("__version", ignorenulls=True).over(inside)).where("__fact = 1")
-    borders = both.groupBy(*keys, "__bucket").agg(F.max("__version").alias("__border"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    borders = borders.select(*keys, "__bucket", F.last("__border", ignorenulls=True).over(before).alias("__before"))
-    whole = F.col("__at").isNotNull()
+    rows = facts.select(*keys, bucket(F.col(day)).alias("__bucket"), F.struct(*facts.columns).alias("__row"))
+    at = F.col("__row").getField(day)
+    whole = at.isNotNull()
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    found = same_keys(local, borders, [*keys, "__bucket"])
-    return found.select("__row.*", F.when(whole, F.coalesce("__local", "__before")).alias(name))
+    # In a bucket's order its facts come first, its newest version second.
+    used = rows.where(whole).select(*keys, "__bucket").distinct().withColumns({"__border": F.lit(None).cast(kind), "__used": F.lit(True)})
+    newest = known.groupBy(*keys, "__bucket").agg(F.max("__version").alias("__border")).withColumn("__used", F.lit(False))
+    before = Window.partitionBy(*keys).orderBy("__bucket", F.desc("__used")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = used.unionByName(newest).withColumn("__version", F.last("__border", ignorenulls=True).over(before))
+    carried = carried.where("__used AND __version IS NOT NULL").select(*keys, "__bucket", "__version")
+    both = known.unionByName(carried).unionByName(rows, allowMissingColumns=True).repartition(*keys, "__bucket")
+    # Formed behind the shuffle, which moves the fact's day and the version's start once.
+    order = [F.coalesce(at, F.col("__version").getField(start)), F.col("__row").isNotNull(), F.col("__version")]
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__last", F.last("__version", ignorenulls=True).over(inside)).where("__row IS NOT NULL")
+    return found.select("__row.*", F.when(whole, F.col("__last")).alias(name))

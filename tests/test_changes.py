@@ -365,3 +365,19 @@ def test_late_rows_reach_the_side_table_and_their_windows(spark):
     got = {(r.start.day, r.n, r.n_late) for r in incremental.read_counts(spark, out, ["g"]).collect()}
     assert got == {(1, 4, 1), (2, 1, 0), (3, 1, 1), (5, 1, 0), (6, 1, 0)}
     assert sorted(r.ts.day for r in spark.read.parquet(f"{out}/late").collect()) == [1, 3]
+
+
+def test_carried_forward_shuffles_the_facts_once(spark):
+    """No join behind the window; versions reach facts of later buckets, and facts without key or day get none."""
+    from datetime import date
+
+    from rosterlens.operators.sequence import carried_forward
+
+    rows = [(1, date(2020, m, 28), f"wide{m}") for m in range(1, 13)] + [(1, date(2022, 1, 1), "late"), (2, date(2020, 5, 1), "none"), (None, date(2020, 5, 1), "nokey"), (1, None, "noday")]
+    fact = spark.createDataFrame(rows, "k int, d date, wide string")
+    versions = spark.createDataFrame([(1, date(2020, 3, 1), 5), (1, date(2020, 3, 1), 7), (1, date(2021, 6, 1), 9), (3, date(2020, 1, 1), 1), (None, date(2020, 1, 1), 2)], "k int, s date, v int")
+    for unit in ("MM", "YYYY"):
+        got = carried_forward(fact, versions, ["k"], "d", "s", ["v"], lambda day: F.trunc(day, unit))
+        values = {r.wide: r.carried and r.carried.v for r in got.collect()}
+        assert values == {"wide1": None, "wide2": None, **{f"wide{m}": 7 for m in range(3, 13)}, "late": 9, "none": None, "nokey": None, "noday": None}
+        assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()  # facts meet what earlier buckets bring in the one window
