@@ -10,6 +10,7 @@ from rosterlens.operators.reshape import union_all
 from rosterlens.session import cut_lineage
 
 ARROW = " → "
+HEAVY = 50_000  # rows that point to one node
 
 
 def ancestor_paths(df: DataFrame, node: str, parent: str, label: str, max_depth: int | None = None) -> DataFrame:
@@ -33,7 +34,7 @@ def ancestor_paths(df: DataFrame, node: str, parent: str, label: str, max_depth:
         above = union_all([*done, open_nodes]).select(
             F.col("id").alias("up"), F.col("up").alias("__up"), F.col("ids").alias("__ids"), F.col("labels").alias("__labels")
         )
-        moved = open_nodes.join(above, "up").select(
+        moved = _join_above(open_nodes, above).select(
             "id", F.col("__up").alias("up"),
             F.concat("__ids", "ids").alias("ids"), F.concat("__labels", "labels").alias("labels"),
         )
@@ -45,6 +46,20 @@ def ancestor_paths(df: DataFrame, node: str, parent: str, label: str, max_depth:
     return (reached if max_depth is None else reached.where(F.size("ids") <= max_depth + 1)).select("id", "ids", "labels")
 
 
+def _join_above(open_nodes: DataFrame, above: DataFrame) -> DataFrame:
+    """Open nodes with the one row of `above` that they point to.
+
+    Doubled pointers meet in the few nodes near the top. Nodes that more than HEAVY rows point to are at most one in HEAVY rows; they
+    are broadcast, so that the rows below them stay where they are instead of meeting in one task.
+    """
+    heavy = cut_lineage(open_nodes.groupBy("up").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).select("up"))
+    if heavy.isEmpty():
+        return open_nodes.join(above, "up")
+    tops = F.broadcast(above.join(F.broadcast(heavy), "up"))
+    light = open_nodes.join(F.broadcast(heavy), "up", "left_anti").join(above, "up")
+    return light.unionByName(open_nodes.join(tops, "up"))
+
+
 def org_hierarchy(df: DataFrame, node: str = "employee_id", parent: str = "manager_id", label: str = "employee_name",
                   max_depth: int = 10) -> DataFrame:
     """Depth and reporting chain 'A → B → C' of every reachable employee."""
