@@ -109,17 +109,18 @@ class Tables:
     def employee(self) -> DataFrame:
         return employee_from_orders(self.orders, self.customer, self.nation, self.region)
 
+    # Fixed lists of 5 to 8 rows. Shuffled by their keys, the employees would meet in as many tasks.
     @cached_property
     def job_levels(self) -> DataFrame:
-        return seeds.job_levels(self.spark)
+        return F.broadcast(seeds.job_levels(self.spark))
 
     @cached_property
     def recruitment_sources(self) -> DataFrame:
-        return seeds.recruitment_sources(self.spark)
+        return F.broadcast(seeds.recruitment_sources(self.spark))
 
     @cached_property
     def ratings(self) -> DataFrame:
-        return seeds.ratings(self.spark)
+        return F.broadcast(seeds.ratings(self.spark))
 
     @cached_property
     def employee_with_source(self) -> DataFrame:

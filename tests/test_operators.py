@@ -186,3 +186,34 @@ def test_lines_of_an_empty_table_and_of_one_node(spark):
     none = spark.createDataFrame([], "id int, boss int")
     assert hierarchy.line_ends(none, "id", "boss").count() == hierarchy.rollup_counts(none, "id", "boss").count() == 0
     assert [tuple(r) for r in hierarchy.line_ends(spark.createDataFrame([(1, None)], "id int, boss int"), "id", "boss").collect()] == [(1, "root", 1)]
+
+
+def test_nodes_that_many_point_to_are_joined_by_broadcast(spark, monkeypatch):
+    """Doubled pointers meet in one node near the top; the rows below it do not go to one task, and every path comes out."""
+    from rosterlens.operators import hierarchy
+
+    monkeypatch.setattr(hierarchy, "HEAVY", 3)
+    edges = [(0, None), (1, 0), (2, 1), (3, 2)] + [(10 + i, 3) for i in range(20)] + [(50, 51), (51, 50), (60, 99)]
+    df = spark.createDataFrame(edges, "id int, up int")
+    got = {r.id: list(r.ids) for r in hierarchy.ancestor_paths(df, "id", "up", "id").collect()}
+    assert got == {0: [0], 1: [0, 1], 2: [0, 1, 2], 3: [0, 1, 2, 3], **{10 + i: [0, 1, 2, 3, 10 + i] for i in range(20)}}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        open_nodes = spark.createDataFrame([(i, 3) for i in range(20)] + [(90, 7)], "id int, up int")
+        joined = hierarchy._join_above(open_nodes, spark.createDataFrame([(3, "a"), (7, "b"), (8, "c")], "up int, path string"))
+        assert sorted((r.id, r.path) for r in joined.collect()) == [(i, "a") for i in range(20)] + [(90, "b")]
+        assert joined._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fixed_lists_are_broadcast(spark, tmp_path):
+    """Lists of a few rows never make the employees move by a key of a few values."""
+    from rosterlens.operators import joins
+    from rosterlens.sources.bindings import Tables
+
+    t = Tables(spark, str(tmp_path))
+    df = spark.createDataFrame([(1, "L3", 2, 4)], "employee_id int, job_level string, recruitment_source_id int, performance_rating int")
+    joined = joins.star_join(df, {"job_level": t.job_levels, "recruitment_source_id": t.recruitment_sources, "performance_rating": t.ratings})
+    assert joined.count() == 1
+    assert joined._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 3
