@@ -13,6 +13,7 @@ from rosterlens.functions import scores
 from rosterlens.functions.numeric import round_half_up
 from rosterlens.models import risk
 from rosterlens.operators import talent
+from rosterlens.session import written_table
 
 SCORED = f"""scored AS (SELECT *, {TIER} AS risk_tier, round(risk_score / 100, 6) AS model_probability FROM (SELECT *, {RULE} AS risk_score FROM employee))"""
 ORDER = "CASE risk_tier WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 ELSE 4 END AS tier_order"
@@ -170,7 +171,9 @@ def models_find_a_signal(t):
 
 
 def forest_importance(t):
-    train, test = risk.split_by_key(telling(t))
+    # Indexer, scaler and forest read the rows several times.
+    rows = written_table(telling(t).select("employee_id", risk.LABEL, *risk.NUMERIC_FEATURES, *risk.CATEGORICAL_FEATURES), "telling")
+    train, test = risk.split_by_key(rows)
     prepared = risk.features().fit(train)
     columns = ["employee_id", risk.LABEL, "features"]
     forest = RandomForestClassifier(labelCol=risk.LABEL, numTrees=20, maxDepth=5, seed=7).fit(prepared.transform(train).select(*columns))

@@ -196,16 +196,22 @@ def permutation_importance(classifier, prepared: DataFrame, names: Sequence[str]
     first = F.first("__x").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     paired = place.withColumn("__y", F.coalesce(F.lead("__x").over(ordered), first))
     swapped = lambda j: F.transform("__x", lambda x, i: F.when(i == F.lit(j), F.element_at("__y", j + 1)).otherwise(x))
-    versions = F.array(F.col("__x"), *[swapped(j) for j in range(len(names))])
-    spread = cut_lineage(paired.select(key, LABEL, F.posexplode(versions).alias("version", "__v")))
-    scored = classifier.transform(spread.withColumn("features", array_to_vector("__v"))).select(key, LABEL, "version", vector_to_array("probability")[1].alias("p"))
-    base = scored.where("version = 0").select(F.col(key).alias("__key"), F.col("p").alias("__p"))
-    both = scored.where("version > 0").join(base, F.col(key) == F.col("__key"))
+    # All versions of a row are scored beside each other, so that rows are neither multiplied nor joined.
+    scored = paired
+    for j in range(len(names) + 1):
+        only = classifier.copy({classifier.featuresCol: "__v", classifier.probabilityCol: "__p", classifier.rawPredictionCol: "", classifier.predictionCol: ""})
+        version = array_to_vector(F.col("__x") if j == 0 else swapped(j - 1))
+        scored = only.transform(scored.withColumn("__v", version)).withColumn(f"p{j}", vector_to_array("__p")[1]).drop("__v", "__p")
     loss = lambda p: -F.ln(F.greatest(F.when(F.col(LABEL) == 1, F.col(p)).otherwise(1 - F.col(p)), F.lit(1e-9)))
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("version"))
-    return both.groupBy(label.alias("feature")).agg(
-        round_half_up(F.avg(F.abs(F.col("p") - F.col("__p"))), 6).alias("mean_abs_change"), round_half_up(F.avg(loss("p") - loss("__p")), 6).alias("log_loss_rise"),
+    wide = scored.agg(
+        n_rows().alias("n"),
+        *[F.avg(F.abs(F.col(f"p{j}") - F.col("p0"))).alias(f"change{j}") for j in range(1, len(names) + 1)],
+        *[F.avg(loss(f"p{j}") - loss("p0")).alias(f"rise{j}") for j in range(1, len(names) + 1)],
     )
+    return stack_rows(wide.where("n > 0"), [
+        {"feature": F.lit(n), "mean_abs_change": round_half_up(F.col(f"change{j}"), 6), "log_loss_rise": round_half_up(F.col(f"rise{j}"), 6)}
+        for j, n in enumerate(names, 1)
+    ])
 
 
 def rule_based_fallback(employee: DataFrame) -> DataFrame:

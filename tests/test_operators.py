@@ -217,3 +217,26 @@ def test_fixed_lists_are_broadcast(spark, tmp_path):
     joined = joins.star_join(df, {"job_level": t.job_levels, "recruitment_source_id": t.recruitment_sources, "performance_rating": t.ratings})
     assert joined.count() == 1
     assert joined._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 3
+
+
+def test_permutation_importance_multiplies_and_joins_no_rows(spark):
+    """All versions of a row are scored beside each other; shares and log losses as by hand."""
+    import math
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(i, float(i % 2), Vectors.dense(float(i % 2) + (i % 3) / 3, 5.0)) for i in range(24)], ["employee_id", "label", "features"])
+    model = LogisticRegression(regParam=0.01).fit(rows)
+    out = risk.permutation_importance(model, rows, ["tells", "constant"])
+    assert "Join" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = {r.feature: (r.mean_abs_change, r.log_loss_rise) for r in out.collect()}
+    order = [r.employee_id for r in rows.orderBy(F.xxhash64(F.lit("order"), "employee_id"), "employee_id").collect()]
+    features = {r.employee_id: (r.label, r.features[0]) for r in rows.collect()}
+    p = lambda x: 1 / (1 + math.exp(-(model.coefficients[0] * x + model.coefficients[1] * 5 + model.intercept)))
+    loss = lambda label, q: -math.log(q if label == 1 else 1 - q)
+    change = rise = 0
+    for i, k in enumerate(order):
+        (label, x), (_, y) = features[k], features[order[(i + 1) % len(order)]]
+        change, rise = change + abs(p(y) - p(x)) / 24, rise + (loss(label, p(y)) - loss(label, p(x))) / 24
+    assert got["constant"] == (0, 0) and got["tells"] == pytest.approx((change, rise), abs=2e-6)
