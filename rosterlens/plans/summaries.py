@@ -393,7 +393,7 @@ def manager_months(fact: DataFrame, months: int = 12) -> DataFrame:
     """Manager x month end: team, rolling voluntary exits and exit rate, team engagement, months as a manager.
 
     fact: the monthly snapshot with manager_id. Rows are summed per manager and month first (combined before the shuffle), a manager's gaps are
-    filled between the first and the last month, and the sliding sums run over one row per manager and month. The rate relates the exits of the
+    filled up to its next month, and the sliding sums run over one row per manager and month; both on one dealing by manager. The rate relates the exits of the
     last `months` months to the mean team of these months.
     """
     number = F.year("month_end") * 12 + F.month("month_end")
@@ -402,9 +402,14 @@ def manager_months(fact: DataFrame, months: int = 12) -> DataFrame:
         count_if(~left).alias("team"), count_if(left & F.col("voluntary_exit_flag")).alias("exits"),
         F.sum(F.col("engagement_score").cast("decimal(14,4)")).alias("score"), F.count("engagement_score").alias("scored"),
     )
-    span = cells.groupBy("manager_id").agg(F.min("month").alias("first"), F.max("month").alias("last"))
-    spine = span.select("manager_id", "first", F.explode(F.sequence("first", "last")).alias("month"))
-    filled = spine.join(cells, ["manager_id", "month"], "left").na.fill(0, ["team", "exits"])
+    history = Window.partitionBy("manager_id").orderBy("month")
+    until = F.coalesce(F.lead("month").over(history) - 1, "month")
+    spine = cells.withColumns({"first": F.first("month").over(history), "last": until}).withColumn("at", F.explode(F.sequence("month", "last")))
+    own = F.col("at") == F.col("month")  # the months after, up to the next of the manager's, have no team
+    filled = spine.select(
+        "manager_id", "first", F.col("at").alias("month"), *[F.when(own, F.col(c)).otherwise(0).alias(c) for c in ("team", "exits")],
+        *[F.when(own, F.col(c)).alias(c) for c in ("score", "scored")],
+    )
     recent = Window.partitionBy("manager_id").orderBy("month").rangeBetween(1 - months, 0)
     end = F.last_day(F.make_date(F.floor((F.col("month") - 1) / 12).cast("int"), (F.pmod(F.col("month") - 1, F.lit(12)) + 1).cast("int"), F.lit(1)))
     return filled.withColumns({"exits_rolling": F.sum("exits").over(recent), "team_sum": F.sum("team").over(recent), "n": F.count(F.lit(1)).over(recent)}).select(
@@ -417,7 +422,9 @@ def manager_months(fact: DataFrame, months: int = 12) -> DataFrame:
 
 def manager_versions(monthly: DataFrame, columns: Sequence[str] = ("team_size", "exit_rate_rolling")) -> DataFrame:
     """Versions of a manager's figures: month ends on which all `columns` stay the same are one version."""
-    out = scd2_from_history(monthly.select("manager_id", "month_end", *columns), "manager_id", ["month_end"], columns, F.year("month_end"))
+    # Several branches read them; the snapshot below is summed once.
+    monthly = written_table(monthly.select("manager_id", "month_end", *columns), "monthly")
+    out = scd2_from_history(monthly, "manager_id", ["month_end"], columns, F.year("month_end"))
     return out.withColumnsRenamed({"effective_start": "effective_start_date", "effective_end": "effective_end_date"})
 
 

@@ -381,3 +381,18 @@ def test_carried_forward_shuffles_the_facts_once(spark):
         values = {r.wide: r.carried and r.carried.v for r in got.collect()}
         assert values == {"wide1": None, "wide2": None, **{f"wide{m}": 7 for m in range(3, 13)}, "late": 9, "none": None, "nokey": None, "noday": None}
         assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()  # facts meet what earlier buckets bring in the one window
+
+
+def test_manager_months_fill_gaps_without_a_join(spark):
+    """Months without rows get an empty team inside a manager's span; the figures move once by manager and month, once by manager."""
+    day = datetime.date
+    rows = [(1, day(2020, 1, 31), False, None, 80.0), (1, day(2020, 1, 31), True, True, None), (1, day(2020, 4, 30), False, None, 60.0), (2, day(2021, 12, 31), True, False, 50.0), (None, day(2020, 1, 31), False, None, 1.0)]
+    fact = spark.createDataFrame(rows, "manager_id int, month_end date, is_exit boolean, voluntary_exit_flag boolean, engagement_score double")
+    months = summaries.manager_months(fact)
+    got = sorted(tuple(r) for r in months.collect())
+    assert [(r[0], r[1], r[2], r[3], r[5], r[6]) for r in got] == [
+        (1, day(2020, 1, 31), 1, 1, 80.0, 0), (1, day(2020, 2, 29), 0, 1, None, 1), (1, day(2020, 3, 31), 0, 1, None, 2), (1, day(2020, 4, 30), 1, 1, 60.0, 3),
+        (2, day(2021, 12, 31), 0, 0, 50.0, 0),
+    ]
+    assert [r[4] for r in got] == [1.0, 2.0, 3.0, 2.0, None]
+    assert "Join" not in months._jdf.queryExecution().sparkPlan().toString()
