@@ -396,3 +396,13 @@ def test_manager_months_fill_gaps_without_a_join(spark):
     ]
     assert [r[4] for r in got] == [1.0, 2.0, 3.0, 2.0, None]
     assert "Join" not in months._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_loads_write_only_the_columns_their_sums_need(spark, monkeypatch):
+    from rosterlens.catalog import loads
+
+    wide = "date_key int, department string, location string, job_level string, is_exit boolean, is_active_flag boolean, fte_value double, tenure_months int, employee_name string"
+    monkeypatch.setattr(loads, "snapshot_fact", lambda t: spark.createDataFrame([(20010831, "d", "l", "L3", True, False, 1.0, 3, "n"), (20011031, "d", "l", "L3", False, True, 1.0, 5, "n")], wide))
+    first, second, wrong = loads.loads_of_fact(None, ["tenure_months"])
+    assert first.columns == second.columns == wrong.columns == ["date_key", *loads.SEGMENT, "is_exit", "is_active_flag", "fte_value", "tenure_months"]
+    assert (first.count(), second.count(), [(r.fte_value, r.is_active_flag) for r in wrong.collect()]) == (1, 1, [(7.0, True)])
