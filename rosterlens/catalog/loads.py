@@ -334,7 +334,7 @@ FACT_STAFF = ("employee_id", "employee_name", "department", "location", "job_lev
               "termination_date", "employment_status_code", "voluntary_exit_flag", "fte_value")
 
 
-def snapshot_fact(t, since=None):
+def snapshot_fact(t, since=None, each=None):
     pay = t.lineitem.select(
         F.col("l_orderkey").alias("employee_id"), F.col("l_shipdate").alias("effective_date"),
         F.col("l_discount").alias("compa_ratio"), F.col("l_extendedprice").alias("base_salary"),
@@ -349,7 +349,7 @@ def snapshot_fact(t, since=None):
         F.min("c_custkey").alias("department_key")
     )
     return facts.employee_snapshot_fact(
-        staff(t).select(*FACT_STAFF), "1995-01-01", AS_OF, {"department": departments}, pay, survey, risk, since
+        staff(t).select(*FACT_STAFF), "1995-01-01", AS_OF, {"department": departments}, pay, survey, risk, since, each
     )
 
 
@@ -397,7 +397,8 @@ WHERE f.is_active_flag""", *FACT, LEVELS))
 def current_employees(t):
     managers = t.employee.select(F.col("employee_id").alias("manager_id"), F.col("employee_name").alias("manager_name"))
     levels = F.broadcast(t.job_levels.select("job_level", "level_name", "career_track"))
-    view = facts.current_employees_view(snapshot_fact(t), {"job_level": levels}, managers)
+    # Level and manager do not change with the month, so they are joined to employees, not to their months.
+    view = snapshot_fact(t, each=lambda people: facts.current_employees_view(people, {"job_level": levels}, managers))
     return view.select("employee_id", "date_key", "tenure_months", "level_name", "career_track", "manager_name")
 
 

@@ -18,7 +18,8 @@ from rosterlens.operators.sequence import carried_forward
 
 def employee_snapshot_fact(employees: DataFrame, first: str, last: str, dims: Mapping[str, DataFrame] | None = None,
                            compensation: DataFrame | None = None, survey: DataFrame | None = None,
-                           risk: DataFrame | None = None, since: str | None = None) -> DataFrame:
+                           risk: DataFrame | None = None, since: str | None = None,
+                           each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Employee x month end, from the hire month up to the termination month.
 
     employees: employee_id, hire_date, termination_date, employment_status_code, fte_value, dimension ids.
@@ -27,8 +28,12 @@ def employee_snapshot_fact(employees: DataFrame, first: str, last: str, dims: Ma
     Histories are cut to their newest row per employee before the join, and employees get those
     attributes before they are repeated per month, so the joins run on one row per employee.
     since: only months after this day (incremental loads).
+    each: a step that needs no month (joins and filters on attributes, sums of employees with the same months); it takes the employees
+    before their months multiply and keeps hire_date, termination_date and employment_status_code.
     """
-    rows = employees
+    rows = employees.withColumns({
+        "fte_value": F.coalesce(F.col("fte_value"), F.lit(1.0)), "is_active_flag": F.col("employment_status_code") == "Active",
+    })
     if compensation is not None:
         if "end_date" in compensation.columns:
             compensation = compensation.where(F.col("end_date").isNull()).drop("end_date")
@@ -44,6 +49,7 @@ def employee_snapshot_fact(employees: DataFrame, first: str, last: str, dims: Ma
     for key, dim in (dims or {}).items():
         surrogate = next(c for c in dim.columns if c != key)
         rows = left_using_joins(rows, {key: dim}, {surrogate: -1})
+    rows = rows if each is None else each(rows)
     start = F.col("hire_date")
     if since is not None:
         start = F.greatest(start, F.date_add(F.last_day(F.lit(since).cast("date")), 1))
@@ -55,14 +61,12 @@ def employee_snapshot_fact(employees: DataFrame, first: str, last: str, dims: Ma
         "date_key": date_key("month_end"),
         "tenure_months": months,
         "tenure_band_code": bands.tenure_band_months(months),
-        "fte_value": F.coalesce(F.col("fte_value"), F.lit(1.0)),
-        "is_active_flag": F.col("employment_status_code") == "Active",
         "is_exit": exits,
     })
 
 
 def current_employees_view(fact: DataFrame, dims: Mapping[str, DataFrame], manager: DataFrame | None = None) -> DataFrame:
-    """Active rows of the fact with full dimensional context."""
+    """Active rows of the fact, or active employees before their months multiply, with full dimensional context."""
     return gold_star_join(fact.where("is_active_flag"), dims, manager)
 
 

@@ -89,6 +89,25 @@ def test_snapshot_fact_months(spark):
     assert {r.date_key for r in late.collect()} == {20240430, 20240531}
 
 
+def test_attributes_are_joined_before_months_multiply(spark):
+    """The view of the fact and the fact of the view are the same rows; the second joins one row per employee."""
+    day = datetime.date
+    staff = spark.createDataFrame([
+        (1, "L2", None, day(2023, 11, 30), None, "Active", 1.0), (2, "L3", 1, day(2024, 2, 29), day(2024, 4, 1), "Terminated", None),
+        (3, "L2", 1, day(2024, 4, 9), None, "Active", None), (4, "L9", 1, day(2024, 1, 1), None, "Active", 1.0), (5, "L3", 9, day(2024, 5, 1), None, None, 1.0),
+        (6, "L3", 9, None, None, "Active", 1.0),
+    ], "employee_id int, job_level string, manager_id int, hire_date date, termination_date date, employment_status_code string, fte_value double")
+    levels = spark.createDataFrame([("L2", "Two"), ("L3", "Three")], "job_level string, level_name string")
+    managers = spark.createDataFrame([(1, "Ann"), (1, "Anne")], "manager_id int, manager_name string")
+    view = lambda df: facts.current_employees_view(df, {"job_level": levels}, managers)
+    before = facts.employee_snapshot_fact(staff, "2024-01-01", "2024-05-31", each=view)
+    columns = ["employee_id", "date_key", "tenure_months", "fte_value", "level_name", "manager_name"]
+    want = view(facts.employee_snapshot_fact(staff, "2024-01-01", "2024-05-31")).select(columns)
+    assert sorted(map(str, before.select(columns).collect())) == sorted(map(str, want.collect())) and want.count() == 14
+    plan = before._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
 def test_incremental_filter_with_empty_target(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "t int")
     assert medallion.incremental_filter(rows, rows.where("t < 0"), "t").count() == 3
