@@ -423,7 +423,7 @@ SELECT date_key, department, location, job_level, count(*) AS total_headcount, {
 
 @query("l11_headcount_monthly", HEADCOUNT)
 def headcount_monthly(t):
-    return summaries.headcount_monthly(snapshot_fact(t), ["department", "location", "job_level"])
+    return summaries.headcount_monthly(snapshot_fact(t, each=lambda people: summaries.headcount_spans(people, SEGMENT)), SEGMENT)
 
 
 HEADS = f"(({cnt(chr(104) + 'ire_date < date_trunc(' + repr('month') + ', month_end)')} + {cnt('NOT is_exit')}) / 2e0)"
@@ -501,7 +501,7 @@ def by_role(sql: str) -> str:
 
 @query("l11_headcount_by_role", by_role(HEADCOUNT))
 def headcount_by_role(t):
-    return summaries.headcount_monthly(with_roles(snapshot_fact(t)), BY_ROLE)
+    return summaries.headcount_monthly(snapshot_fact(t, each=lambda people: summaries.headcount_spans(with_roles(people), BY_ROLE)), BY_ROLE)
 
 
 @query("l12_attrition_by_role", by_role(ATTRITION))

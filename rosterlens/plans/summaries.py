@@ -43,9 +43,29 @@ def headcount_from_sums(sums: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def headcount_spans(employees: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Employees of a segment with the same first and last month as one row, with the sums of headcount_rollup that no month changes.
+
+    For employees of a monthly fact before their months multiply (`each` of employee_snapshot_fact). However many employees there are,
+    the rows are at most segments x pairs of months. The dates become the first day of the hire month and the last of the exit month.
+    """
+    months = {"hire_date": F.trunc("hire_date", "MM"), "termination_date": F.last_day("termination_date")}
+    sums = {n: x for n, x in headcount_rollup(by).sums.items() if n not in ("tenure", "n_tenure")}
+    return partial_sums(employees.withColumns(months), Rollup((*by, *months, "employment_status_code"), sums))
+
+
 def headcount_monthly(fact: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Head count, FTE and averages per month and segment (means of exact decimal sums)."""
-    return headcount_from_sums(partial_sums(fact, headcount_rollup(by)), by)
+    """Head count, FTE and averages per month and segment (means of exact decimal sums).
+
+    fact: one row per employee and month, or the months of headcount_spans.
+    """
+    rollup = headcount_rollup(by)
+    if ROWS not in fact.columns:
+        return headcount_from_sums(partial_sums(fact, rollup), by)
+    # A span's tenure is that of each of its employees.
+    fact = fact.withColumns({"tenure": F.col("tenure_months") * F.col(ROWS), "n_tenure": F.when(F.col("tenure_months").isNotNull(), F.col(ROWS))})
+    sums = [F.sum(F.coalesce(F.col(n).cast(rollup.kind(n)), F.lit(0))).cast(rollup.kind(n)).alias(n) for n in (ROWS, *rollup.sums)]
+    return headcount_from_sums(fact.groupBy(*rollup.keys).agg(*sums), by)
 
 
 def attrition_rollup(by: Sequence[str], new_hire_days: int = 90) -> Rollup:

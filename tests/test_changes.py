@@ -108,6 +108,28 @@ def test_attributes_are_joined_before_months_multiply(spark):
     assert plan.index("Generate") < plan.index("Join")
 
 
+def test_headcount_of_spans_equals_headcount_of_months(spark):
+    """Employees of a segment with the same months multiply once, and every figure is as if each had multiplied alone."""
+    rng, day = random.Random(3), datetime.date
+    people = []
+    for i in range(400):
+        hired = None if i % 50 == 0 else day(2023, 11, 1) + datetime.timedelta(rng.randrange(200))
+        left = hired + datetime.timedelta(rng.randrange(-20, 120)) if hired and i % 3 == 0 else None
+        people.append((i, "ab"[i % 2] if i % 7 else None, hired, left, None if i % 61 == 0 else "Terminated" if left else "Active", rng.choice([None, 0.5, 1.0]),
+                       rng.choice([None, 0.07, 0.1]), rng.choice([None, 12.34567]), rng.choice([None, 55.5])))
+    staff = spark.createDataFrame(people, "employee_id int, department string, hire_date date, termination_date date, employment_status_code string, fte_value double, "
+                                  "compa_ratio double, flight_risk_score double, engagement_score double")
+    staff = staff.unionByName(staff.where("employee_id < 20"))  # rows may repeat
+    fact = lambda each=None: facts.employee_snapshot_fact(staff, "2024-01-01", "2024-08-31", each=each)
+    spans = fact(lambda df: summaries.headcount_spans(df, ["department"]))
+    want, got = (summaries.headcount_monthly(df, ["department"]) for df in (fact(), spans))
+    assert got.dtypes == want.dtypes and want.count() == 24
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert spans.count() < fact().count() / 3
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate"):]
+
+
 def test_incremental_filter_with_empty_target(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "t int")
     assert medallion.incremental_filter(rows, rows.where("t < 0"), "t").count() == 3
