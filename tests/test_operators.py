@@ -1,11 +1,13 @@
 """Hierarchy, scopes, checks, filters and model invariants."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from rosterlens.functions import masking, scores
 from rosterlens.models import risk
-from rosterlens.operators import filters, hierarchy, quality, reshape, security, talent, workforce
+from rosterlens.operators import filters, hierarchy, quality, reshape, search, security, talent, workforce
 
 
 def tree(spark, *pairs):
@@ -240,3 +242,24 @@ def test_permutation_importance_multiplies_and_joins_no_rows(spark):
         (label, x), (_, y) = features[k], features[order[(i + 1) % len(order)]]
         change, rise = change + abs(p(y) - p(x)) / 24, rise + (loss(label, p(y)) - loss(label, p(x))) / 24
     assert got["constant"] == (0, 0) and got["tells"] == pytest.approx((change, rise), abs=2e-6)
+
+
+def test_name_index_has_more_files_and_tasks_on_larger_tables(spark, tmp_path, monkeypatch):
+    """Without a number of files, neither a file nor a task of the search grows with the table; the rows are those of the scan."""
+    monkeypatch.setattr(search, "ROWS_PER_FILE", 100)
+    monkeypatch.setattr(search, "HITS_PER_TASK", 20)
+    rows = [(i, None if i % 9 == 0 else f"Emp {i % 50}") for i in range(600)] + [(None, "emp 12"), (700, "E")]
+    people = spark.createDataFrame(rows, "id int, name string")
+    path = str(tmp_path / "index")
+    search.build_name_index(people, "id", "name", path)
+    postings = spark.read.parquet(f"{path}/postings")
+    n = postings.count()
+    sizes = [r[1] for r in postings.groupBy(F.input_file_name()).count().collect()]
+    assert n > 1000 and len(sizes) >= n // 150 and max(sizes) <= 300
+    assert len(spark.read.parquet(f"{path}/names").inputFiles()) >= 4
+    for text in ("P 1", "emp", "e", "zz9", ""):
+        found = search.indexed_name_search(spark, path, "id", "name", text)
+        want = {tuple(r) for r in filters.name_search(people.where("name is not null and id is not null"), "name", text).collect()}
+        assert {tuple(r) for r in found.where("id is not null").collect()} == want
+    plan = search.indexed_name_search(spark, path, "id", "name", "P 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert int(re.search(r"RepartitionByExpression \[id#\d+L?\], (\d+)", plan)[1]) > 5
