@@ -1,10 +1,10 @@
-"""Main text of web pages: markup first, suffix arrays of the host's pages where the markup does not tell.
+"""Main text of web pages: suffix arrays of the host's pages find what repeats, the markup checks what of it is furniture.
 
 A page is cut into blocks of text. What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or comments by its tag, role, class or id is left out. If the page marks its article (``article``, ``main`` or
-the role main), the article's blocks are the text. If it does not, the remaining blocks are undecided, and repetition
-decides: the token streams of a host's pages are concatenated, a suffix array finds runs of ``RUN`` tokens or more that
-occur on distinct pages, and an undecided block that such runs cover is boilerplate; unique runs stay.
+the role main), only the article's blocks can be text. Then repetition decides: the token streams of a host's pages are
+concatenated, a suffix array finds runs of ``RUN`` tokens or more that occur on distinct pages, and a block that such
+runs cover is boilerplate; unique runs stay. Pages that mark their article and pages that do not have arrays of their own.
 
 Hosts may hold any number of pages, so their streams are dealt into pieces of bounded size. Every piece has a suffix
 array; it yields one row per distinct run of ``RUN`` tokens with the smallest and largest page identity, and the pieces of a
@@ -12,6 +12,11 @@ host are merged on those rows, so a run counts as repeated no matter which piece
 is the block that tells it best: the one with the most tokens for each page of the host that holds it. So copies of an
 article are the same page, and their common text is not boilerplate, while a long notice under many short articles is.
 
+Marked articles may quote each other and be copied, so a run there counts when it stands on more than half of the host's
+distinct marked pages (``MANY`` or more); where such runs make up half of an article or more, the host repeats the
+article itself, and it is kept whole. A run on more than half of the pages is on more than half of some piece's pages, so the
+pieces only name their own (at most twice the words of a mean page each), which are then counted on all pages of the host.
+
 Edge cases. A null or empty html gives an empty text. A page that is cut off anywhere is read as far as it goes. A null
 url, or one without ``://``, is a page of the host ''. Rows that repeat a page are the same page and get the same text. An
 empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -36,6 +41,7 @@ from rosterlens.session import written_table
 RUN = 6  # tokens
 COVERED = 0.8  # share of a block's tokens that repeated runs must cover
 PIECE_TOKENS = 200_000
+MANY = 10  # marked pages of a host that tell its furniture
 
 # Elements of the page's markup.
 RAW = frozenset("script style noscript template textarea title iframe object svg head".split())
@@ -256,27 +262,110 @@ def _run_keys(tokens: np.ndarray, run: int) -> np.ndarray:
     return key
 
 
-_PARSED = "host string, page long, text string, blocks array<string>, keys array<long>, sizes array<int>, tokens array<long>"
+_PARSED = "host string, page long, text string, words int, blocks array<string>, keys array<long>, sizes array<int>, tokens array<long>"
 SALTS = 16  # parts of the pages that hold one block
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page parsed once: its text where the markup tells, else its blocks, their tokens, and key and size of each block."""
+    """Each page parsed once: text and words of its marked article, else its blocks, their tokens, and key and size of each block."""
     for batch in batches:
         rows = []
         for html in batch.column("html").to_pylist():
             page = parse_page(html)
             if page.marked or not page.blocks:
-                rows.append(("\n".join(page.main()), None, None, None, None))
+                text = "\n".join(page.main())
+                rows.append((text, text.count(" ") + text.count("\n") + 1, None, None, None, None))
                 continue
             blocks = page.main()
             tokens = _tokens(blocks)
             keys = mix(np.array([mix(t + np.arange(len(t), dtype=np.uint64)).sum(dtype=np.uint64) for t in tokens], np.uint64))
-            rows.append((None, blocks, keys.view(np.int64), [len(t) for t in tokens], np.concatenate(tokens).view(np.int64)))
-        kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            rows.append((None, None, blocks, keys.view(np.int64), [len(t) for t in tokens], np.concatenate(tokens).view(np.int64)))
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         found = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
         columns = [batch.column(c) for c in ("page_id", "url", "host", "page")]
-        yield pa.RecordBatch.from_arrays([*columns, *found], names=["page_id", "url", "host", "page", "text", "blocks", "keys", "sizes", "tokens"])
+        yield pa.RecordBatch.from_arrays([*columns, *found], names=["page_id", "url", "host", "page", "text", "words", "blocks", "keys", "sizes", "tokens"])
+
+
+def _article_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words per text and the tokens of all texts in order; 32 bits each, as they travel to the pieces."""
+    groups = list(word_groups(texts))
+    counts = np.concatenate([np.zeros(0, np.int64), *(g[1] for g in groups)])
+    return counts, np.concatenate([np.zeros(0, np.uint64), *(g[2] for g in groups)]) >> np.uint64(32)
+
+
+def _article_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each distinct marked page; copies inside a task go once."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        pages = list(zip(batch.column("host").to_pylist(), batch.column("page").to_pylist()))
+        fresh = batch.take(pa.array([i for i, page in enumerate(pages) if not (page in seen or seen.add(page))], pa.int64()))
+        counts, tokens = _article_tokens(fresh.column("text"))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(tokens.astype(np.uint32).view(np.int32)))
+        yield pa.RecordBatch.from_arrays([*(fresh.column(c) for c in ("host", "page", "deal", "deals")), lists], names=["host", "page", "deal", "deals", "tokens"])
+
+
+def _common_runs(piece: pa.Table) -> pa.Table:
+    """Runs on more than half of the distinct pages of a host's piece, from the suffix array of the piece."""
+    piece = piece.take(pa.array(np.unique(piece["page"].to_numpy(), return_index=True)[1]))
+    lists, pages, deals = piece["tokens"].combine_chunks(), piece.num_rows, piece["deals"][0].as_py()
+    run = np.zeros(0, np.int64)
+    if pages >= MANY or deals > 1:
+        stream = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+        page = np.repeat(np.arange(pages), lists.value_lengths().to_numpy())
+        order, heads = repeated_prefixes(stream, page)
+        if len(order):
+            # Suffixes of a group stand in the order of their pages.
+            first = np.concatenate([[True], (heads[1:] != heads[:-1]) | (page[order][1:] != page[order][:-1])])
+            starts = np.unique(heads)
+            common = starts[2 * np.add.reduceat(first.astype(np.int64), starts) > pages]
+            run = _run_keys(stream, RUN)[order[common]].view(np.int64)
+    return pa.table({"host": pa.array([piece["host"][0].as_py()] * len(run), pa.string()), "run": pa.array(run), "deals": pa.array([deals] * len(run), pa.int32())})
+
+
+def _named_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, run) of the host's named runs on each marked page."""
+    for batch in batches:
+        counts, tokens = _article_tokens(batch.column("text"))
+        ends, out = np.cumsum(counts), []
+        for i in range(batch.num_rows):
+            run = np.unique(_run_keys(tokens[ends[i] - counts[i] : ends[i]], RUN).view(np.int64))
+            out.append(run[np.isin(run, batch.column("runs")[i].values.to_numpy())])
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(run) for run in out]))
+        yield pa.RecordBatch.from_arrays([batch.column("host").take(rows), batch.column("page").take(rows), pa.array(np.concatenate([np.zeros(0, np.int64), *out]))], names=["host", "page", "run"])
+
+
+def article_without(text: str, tokens: np.ndarray, runs: np.ndarray) -> str:
+    """A marked article without the blocks that the host's common runs cover; whole where these make up half of it or more."""
+    starts = np.flatnonzero(np.isin(_run_keys(tokens, RUN).view(np.int64), runs))
+    covered = np.unique(starts[:, None] + np.arange(RUN))
+    return text if 2 * len(covered) >= len(tokens) else "\n".join(kept_blocks(text.split("\n"), starts))
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, tokens = _article_tokens(batch.column("text"))
+        ends = np.cumsum(counts)
+        texts = zip(batch.column("text").to_pylist(), np.split(tokens, ends[:-1]), batch.column("runs"))
+        out = [article_without(text, own, runs.values.to_numpy()) for text, own, runs in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+
+def common_runs(marked: DataFrame) -> DataFrame:
+    """(host, runs): the runs that stand on more than half of the host's distinct marked pages, for hosts that have any."""
+    # Hosts of more than a piece are at most as many as the pieces; theirs hold MANY pages or more.
+    hosts = marked.select("host", "page", "words").distinct().groupBy("host").agg(F.count("*").alias("pages"), F.sum("words").alias("words"))
+    dealt = F.greatest(F.lit(1), F.least(F.ceil(F.col("words") / PIECE_TOKENS), F.floor(F.col("pages") / MANY)))
+    large = written_table(hosts.where(F.col("words") > PIECE_TOKENS).select("host", "pages", dealt.cast("int").alias("deals")), "hosts")
+    placed = marked.select("host", "page", "text").join(F.broadcast(large), "host", "left").where(f"pages IS NULL OR pages >= {MANY}")
+    deal = placed.withColumns({"deals": F.coalesce("deals", F.lit(1)), "deal": F.pmod("page", F.coalesce("deals", F.lit(1))).cast("int")}).drop("pages")
+    streams = deal.mapInArrow(_article_streams, "host string, page long, deal int, deals int, tokens array<int>")
+    named = written_table(streams.groupBy("host", "deal").applyInArrow(_common_runs, "host string, run long, deals int"), "runs")
+    open_runs = named.where("deals > 1").groupBy("host").agg(F.collect_set("run").alias("runs"))
+    places = marked.select("host", "page", "text").join(open_runs, "host").mapInArrow(_named_runs, "host string, page long, run long")
+    counted = places.distinct().groupBy("host", "run").agg(F.count("*").alias("n")).join(F.broadcast(large), "host").where("2 * n > pages")
+    settled = named.where("deals = 1").select("host", "run").unionByName(counted.select("host", "run"))
+    return settled.groupBy("host").agg(F.collect_set("run").alias("runs"))
 
 
 def _piece_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,8 +453,11 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     kind = pages.schema[page_id].dataType.simpleString()
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     keyed = rows.withColumns({"host": host_and_path(F.col("url"))[0], "page": F.xxhash64("html")})
-    parsed = written_table(keyed.mapInArrow(_parsed, f"page_id {kind}, url string, {_PARSED}"), "parsed")
-    decided, undecided = parsed.where("text IS NOT NULL").select("page_id", "url", "text"), parsed.where("text IS NULL")
+    parsed = written_table(keyed.mapInArrow(_parsed, f"page_id {kind}, url string, {_PARSED}"), "parsed", compression="zstd")
+    marked, undecided = parsed.where("text IS NOT NULL").withColumn("page", F.xxhash64("text")), parsed.where("text IS NULL")
+    common = written_table(common_runs(marked.where("text <> ''")), "common")
+    checked = marked.join(common, "host").select("page_id", "url", "text", "runs").mapInArrow(_checked, f"page_id {kind}, url string, text string")
+    decided = marked.join(common, "host", "left_anti").select("page_id", "url", "text").unionByName(checked)
     # Pages of equal html on one host are one page; only unmarked pages take part.
     streams = written_table(undecided.select("host", "page", "keys", "sizes", "tokens").dropDuplicates(["host", "page"]), "streams")
     streams = written_table(streams.drop("keys", "sizes").join(page_identities(streams), ["host", "page"]), "streams")

@@ -76,12 +76,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written_table(df: DataFrame, name: str) -> DataFrame:
+def written_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write once to the shared folder as parquet and read back.
 
     For rows that several later passes read: each pass then scans only its own columns
     instead of repeating the joins below.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from rosterlens.llm import html_extract
 from rosterlens.llm.html_extract import RUN, extract_text, kept_blocks, parse_page, repeated_prefixes
 from rosterlens.llm.quality import document_grade, keep_good, score_quality, train_quality
 from rosterlens.llm.secrets import scan_secrets
@@ -115,6 +116,24 @@ def test_short_articles_under_a_long_shared_notice(spark):
     assert got[31] == f"{notice}\n{article(1)}"
 
 
+@pytest.mark.parametrize("piece", [200_000, 300])
+def test_marked_articles_lose_what_most_pages_of_the_host_repeat(spark, monkeypatch, piece):
+    monkeypatch.setattr(html_extract, "PIECE_TOKENS", piece)
+    notice = "all stories of this paper are also read aloud on the radio"
+    quote = "a passage that some of the stories quote word by word from another one"
+    story = " ".join(f"s{i}" for i in range(40))
+    own = lambda i: " ".join(f"u{i}_{k}" for k in range(30))
+    article = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    pages = [(i, "http://h.com/x", article(own(i), quote if i < 12 else f"without quote {i}", notice)) for i in range(25)]
+    pages += [(30 + i, "http://h.com/x", article(own(0), quote, notice) + f"<nav>{i}</nav>") for i in range(40)]  # copies count once
+    pages += [(100 + i, "http://copies.com/x", article(f"copy {i}", story)) for i in range(20)]
+    pages += [(200 + i, "http://few.com/x", article(own(i), notice)) for i in range(9)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: f"{own(i)}\n{quote if i < 12 else f'without quote {i}'}" for i in range(25)} | {30 + i: f"{own(0)}\n{quote}" for i in range(40)}
+    want |= {100 + i: f"copy {i}\n{story}" for i in range(20)} | {200 + i: f"{own(i)}\n{notice}" for i in range(9)}
+    assert got == want
+
+
 def test_given_pages_keep_their_articles(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     for r in pages.join(extract_text(pages).select("page_id", "text"), "page_id").collect():
