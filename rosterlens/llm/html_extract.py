@@ -1,4 +1,4 @@
-"""Main text of web pages: suffix arrays of the host's pages find what repeats, the markup checks what of it is furniture.
+"""Main text of web pages: what the markup leaves, without what the suffix arrays of the host's pages find repeated.
 
 A page is cut into blocks of text. What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or comments by its tag, role, class or id is left out. If the page marks its article (``article``, ``main`` or
