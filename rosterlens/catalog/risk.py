@@ -104,9 +104,14 @@ def trained(t):
     return model, risk.risk_tiers(risk.score_batch(model, labelled))
 
 
+def model_rows(labelled):
+    """Key, label and inputs, written once: indexer, scaler and classifiers read the rows several times."""
+    return written_table(labelled.select("employee_id", risk.LABEL, *risk.NUMERIC_FEATURES, *risk.CATEGORICAL_FEATURES), "model_rows")
+
+
 @query("m02_train_compare")
 def train_compare(t):
-    train, test = risk.split_by_key(risk.with_label(t.employee))
+    train, test = risk.split_by_key(model_rows(risk.with_label(t.employee)))
     return risk.train_compare(train, test)
 
 
@@ -165,15 +170,13 @@ def telling(t):
  ('Gradient Boosting (default)'), ('Gradient Boosting (tuned)')) m(model)""")
 def models_find_a_signal(t):
     """Where exits depend on the features, every model beats chance and its top tenth the base rate; lift is precision over base rate."""
-    train, test = risk.split_by_key(telling(t))
+    train, test = risk.split_by_key(model_rows(telling(t)))
     agrees = F.abs(F.col("lift") - F.col("precision_at_k") / F.col("base_rate")) < 0.001
     return risk.train_compare(train, test).select("model", (F.col("auc") > 0.5).alias("better_than_chance"), (F.col("lift") > 1).alias("lifts"), agrees.alias("agrees"))
 
 
 def forest_importance(t):
-    # Indexer, scaler and forest read the rows several times.
-    rows = written_table(telling(t).select("employee_id", risk.LABEL, *risk.NUMERIC_FEATURES, *risk.CATEGORICAL_FEATURES), "telling")
-    train, test = risk.split_by_key(rows)
+    train, test = risk.split_by_key(model_rows(telling(t)))
     prepared = risk.features().fit(train)
     columns = ["employee_id", risk.LABEL, "features"]
     forest = RandomForestClassifier(labelCol=risk.LABEL, numTrees=20, maxDepth=5, seed=7).fit(prepared.transform(train).select(*columns))

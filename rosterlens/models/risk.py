@@ -19,7 +19,7 @@ from rosterlens.functions.numeric import count_if, n_rows, round_half_up, safe_d
 from rosterlens.operators.grouping import exact_quantiles
 from rosterlens.operators.ranking import top_fraction
 from rosterlens.operators.reshape import domain_index, stack_rows, union_all
-from rosterlens.session import cut_lineage
+from rosterlens.session import cut_lineage, written_table
 
 NUMERIC_FEATURES = (
     "age", "years_at_company", "salary", "bonus", "performance_rating", "attendance_pct", "training_hours",
@@ -80,7 +80,10 @@ def logistic(train: DataFrame, max_iter: int = 50) -> PipelineModel:
 
 
 def train_compare(train: DataFrame, test: DataFrame, fraction: float = 0.1, key: str = "employee_id") -> DataFrame:
-    """AUC, precision in the top fraction and lift of four classifiers, one row each."""
+    """AUC, precision in the top fraction and lift of four classifiers, one row each.
+
+    Both tables are read several times: hand over written ones.
+    """
     prepared = features().fit(train)
     columns = [key, LABEL, "features"]
     train_x = cut_lineage(prepared.transform(train).select(*columns))
@@ -98,10 +101,12 @@ def train_compare(train: DataFrame, test: DataFrame, fraction: float = 0.1, key:
     }
     rows = []
     for name, estimator in candidates.items():
-        scored = estimator.fit(train_x).transform(test_x)
+        # The area under the curve and the positions of the top fraction read the scores several times.
+        scored = written_table(estimator.fit(train_x).transform(test_x).select(
+            key, LABEL, vector_to_array("rawPrediction")[1].alias("rawPrediction"), round_half_up(vector_to_array("probability")[1], 6).alias("probability"),
+        ), "scored")
         auc = evaluator.evaluate(scored)
-        ranked = scored.select(key, LABEL, round_half_up(vector_to_array("probability")[1], 6).alias("probability"))
-        rows.append(lift_at_k(ranked, "probability", F.col(LABEL) == 1, fraction, key).withColumns(
+        rows.append(lift_at_k(scored.drop("rawPrediction"), "probability", F.col(LABEL) == 1, fraction, key).withColumns(
             {"model": F.lit(name), "auc": F.lit(float(auc))}
         ))
     return union_all(rows).select("model", "auc", "precision_at_k", "base_rate", "lift")

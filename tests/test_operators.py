@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from rosterlens.functions import masking, scores
@@ -263,3 +264,16 @@ def test_name_index_has_more_files_and_tasks_on_larger_tables(spark, tmp_path, m
         assert {tuple(r) for r in found.where("id is not null").collect()} == want
     plan = search.indexed_name_search(spark, path, "id", "name", "P 1")._jdf.queryExecution().optimizedPlan().toString()
     assert int(re.search(r"RepartitionByExpression \[id#\d+L?\], (\d+)", plan)[1]) > 5
+
+
+def test_models_score_their_test_rows_once(spark, monkeypatch):
+    """Curve and lift read the written scores; the models are not applied again for each pass."""
+    seen, lift = [], risk.lift_at_k
+    monkeypatch.setattr(risk, "lift_at_k", lambda scored, *rest: seen.append(scored) or lift(scored, *rest))
+    monkeypatch.setattr(risk, "GBTClassifier", lambda **given: GBTClassifier(**{**given, "maxIter": 1}))
+    numbers = {c: F.pmod(F.xxhash64(F.lit(c), "id"), F.lit(50)).cast("double") for c in risk.NUMERIC_FEATURES}
+    rows = spark.range(600).withColumns(numbers).withColumns({c: F.concat(F.lit("v"), F.col("id") % 3) for c in risk.CATEGORICAL_FEATURES})
+    rows = rows.withColumns({"employee_id": F.col("id") - F.col("id") % 2, risk.LABEL: (F.col("age") + F.col("id") % 7 > 30).cast("double")})
+    out = risk.train_compare(*risk.split_by_key(rows)).collect()
+    assert len(out) == 4 and all(r.auc > 0.7 and r.lift > 1 for r in out)
+    assert len(seen) == 4 and all(s.inputFiles() for s in seen)
